@@ -8,8 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockflow.functions.time import hour_floor, local_to_utc
-from dockflow.operators import conform, grid, ledger, trajectories
+from dockflow.operators import (
+    assembly,
+    calendar,
+    checks,
+    conform,
+    features,
+    grid,
+    ledger,
+    metrics,
+    trajectories,
+)
 from dockflow.plans import labels as label_plan
+from dockflow.sources import weather as weather_source
 from dockflow.testbed import fixtures as fx
 
 CONTRACT = fx.test_contract()
@@ -263,3 +274,221 @@ def labels(spark, sf):
 @query
 def station_hour_labels(spark, sf):
     return labels(spark, sf)
+
+
+# ---- weather and features ------------------------------------------------------------------------------------------
+
+
+def weather_table(spark, sf):
+    return weather_source.weather_hours(fx.weather_payload(spark, sf), CONTRACT, unzoned=True)
+
+
+@query
+def weather_hours(spark, sf):
+    return weather_table(spark, sf).drop("is_daylight")
+
+
+@query
+def daylight(spark, sf):
+    return weather_table(spark, sf).select("point_name", "hour_ts", "is_daylight")
+
+
+@query
+def cyclic_time(spark, sf):
+    trips = fx.trips(spark, sf)
+    hours = trips.select("trip_id", hour_floor(trips, "start_time").alias("hour_ts"))
+    names = ("hour_sin", "hour_cos", "dow_sin", "dow_cos")
+    return calendar.with_calendar(hours).select("trip_id", *[F.round(c, 6).alias(c) for c in names])
+
+
+@query
+def calendar_features(spark, sf):
+    orders = fx.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").alias("hour_ts"))
+    return calendar.with_calendar(orders).select("o_orderkey", "hour_ts", "is_weekend", "is_holiday", "month")
+
+
+@query
+def federal_holidays(spark, sf):
+    """The holidays of the years the orders span, with the orders placed on each."""
+    orders = fx.table(spark, sf, "orders")
+    bounds = orders.agg(F.min("o_orderdate").alias("lo"), F.max("o_orderdate").alias("hi"))
+    placed = orders.groupBy(F.to_date("o_orderdate").alias("holiday")).agg(F.count(F.lit(1)).alias("n_orders"))
+    return calendar.federal_holidays(bounds).join(placed, "holiday", "left").select(
+        F.col("holiday").cast("timestamp_ntz").alias("holiday"), F.coalesce("n_orders", F.lit(0)).alias("n_orders")
+    )
+
+
+@query
+def lag_features(spark, sf):
+    lags = ("occupancy_lag_1h", "net_flow_lag_1h", "net_flow_same_hour_last_week")
+    return features.with_lags(labels(spark, sf)).select(
+        "station_id", "hour_ts", *[F.col(c).cast("double").alias(c) for c in lags]
+    )
+
+
+@query
+def rolling_mean_7d(spark, sf):
+    return features.with_lags(labels(spark, sf)).select(
+        "station_id", "hour_ts", F.round("net_flow_rolling_7d_mean", 6).alias("net_flow_rolling_7d_mean")
+    )
+
+
+@query
+def weather_features(spark, sf):
+    joined = features.with_weather(labels(spark, sf), weather_table(spark, sf), CONTRACT)
+    return joined.select("station_id", "hour_ts", *CONTRACT.hourly, "is_daylight")
+
+
+def feature_table(spark, sf):
+    return features.build_features(labels(spark, sf), weather_table(spark, sf), CONTRACT)
+
+
+def plain_features(df: DataFrame) -> DataFrame:
+    """Features as doubles, rounded, for comparison."""
+    rounded = {c: F.round(F.col(c).cast("double"), 6) for c in CONTRACT.features}
+    return df.withColumns(rounded)
+
+
+@query
+def station_hour_features(spark, sf):
+    return plain_features(feature_table(spark, sf))
+
+
+# ---- assembly ------------------------------------------------------------------------------------------------------
+
+
+def split_table(spark, sf):
+    return assembly.chronological_split(feature_table(spark, sf), CONTRACT)
+
+
+def label_splits(spark, sf):
+    """Splits of the labels alone, for steps that use no feature."""
+    return assembly.chronological_split(labels(spark, sf), CONTRACT)
+
+
+@query
+def chronological_split(spark, sf):
+    return label_splits(spark, sf).select("station_id", "hour_ts", "net_flow", "split")
+
+
+@query
+def split_manifest(spark, sf):
+    return assembly.split_manifest(labels(spark, sf), CONTRACT)
+
+
+@query
+def class_weight(spark, sf):
+    weights = assembly.class_weight(label_splits(spark, sf).filter("split = 'train'"))
+    return weights.withColumn("class_weight", F.round("class_weight", 6))
+
+
+def baseline(spark, sf):
+    return assembly.baseline_table(label_splits(spark, sf).filter("split = 'train'"))
+
+
+@query
+def baseline_table(spark, sf):
+    return baseline(spark, sf).withColumn("mean_net_flow", F.round("mean_net_flow", 6))
+
+
+# ---- checks and reports --------------------------------------------------------------------------------------------
+
+
+def check_values(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in ("observed", "expected")})
+
+
+@query
+def mass_balance(spark, sf):
+    return check_values(checks.mass_balance(events(spark, sf)))
+
+
+@query
+def zero_rate(spark, sf):
+    return check_values(checks.zero_rate(labels(spark, sf)))
+
+
+@query
+def zero_concentration(spark, sf):
+    return checks.zero_concentration(labels(spark, sf)).withColumn("worst_share_pct", F.round("worst_share_pct", 6))
+
+
+@query
+def worst_stations(spark, sf):
+    return checks.worst_stations(labels(spark, sf)).withColumn("pct_zero", F.round("pct_zero", 6))
+
+
+@query
+def maintenance_by_month(spark, sf):
+    return checks.maintenance_by_month(events(spark, sf))
+
+
+@query
+def leakage_audit(spark, sf):
+    return checks.leakage_audit(feature_table(spark, sf), CONTRACT)
+
+
+@query
+def ridership_by_quarter(spark, sf):
+    return checks.ridership_by_quarter(kept_trips(spark, sf))
+
+
+@query
+def dataset_card(spark, sf):
+    card = checks.dataset_card(kept_trips(spark, sf), labels(spark, sf))
+    return card.withColumns({c: F.round(c, 6) for c in ("mean_occupancy", "zero_hour_share", "zero_flow_share")})
+
+
+@query
+def feature_profile(spark, sf):
+    profile = checks.feature_profile(feature_table(spark, sf), CONTRACT.features)
+    return profile.withColumns({c: F.round(c, 6) for c in profile.columns if c != "feature"})
+
+
+@query
+def recovery_gate(spark, sf):
+    return checks.recovery_gate(kept_trips(spark, sf), RULES)
+
+
+# ---- metrics -------------------------------------------------------------------------------------------------------
+
+
+def scored_flow(spark, sf):
+    """Test rows with the baseline's prediction."""
+    rows = label_splits(spark, sf)
+    table = assembly.baseline_table(rows.filter("split = 'train'"))
+    return assembly.baseline_predictions(rows.filter("split = 'test'"), table)
+
+
+@query
+def baseline_mae(spark, sf):
+    mae = metrics.regression_metrics(scored_flow(spark, sf), "net_flow", "pred_flow")
+    return mae.select("n_rows", F.round("mae", 6).alias("mae"))
+
+
+@query
+def regression_metrics(spark, sf):
+    found = metrics.regression_metrics(scored_flow(spark, sf), "net_flow", "pred_flow")
+    return found.withColumns({c: F.round(c, 6) for c in ("mae", "rmse")})
+
+
+@query
+def classification_metrics(spark, sf):
+    """A score from last hour's stock, over every labelled hour that has one."""
+    lagged = features.with_lags(labels(spark, sf)).filter("occupancy_lag_1h IS NOT NULL")
+    scored = lagged.select("is_empty", (1 / (1 + F.col("occupancy_lag_1h"))).alias("p_empty"))
+    found = metrics.classification_metrics(scored, "is_empty", "p_empty")
+    return found.withColumns({c: F.round(c, 6) for c in ("pr_auc", "roc_auc", "brier", "log_loss")})
+
+
+@query
+def group_share(spark, sf):
+    """Linear contributions: weight times distance from the mean, weights one to the number of features."""
+    table = split_table(spark, sf).select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+                                            for c in CONTRACT.features])
+    means = table.agg(*[F.avg(c).alias(f"{c}_mean") for c in CONTRACT.features])
+    effects = table.crossJoin(F.broadcast(means)).select(
+        *[((i + 1) * (F.col(c) - F.col(f"{c}_mean"))).alias(c) for i, c in enumerate(CONTRACT.features)]
+    )
+    found = metrics.group_share(effects, CONTRACT.feature_groups)
+    return found.withColumns({c: F.round(c, 6) for c in ("mean_abs_effect", "share")})
