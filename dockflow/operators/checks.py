@@ -210,8 +210,9 @@ def recovery_gate(trips: DataFrame, rules: LabelRules) -> DataFrame:
         event("b", F.when(is_short, half).otherwise(F.lit(edge * 60)), "reb_out"),
         event("c", F.when(is_short, half).otherwise(whole - edge * 60), "reb_in"),
     )))
-    # Histories of two rows each: no key is ever cut.
-    found = trajectories.rebalancing_events(trajectories.bike_trajectories(planted), rules)
+    # Histories of two trips each, so no key needs to be measured or cut.
+    sized = planted.limit(0)
+    found = trajectories.rebalancing_events(trajectories.bike_trajectories(planted, measured_on=sized), rules)
     keys = ["station_id", "event_time", "event_type", "event_kind"]
     netted = (
         expected.withColumn("w", F.lit(1)).unionByName(found.withColumn("w", F.lit(-1)))

@@ -1,13 +1,14 @@
 """Neighbouring rows of an ordered group, for groups of any size.
 
-A window over one key puts the whole group into one task. Here a key that holds very many rows is cut into slices of
-its own time span. The few rows a slice needs from its neighbours are added to it before the shuffle, so there is one
-exchange and one sort of the data, whether or not a key was cut, and the result is the plain window's.
+A window over one key puts the whole group into one task. Here keys are measured first; when some hold very many rows,
+those are cut into slices of their own time span. The two rows a slice needs from its neighbours are added to it before
+the shuffle, so there is one exchange and one sort of the data whether or not a key was cut, and the result is the
+plain window's.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A key with more rows than this is cut into slices of about SLICE_ROWS rows. At most MAX_HOT_KEYS keys are cut, which
@@ -30,16 +31,6 @@ def hot_keys(df: DataFrame, key: str, time: str, hot_rows: int, slice_rows: int)
     )
 
 
-def _with_slice(df: DataFrame, hot: DataFrame, key: str, time: str, how: str) -> DataFrame:
-    position = (F.unix_timestamp(time) - F.col("_lo")) * F.col("_slices")
-    cut = F.floor(position / (F.col("_hi") - F.col("_lo") + 1))
-    return (
-        df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot_key")), how)
-        .withColumn("_slice", F.when(F.col("_slices").isNotNull(), F.coalesce(cut, F.lit(-1))).otherwise(F.lit(0)))
-        .drop("_hot_key", "_lo", "_hi", "_slices")
-    )
-
-
 def neighbours(
     df: DataFrame,
     key: str,
@@ -47,22 +38,68 @@ def neighbours(
     lead: dict[str, str] | None = None,
     lag: dict[str, str] | None = None,
     rank: str | None = None,
+    measured_on: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Add next-row (``lead``: new name -> column), previous-row (``lag``) and ordinal (``rank``) columns per key.
 
-    ``order`` must be a total order within the key and start with a timestamp.
+    ``order`` must be a total order within the key and start with a timestamp. Key sizes are measured first, by one
+    two-column aggregation over ``measured_on``: the table itself, or one with the same key and time columns and at
+    least its rows that is cheaper to read.
     """
     lead, lag = lead or {}, lag or {}
+    base = df if measured_on is None else measured_on
+    # At most MAX_HOT_KEYS rows; they choose the plan and become its broadcast table.
+    sizes = hot_keys(base, key, order[0], hot_rows, slice_rows)
+    hot = sizes.collect()
+    if not hot:
+        w = Window.partitionBy(key).orderBy(*order)
+        ordinal = {rank: F.row_number().over(w).cast("long")} if rank else {}
+        return df.withColumns(_shifted(w, lead, lag) | ordinal)
+
+    sliced = _with_slice(df, df.sparkSession.createDataFrame(hot, sizes.schema), key, order[0])
     carried = list(dict.fromkeys([*order, *lead.values(), *lag.values()]))
-    hot = hot_keys(df, key, order[0], hot_rows, slice_rows)
+    rows = (
+        sliced.withColumns({"_side": F.lit(0), "_count": F.lit(1).cast("long")})
+        .drop("_is_hot")
+        .unionByName(_edge_copies(sliced, key, order, carried), allowMissingColumns=True)
+    )
+    w = Window.partitionBy(key, "_slice").orderBy("_side", *order)
+    added = _shifted(w, lead, lag)
+    if rank:
+        added[rank] = F.sum("_count").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumns(added).filter("_side = 0").select(*df.columns, *added)
+
+
+def _shifted(w, lead: dict[str, str], lag: dict[str, str]) -> dict[str, Column]:
+    return {new: F.lead(src).over(w) for new, src in lead.items()} | {
+        new: F.lag(src).over(w) for new, src in lag.items()
+    }
+
 
-    # The first and last row of every slice of a hot key, and how many rows come before it.
+def _with_slice(df: DataFrame, hot: DataFrame, key: str, time: str) -> DataFrame:
+    """Number the slices of hot keys along their own time span; every other key is one slice."""
+    position = (F.unix_timestamp(time) - F.col("_lo")) * F.col("_slices")
+    cut = F.floor(position / (F.col("_hi") - F.col("_lo") + 1))
+    is_hot = F.col("_slices").isNotNull()
+    return (
+        df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot_key")), "left")
+        .withColumn("_slice", F.when(is_hot, F.coalesce(cut, F.lit(-1))).otherwise(F.lit(0)))
+        .withColumn("_is_hot", is_hot)
+        .drop("_hot_key", "_lo", "_hi", "_slices")
+    )
+
+
+def _edge_copies(sliced: DataFrame, key: str, order: list[str], carried: list[str]) -> DataFrame:
+    """For each slice of a hot key, a copy of the row before it and of the row after it.
+
+    Slices are summarised before the shuffle, so the window here sees one row per slice.
+    """
     row = F.struct(*[F.col(c) for c in carried])
     by_slice = Window.partitionBy(key).orderBy("_slice")
     edges = (
-        _with_slice(df.select(key, *[c for c in carried if c != key]), hot, key, order[0], "inner")
+        sliced.filter("_is_hot")
         .groupBy(key, "_slice")
         .agg(F.min(row).alias("_first"), F.max(row).alias("_last"), F.count(F.lit(1)).alias("_rows"))
         .select(
@@ -78,19 +115,6 @@ def neighbours(
     )
     after = F.struct(F.lit(1).alias("_side"), F.col("_next").alias("_row"), F.lit(0).cast("long").alias("_count"))
     copies = edges.select(key, "_slice", F.inline(F.array(before, after))).filter("_row IS NOT NULL")
-    copies = copies.select(
+    return copies.select(
         key, "_slice", "_side", "_count", *[F.col("_row")[c].alias(c) for c in carried if c != key]
     )
-
-    rows = (
-        _with_slice(df, hot, key, order[0], "left")
-        .withColumn("_side", F.lit(0))
-        .withColumn("_count", F.lit(1).cast("long"))
-        .unionByName(copies, allowMissingColumns=True)
-    )
-    w = Window.partitionBy(key, "_slice").orderBy("_side", *order)
-    added = {new: F.lead(src).over(w) for new, src in lead.items()}
-    added |= {new: F.lag(src).over(w) for new, src in lag.items()}
-    if rank:
-        added[rank] = F.sum("_count").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumns(added).filter("_side = 0").select(*df.columns, *added)

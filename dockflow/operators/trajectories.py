@@ -10,7 +10,12 @@ from dockflow.functions.time import DAY, HOUR, from_seconds, seconds
 from dockflow.operators.ordering import HOT_ROWS, SLICE_ROWS, neighbours
 
 
-def bike_trajectories(trips: DataFrame, hot_rows: int = HOT_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def bike_trajectories(
+    trips: DataFrame,
+    measured_on: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
     """Each bike's trips in order over the whole history; ``trip_id`` breaks ties of the start time."""
     chained = neighbours(
         trips,
@@ -18,6 +23,7 @@ def bike_trajectories(trips: DataFrame, hot_rows: int = HOT_ROWS, slice_rows: in
         ["start_time", "trip_id"],
         lead={"next_start_time": "start_time", "next_start_station": "start_station_id"},
         rank="trip_seq",
+        measured_on=measured_on,
         hot_rows=hot_rows,
         slice_rows=slice_rows,
     )

@@ -15,7 +15,6 @@ from dockflow.contract import Contract, LabelRules
 from dockflow.functions.time import hour_floor
 from dockflow.operators import ledger, trajectories
 from dockflow.operators.grid import grid_end
-from dockflow.operators.ordering import HOT_ROWS, SLICE_ROWS
 
 
 @dataclass
@@ -88,32 +87,20 @@ def dense_flows(moves: DataFrame, stations: DataFrame, end: DataFrame, rules: La
     ).withColumn("net_flow", F.col("arr") - F.col("dep"))
 
 
-def station_hour_flows(
-    trips: DataFrame,
-    stations: DataFrame,
-    rules: LabelRules,
-    hot_rows: int = HOT_ROWS,
-    slice_rows: int = SLICE_ROWS,
-) -> DataFrame:
-    end = trajectories.window_end(trips)
-    traj = trajectories.bike_trajectories(trips, hot_rows, slice_rows)
+def flows_from(traj: DataFrame, end: DataFrame, stations: DataFrame, rules: LabelRules) -> DataFrame:
     return dense_flows(moves_per_station_hour(traj, end, rules), stations, end, rules)
 
 
-def build_labels(
-    trips: DataFrame,
-    stations: DataFrame,
-    contract: Contract,
-    hot_rows: int = HOT_ROWS,
-    slice_rows: int = SLICE_ROWS,
-) -> LabelResult:
-    """Nothing runs until the caller writes one of the tables."""
+def build_labels(trips: DataFrame, stations: DataFrame, contract: Contract, **sizing) -> LabelResult:
+    """Labels, events and trajectories. Only key sizes are measured here; the rest runs when a table is written.
+
+    ``sizing`` is passed to ``bike_trajectories``.
+    """
     rules = contract.labels
     end = trajectories.window_end(trips)
-    traj = trajectories.bike_trajectories(trips, hot_rows, slice_rows)
-    flows = dense_flows(moves_per_station_hour(traj, end, rules), stations, end, rules)
+    traj = trajectories.bike_trajectories(trips, **sizing)
     return LabelResult(
-        labels=ledger.labels_from_flows(flows, rules),
+        labels=ledger.labels_from_flows(flows_from(traj, end, stations, rules), rules),
         events=trajectories.movement_events(traj, rules, end),
         trajectories=traj,
     )

@@ -58,7 +58,13 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("value") * 60).cast("int").alias("duration_s"),
         busy.alias("m"),
     ).withColumn("end_station_id", (3000 + (F.col("event_id") * 31 + F.col("k")) % F.col("m")).cast("int"))
-    chained = neighbours(rides, "user_id", ["start_time", "event_id"], lag={"previous_end": "end_station_id"})
+    chained = neighbours(
+        rides,
+        "user_id",
+        ["start_time", "event_id"],
+        lag={"previous_end": "end_station_id"},
+        measured_on=events.select("user_id", F.col("ts").alias("start_time")),
+    )
     start = F.when(F.col("event_id") % 4 == 0, 3000 + (F.col("k") * 7 + 3) % F.col("m")).otherwise(
         F.coalesce("previous_end", 3000 + F.col("k") % F.col("m"))
     )
@@ -75,6 +81,13 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bike and time of every ride: what key sizes are measured on, without deriving the rides."""
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("B"), F.col("user_id").cast("string")).alias("bike_id"), F.col("ts").alias("start_time")
+    )
+
+
 def trips_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rides as published text: three archives with their own time formats, and repeated rows."""
     t = trips(spark, sf_dir)

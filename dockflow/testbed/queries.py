@@ -143,15 +143,19 @@ def kept_trips(spark, sf):
     return conform.drop_pseudo_trips(trips, parsed_stations(spark, sf))
 
 
+def chain(spark, sf):
+    """Trajectories and the end of the window, over one derivation of the rides."""
+    trips = kept_trips(spark, sf)
+    return trajectories.bike_trajectories(trips, measured_on=fx.bikes(spark, sf)), trajectories.window_end(trips)
+
+
 def traj(spark, sf):
-    return trajectories.bike_trajectories(kept_trips(spark, sf))
+    return chain(spark, sf)[0]
 
 
 def events(spark, sf):
-    trips = kept_trips(spark, sf)
-    return trajectories.movement_events(
-        trajectories.bike_trajectories(trips), RULES, trajectories.window_end(trips)
-    )
+    chained, end = chain(spark, sf)
+    return trajectories.movement_events(chained, RULES, end)
 
 
 @query
@@ -177,10 +181,8 @@ def rebalancing_events(spark, sf):
 
 @query
 def fleet_events(spark, sf):
-    trips = kept_trips(spark, sf)
-    return trajectories.fleet_events(
-        trajectories.bike_trajectories(trips), RULES, trajectories.window_end(trips)
-    )
+    chained, end = chain(spark, sf)
+    return trajectories.fleet_events(chained, RULES, end)
 
 
 @query
@@ -235,7 +237,8 @@ def rebalance_counts(spark, sf):
 
 
 def flows(spark, sf):
-    return label_plan.station_hour_flows(kept_trips(spark, sf), fx.stations(spark, sf), RULES)
+    chained, end = chain(spark, sf)
+    return label_plan.flows_from(chained, end, fx.stations(spark, sf), RULES)
 
 
 @query
