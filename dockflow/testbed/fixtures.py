@@ -5,8 +5,12 @@ Every table is a whole-table projection, so its size follows the input's.
 
 from __future__ import annotations
 
+import uuid
+import zipfile
 from dataclasses import replace
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,7 @@ from dockflow.contract import GO_LIVE_FORMATS, Contract, LabelRules, default_con
 from dockflow.functions.time import hour_floor, parse_time
 from dockflow.operators.conform import exclude_pseudo_stations
 from dockflow.operators.ordering import neighbours
+from dockflow.session import scratch_dir
 
 
 def test_contract() -> Contract:
@@ -208,3 +213,45 @@ def weather_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"ignoreNullFields": "false"},
     )
     return docs.select(payload.alias("payload"))
+
+
+# Any anchor target of a crawled page.
+ANY_LINK = r'(?i)href="([^"]*)"'
+
+# The order in which a written CSV lists its columns.
+CSV_ORDER = tuple(ARCHIVE_HEADERS[0])
+
+
+def write_trip_csvs(raw: DataFrame) -> str:
+    """One directory of CSV files per archive, each under that archive's own header."""
+    root = scratch_dir(raw.sparkSession)
+    for archive, headers in ARCHIVE_HEADERS.items():
+        part = raw.filter(F.col("archive") == archive)
+        named = part.select(*[F.nullif(F.col(c), F.lit("")).alias(headers[c]) for c in CSV_ORDER if c in headers])
+        named.write.option("header", "true").csv(f"{root}/archive={archive}")
+    return root
+
+
+def write_trip_zips(raw: DataFrame) -> str:
+    """The same CSVs zipped: every task writes the rows it holds as archives of its own."""
+    root = scratch_dir(raw.sparkSession)
+    local = root.removeprefix("file://").removeprefix("file:")
+    names = raw.columns
+
+    def write(batches):
+        members: dict[int, list[str]] = {}
+        for batch in batches:
+            for archive, rows in batch.groupby("archive"):
+                headers = ARCHIVE_HEADERS[int(archive)]
+                kept = rows[[c for c in CSV_ORDER if c in headers]].rename(columns=headers)
+                members.setdefault(int(archive), []).append(kept.to_csv(index=False, header=False, lineterminator="\n"))
+        if members:
+            with zipfile.ZipFile(f"{local}/trips-{uuid.uuid4().hex}.zip", "w", zipfile.ZIP_DEFLATED) as out:
+                for archive, parts in members.items():
+                    head = ",".join(ARCHIVE_HEADERS[archive][c] for c in CSV_ORDER if c in ARCHIVE_HEADERS[archive])
+                    out.writestr(f"data/trips-{archive}.csv", head + "\n" + "".join(parts))
+        yield pd.DataFrame({"written": [len(members)]})
+
+    Path(local).mkdir(parents=True, exist_ok=True)
+    raw.select(*names).mapInPandas(write, "written int").write.format("noop").mode("overwrite").save()
+    return root

@@ -518,3 +518,32 @@ CTE["c_effects"] = "\nUNION ALL\n".join(
 FINAL["group_share"] = """
 SELECT feature_group, round(sum(effect), 6) AS mean_abs_effect,
        round(sum(effect) / (SELECT sum(effect) FROM c_effects), 6) AS share FROM c_effects GROUP BY 1"""
+
+# ---- sources and sinks ---------------------------------------------------------------------------------------------
+
+FINAL["zip_csv_rows"] = """
+SELECT trip_id, nullif(duration, '') AS duration, start_time, end_time, start_station, end_station, bike_id,
+       bike_type, passholder_type FROM c_raw"""
+FINAL["csv_text_scan"] = FINAL["zip_csv_rows"]
+FINAL["archive_links"] = """
+SELECT url, count(*) AS n_links
+FROM (SELECT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1, 'i')) AS url FROM pages) GROUP BY 1"""
+CTE["c_plan_bounds"] = """
+SELECT CAST(min(o_orderdate) AS DATE) AS lo, CAST(max(o_orderdate) AS DATE) AS hi FROM orders"""
+CTE["c_plan"] = """
+SELECT point_name, CAST(s AS TIMESTAMP) AS chunk_start, CAST(least(s + 182, hi) AS TIMESTAMP) AS chunk_end,
+       'point=' || point_name || '/' || strftime(s, '%Y-%m-%d') || '_' || strftime(least(s + 182, hi), '%Y-%m-%d')
+         || '.json.gz' AS object_name
+FROM (SELECT DISTINCT event_type AS point_name FROM events),
+     (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 183 DAY)) AS DATE) AS s, hi FROM c_plan_bounds)"""
+FINAL["fetch_plan"] = "SELECT * FROM c_plan"
+FINAL["fetch_missing"] = """
+SELECT * FROM c_plan p WHERE NOT EXISTS (
+  SELECT 1 FROM events e WHERE e.event_type = p.point_name AND CAST(e.ts AS DATE) BETWEEN p.chunk_start AND p.chunk_end)"""
+FINAL["sink_roundtrip"] = FINAL["station_hour_labels"]
+
+FINAL["feature_vector_sum"] = (
+    "SELECT station_id, hour_ts, round(" + " + ".join(f"coalesce({c}, 0)" for c in FEATURES) + ", 6) AS vector_sum, "
+    "CAST(" + " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in FEATURES) + " AS INT) AS n_filled "
+    f"FROM (SELECT *, {SPLIT} FROM c_features) WHERE split <> 'after'"
+)

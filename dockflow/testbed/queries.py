@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockflow.functions.time import hour_floor, local_to_utc
 from dockflow.operators import (
     assembly,
+    attribution,
     calendar,
     checks,
     conform,
@@ -17,9 +19,13 @@ from dockflow.operators import (
     grid,
     ledger,
     metrics,
+    models,
     trajectories,
 )
 from dockflow.plans import labels as label_plan
+from dockflow.session import scratch_dir, staged
+from dockflow.sinks import tables
+from dockflow.sources import archives, planning
 from dockflow.sources import weather as weather_source
 from dockflow.testbed import fixtures as fx
 
@@ -495,3 +501,141 @@ def group_share(spark, sf):
     )
     found = metrics.group_share(effects, CONTRACT.feature_groups)
     return found.withColumns({c: F.round(c, 6) for c in ("mean_abs_effect", "share")})
+
+
+# ---- sources and sinks ---------------------------------------------------------------------------------------------
+
+
+@query
+def zip_csv_rows(spark, sf):
+    """Raw rides written as zips of drifting CSVs, read back and resolved."""
+    path = fx.write_trip_zips(fx.trips_raw(spark, sf))
+    return conform.resolve_cells(archives.read_zip_csv(spark, path)).drop("archive", "member")
+
+
+@query
+def csv_text_scan(spark, sf):
+    path = fx.write_trip_csvs(fx.trips_raw(spark, sf))
+    return conform.resolve_columns(archives.read_csv_text(spark, path))
+
+
+@query
+def archive_links(spark, sf):
+    """The last page that links each target, over every anchor of every page."""
+    links = planning.extract_links(fx.table(spark, sf, "pages"), fx.ANY_LINK, [1])
+    return planning.last_link_per_key(links).select("url", "n_links")
+
+
+def planned(spark, sf):
+    orders = fx.table(spark, sf, "orders")
+    bounds = orders.agg(F.to_date(F.min("o_orderdate")).alias("first_day"),
+                        F.to_date(F.max("o_orderdate")).alias("last_day"))
+    points = fx.table(spark, sf, "events").select(F.col("event_type").alias("point_name")).distinct()
+    return planning.fetch_plan(points, bounds)
+
+
+def chunk_times(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("chunk_start", "chunk_end")})
+
+
+@query
+def fetch_plan(spark, sf):
+    return chunk_times(planned(spark, sf))
+
+
+@query
+def fetch_missing(spark, sf):
+    """Chunks of the points that have no events in their first month are taken as landed."""
+    events = fx.table(spark, sf, "events")
+    plan = planned(spark, sf)
+    seen = events.select(F.col("event_type").alias("point_name"), F.to_date("ts").alias("day")).distinct()
+    landed = plan.join(seen, (plan.point_name == seen.point_name) & (seen.day >= plan.chunk_start)
+                       & (seen.day <= plan.chunk_end), "left_semi").select("object_name")
+    return chunk_times(planning.still_to_fetch(plan, landed))
+
+
+@query
+def sink_roundtrip(spark, sf):
+    """Labels written by month and read back."""
+    path = scratch_dir(spark)
+    tables.write_partitioned(labels(spark, sf), path, ["part_year", "part_month"])
+    return spark.read.parquet(path)
+
+
+# ---- models --------------------------------------------------------------------------------------------------------
+
+# Small trees: the test panel has some hundred rows per station.
+TREES = models.TreeParams(learning_rate=0.2, max_depth=4, min_rows_per_leaf=20, max_iterations=12)
+
+
+def vectors(spark, sf, contract=CONTRACT):
+    """Feature vectors, written once because a fit reads them many times."""
+    return staged(models.feature_vectors(split_table(spark, sf), contract))
+
+
+@query
+def feature_vector_sum(spark, sf):
+    rows = models.feature_vectors(split_table(spark, sf), CONTRACT)
+    total = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda acc, v: acc + v)
+    return rows.select("station_id", "hour_ts", F.round(total, 6).alias("vector_sum"), "n_filled")
+
+
+def test_rows(df: DataFrame) -> DataFrame:
+    return df.filter("split = 'test'")
+
+
+@query
+def net_flow_model(spark, sf):
+    rows = vectors(spark, sf)
+    model = models.train_net_flow(rows, CONTRACT, TREES, "l2")
+    return models.score_net_flow(model, test_rows(rows)).select("station_id", "hour_ts", "net_flow", "pred_flow")
+
+
+@query
+def is_empty_model(spark, sf):
+    rows = vectors(spark, sf)
+    model = models.train_is_empty(rows, CONTRACT, TREES)
+    return models.score_is_empty(model, test_rows(rows)).select("station_id", "hour_ts", "is_empty", "p_empty")
+
+
+@query
+def model_gates(spark, sf):
+    rows = vectors(spark, sf)
+    model = models.train_net_flow(rows, CONTRACT, TREES, "l2")
+    scored = models.score_net_flow(model, test_rows(rows))
+    table = assembly.baseline_table(rows.filter("split = 'train'"))
+    base = assembly.baseline_predictions(test_rows(rows), table)
+    return models.model_gates(
+        metrics.regression_metrics(scored, "net_flow", "pred_flow"),
+        metrics.regression_metrics(base, "net_flow", "pred_flow"),
+        model.getNumTrees,
+    )
+
+
+@query
+def attribution_sample(spark, sf):
+    return models.row_sample(test_rows(label_splits(spark, sf)), ["station_id", "hour_ts"])
+
+
+@query
+def group_attribution(spark, sf):
+    rows = vectors(spark, sf)
+    model = models.train_net_flow(rows, CONTRACT, TREES, "l2")
+    keys = ["station_id", "hour_ts"]
+    sample = models.row_sample(test_rows(rows), keys)
+    return metrics.group_share(
+        attribution.contributions(model, sample, keys, CONTRACT.features), CONTRACT.feature_groups
+    )
+
+
+@query
+def variant_no_lag(spark, sf):
+    """The same attribution by a model that was never shown the lag group."""
+    variant = CONTRACT.without_groups(["lag"])
+    rows = vectors(spark, sf, variant)
+    model = models.train_net_flow(rows, variant, TREES, "l2")
+    keys = ["station_id", "hour_ts"]
+    sample = models.row_sample(test_rows(rows), keys)
+    return metrics.group_share(
+        attribution.contributions(model, sample, keys, variant.features), variant.feature_groups
+    )
