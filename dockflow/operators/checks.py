@@ -37,14 +37,23 @@ def require_rows(df: DataFrame, what: str) -> None:
 
 def mass_balance(events: DataFrame) -> DataFrame:
     """Relocations pair up, so what is left over must be the bikes that entered and did not leave."""
-    n = events.agg(
+    return _balance(events.agg(
         F.count_if(F.col("event_type") == "reb_in").alias("n_in"),
         F.count_if(F.col("event_type") == "reb_out").alias("n_out"),
         F.count_if(F.col("event_kind") == "fleet_entry").alias("n_entry"),
         F.count_if(F.col("event_kind") == "fleet_exit").alias("n_exit"),
-    )
+    ))
+
+
+def mass_balance_of_moves(moves: DataFrame) -> DataFrame:
+    """The same from the station-hour counts, without deriving the events again."""
+    names = {"n_in": "reb_in", "n_out": "reb_out", "n_entry": "fleet_entry", "n_exit": "fleet_exit"}
+    return _balance(moves.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in names.items()]))
+
+
+def _balance(counts: DataFrame) -> DataFrame:
     left, expected = F.col("n_in") - F.col("n_out"), F.col("n_entry") - F.col("n_exit")
-    return n.select(F.inline(F.array(check_row("mass_balance", left == expected, left, expected, "warn"))))
+    return counts.select(F.inline(F.array(check_row("mass_balance", left == expected, left, expected, "warn"))))
 
 
 def station_zero_hours(labels: DataFrame) -> DataFrame:
@@ -85,6 +94,15 @@ def maintenance_by_month(events: DataFrame, months: int = 12) -> DataFrame:
     return counted.agg(F.count(F.lit(1)).alias("n_removals")).orderBy("month").limit(months)
 
 
+def maintenance_by_month_of_moves(moves: DataFrame, months: int = 12) -> DataFrame:
+    """The same from the station-hour counts, which carry both events of each removal."""
+    counted = moves.groupBy(month_floor(moves, "hour_ts").alias("month"))
+    return (
+        counted.agg(F.sum("maintenance_removal").alias("n_removals")).filter("n_removals > 0")
+        .orderBy("month").limit(months)
+    )
+
+
 def leakage_audit(features: DataFrame, contract: Contract) -> DataFrame:
     """Every column that is no key or label must be a declared feature, and every declared feature must be there.
 

@@ -210,29 +210,26 @@ def with_month(df: DataFrame, time: str, year: str = "year", month: str = "month
     return df.withColumn(year, F.year(time)).withColumn(month, F.month(time))
 
 
+def clean_parsed_trips(
+    parsed: DataFrame, stations: DataFrame, contract: Contract, unzoned: bool = False
+) -> DataFrame:
+    """Typed trips to clean trips: filter, drop pseudo-stations, deduplicate, conform."""
+    kept = drop_pseudo_trips(filter_trips(parsed, contract), stations)
+    return with_month(to_schema(deduplicate(kept, ["trip_id"]), clean_trip_schema(unzoned)), "start_time")
+
+
 def clean_trips(resolved: DataFrame, stations: DataFrame, contract: Contract, unzoned: bool = False) -> DataFrame:
-    """Resolved text to clean trips: parse, filter, drop pseudo-stations, deduplicate, conform."""
-    kept = filter_trips(parse_trips(resolved, unzoned), contract)
-    unique = deduplicate(drop_pseudo_trips(kept, stations), ["trip_id"])
-    return with_month(to_schema(unique, clean_trip_schema(unzoned)), "start_time")
+    """Resolved text to clean trips."""
+    return clean_parsed_trips(parse_trips(resolved, unzoned), stations, contract, unzoned)
 
 
 def parse_stations(raw: DataFrame, unzoned: bool = False) -> DataFrame:
     """The station directory under whatever header it was published; rows without a usable id are dropped."""
-    by_name = {normalise_name(c): c for c in raw.columns}
-
-    def pick(canonical: str) -> Column:
-        for name in STATION_ALIASES[canonical]:
-            if name in by_name:
-                return F.col(f"`{by_name[name]}`")
-        raise ContractError(
-            f"the station file has none of {STATION_ALIASES[canonical]}; columns present: {raw.columns}"
-        )
-
-    return raw.select(
-        text_to_int(pick("station_id")).alias("station_id"),
-        pick("station_name").alias("station_name"),
-        parse_time(pick("go_live_raw"), GO_LIVE_FORMATS, unzoned).alias("go_live_date"),
+    named = resolve_columns(raw, STATION_ALIASES, nullable=())
+    return named.select(
+        text_to_int("station_id").alias("station_id"),
+        "station_name",
+        parse_time("go_live_raw", GO_LIVE_FORMATS, unzoned).alias("go_live_date"),
     ).filter("station_id IS NOT NULL")
 
 

@@ -128,5 +128,9 @@ def model_gates(regression: DataFrame, baseline: DataFrame, n_trees: int) -> Dat
 
 
 def row_sample(rows: DataFrame, keys: list[str], n: int = SAMPLE_ROWS, seed: int = 0) -> DataFrame:
-    """At most ``n`` rows, the same ones on every run and for every partitioning: the least hashes of the key."""
-    return rows.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    """At most ``n`` rows, the same ones on every run and for every partitioning: the least hashes of the key.
+
+    The sample is spread again, as a limit leaves one partition.
+    """
+    width = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n).repartition(width, *keys)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockflow.contract import LabelRules
-from dockflow.functions.time import DAY, HOUR, from_seconds, seconds
+from dockflow.functions.time import HOUR, from_seconds, seconds
 from dockflow.operators.ordering import HOT_ROWS, SLICE_ROWS, neighbours
 
 
@@ -57,6 +57,11 @@ def move_times(traj: DataFrame, rules: LabelRules) -> tuple[Column, Column]:
     return left, arrived
 
 
+def move_kind(rules: LabelRules) -> Column:
+    long_gap = gap_seconds() >= rules.rebalance_long_gap_hours * HOUR
+    return F.when(long_gap, "maintenance_removal").otherwise("rebalance")
+
+
 def retired(rules: LabelRules) -> Column:
     """The bike's last trip ended too long before the window's end for the bike to be merely idle."""
     return F.col("is_last_trip") & (
@@ -76,7 +81,7 @@ def _event(station: str, time: Column, event_type: str, kind: Column) -> Column:
 def rebalancing_events(traj: DataFrame, rules: LabelRules) -> DataFrame:
     """One removal and one return per relocation."""
     left, arrived = move_times(traj, rules)
-    kind = F.when(gap_seconds() >= rules.rebalance_long_gap_hours * HOUR, "maintenance_removal").otherwise("rebalance")
+    kind = move_kind(rules)
     pair = F.array(
         _event("end_station_id", left, "reb_out", kind), _event("next_start_station", arrived, "reb_in", kind)
     )
@@ -104,7 +109,7 @@ def fleet_events(traj: DataFrame, rules: LabelRules, end: DataFrame) -> DataFram
 def movement_events(traj: DataFrame, rules: LabelRules, end: DataFrame) -> DataFrame:
     """Every unrecorded movement, emitted in one pass over the trajectories."""
     left, arrived = move_times(traj, rules)
-    kind = F.when(gap_seconds() >= rules.rebalance_long_gap_hours * HOUR, "maintenance_removal").otherwise("rebalance")
+    kind = move_kind(rules)
     edge = f"INTERVAL {rules.edge_offset_hours} HOURS"
     events = F.array(
         F.when(was_moved(), _event("end_station_id", left, "reb_out", kind)),

@@ -24,26 +24,38 @@ class LabelResult:
     trajectories: DataFrame
 
 
+# Event kinds counted beside the flows, for the checks: they are thrown away by column pruning where unused.
+KINDS = ("fleet_entry", "fleet_exit", "maintenance_removal")
+
+
 def moves_per_station_hour(traj: DataFrame, end: DataFrame, rules: LabelRules) -> DataFrame:
     """Arrivals, departures and inferred moves per station-hour, from one pass over the trajectories."""
     left, arrived = trajectories.move_times(traj, rules)
     edge = f"INTERVAL {rules.edge_offset_hours} HOURS"
+    moved, first = trajectories.was_moved(), F.col("is_first_trip")
+    kind = trajectories.move_kind(rules)
 
-    def move(station: str, time: Column, count: str) -> Column:
-        flags = [F.lit(1 if c == count else 0).cast("long").alias(c) for c in ledger.COUNTS]
-        return F.struct(F.col(station).alias("station_id"), time.alias("at"), *flags)
+    def move(station: str, time: Column, count: str, kind: Column) -> Column:
+        return F.struct(
+            F.col(station).alias("station_id"), time.alias("at"), F.lit(count).alias("count"), kind.alias("kind")
+        )
 
+    none = F.lit(None).cast("string")
     moves = F.array(
-        move("end_station_id", F.col("end_time"), "arr"),
-        move("start_station_id", F.col("start_time"), "dep"),
-        F.when(trajectories.was_moved(), move("end_station_id", left, "reb_out")),
-        F.when(trajectories.was_moved(), move("next_start_station", arrived, "reb_in")),
-        F.when(F.col("is_first_trip"), move("start_station_id", F.expr(f"start_time - {edge}"), "reb_in")),
-        F.when(trajectories.retired(rules), move("end_station_id", F.expr(f"end_time + {edge}"), "reb_out")),
+        move("end_station_id", F.col("end_time"), "arr", none),
+        move("start_station_id", F.col("start_time"), "dep", none),
+        F.when(moved, move("end_station_id", left, "reb_out", kind)),
+        F.when(moved, move("next_start_station", arrived, "reb_in", kind)),
+        F.when(first, move("start_station_id", F.expr(f"start_time - {edge}"), "reb_in", F.lit("fleet_entry"))),
+        F.when(
+            trajectories.retired(rules),
+            move("end_station_id", F.expr(f"end_time + {edge}"), "reb_out", F.lit("fleet_exit")),
+        ),
     )
     each = traj.crossJoin(F.broadcast(end)).select(F.inline(moves)).filter("station_id IS NOT NULL")
     return each.groupBy("station_id", hour_floor(each, "at").alias("hour_ts")).agg(
-        *[F.sum(c).alias(c) for c in ledger.COUNTS]
+        *[F.count_if(F.col("count") == c).alias(c) for c in ledger.COUNTS],
+        *[F.count_if(F.col("kind") == k).alias(k) for k in KINDS],
     )
 
 

@@ -112,6 +112,25 @@ def read_zip_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _member_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, member in zip(batch["path"], batch["member"]):
+            with open_path(path) as raw, zipfile.ZipFile(raw) as archive, archive.open(member) as stream:
+                line = io.TextIOWrapper(stream, encoding="utf-8-sig", newline="").readline().rstrip("\r\n")
+            cells = [dict.fromkeys(next(csv.reader([line]), []))]
+            yield pd.DataFrame({"archive": path.rsplit("/", 1)[-1], "member": member, "cells": cells})
+
+
+def read_zip_headers(spark: SparkSession, path: str) -> DataFrame:
+    """One row per member with its header as empty cells: what a header audit needs, without reading the rows."""
+    files = list_files(spark, path, "*.zip").select("path")
+    width = spark.sparkContext.defaultParallelism
+    members = files.repartition(width, "path").mapInPandas(_members, "path string, member string")
+    return members.repartition(width, "path", "member").mapInPandas(
+        _member_headers, "archive string, member string, cells map<string,string>"
+    )
+
+
 def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         lines = []
