@@ -30,8 +30,9 @@ def ranked_scores(rows: DataFrame, label: str, score: str, buckets: int = SCORE_
     )
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     cuts = by_score.agg(F.percentile_approx("score", shares, 10_000).alias("_cuts"))
+    below = F.size(F.filter("_cuts", lambda c: c < F.col("score")))
     placed = by_score.crossJoin(F.broadcast(cuts)).select(
-        "score", "pos", "neg", F.size(F.filter("_cuts", lambda c: c < F.col("score"))).alias("bucket")
+        "score", "pos", "neg", F.coalesce(below, F.lit(0)).alias("bucket")
     )
     totals = placed.groupBy("bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     # At most one element per bucket.

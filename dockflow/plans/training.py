@@ -101,4 +101,4 @@ def export(result: TrainingResult, contract: Contract, path: str, drop_groups: t
     write_json(result.group_effects, f"{path}/attribution_by_group")
     write_json(result.feature_effects.orderBy(F.desc("mean_abs_effect")), f"{path}/attribution_by_feature")
     contract_text = spark.createDataFrame([(variant.to_json(),)], "value string")
-    contract_text.write.mode("overwrite").text(f"{path}/contract", lineSep="")
+    contract_text.write.mode("overwrite").text(f"{path}/contract")

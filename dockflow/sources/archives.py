@@ -79,7 +79,7 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, member, header, text in zip(batch["path"], batch["member"], batch["header"], batch["text"]):
             names = next(csv.reader([header.rstrip("\r")]))
             archive = path.rsplit("/", 1)[-1]
-            lines = text.splitlines()
+            lines = [line.rstrip("\r") for line in text.split("\n")]
             # A line is a record, as in Spark's own reader; a stray quote must not swallow the lines after it.
             records = csv.reader(lines) if '"' not in text else (r for x in lines for r in csv.reader([x]))
             cells: list[dict] = []

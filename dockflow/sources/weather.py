@@ -52,12 +52,12 @@ def weather_hours(docs: DataFrame, contract: Contract, unzoned: bool = False) ->
     rows = doc.select(
         F.coalesce("d._point.name", F.lit("unknown")).alias("point_name"), suns.alias("suns"), F.inline(hours)
     ).filter("time IS NOT NULL")
-    day = F.element_at(F.filter("suns", lambda s: s["time"] == F.substring("time", 1, 10)), -1)
+    day = F.try_element_at(F.filter("suns", lambda s: s["time"] == F.substring("time", 1, 10)), F.lit(-1))
     lit_up = F.when(
         F.col("day").isNotNull(),
         F.when(F.col("time").between(F.col("day.sunrise"), F.col("day.sunset")), 1.0).otherwise(0.0),
     )
-    typed = rows.withColumn("day", F.try_element_at(F.array(day), F.lit(1))).select(
+    typed = rows.withColumn("day", day).select(
         "point_name",
         parse_time("time", WEATHER_TIME_FORMATS, unzoned).alias("hour_ts"),
         *contract.hourly,
