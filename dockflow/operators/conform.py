@@ -82,17 +82,25 @@ def missing_columns(df: DataFrame, aliases=None, nullable=NULLABLE_COLUMNS, cell
 
 
 def parse_trips(resolved: DataFrame, unzoned: bool = False) -> DataFrame:
-    """Typed trips: times by the first fitting format, whole-minute durations as seconds, keys as integers."""
-    start = parse_time("start_time", TRIP_TIME_FORMATS, unzoned)
-    end = parse_time("end_time", TRIP_TIME_FORMATS, unzoned)
-    timed = resolved.withColumn("start_time", start).withColumn("end_time", end)
-    return timed.select(
+    """Typed trips: times by the first fitting format, whole-minute durations as seconds, keys as integers.
+
+    Times and stations are generated columns because filters are not pushed below a generator: pushed below a
+    projection, each condition on them would read the text again.
+    """
+    typed = F.struct(
+        parse_time("start_time", TRIP_TIME_FORMATS, unzoned).alias("start_time"),
+        parse_time("end_time", TRIP_TIME_FORMATS, unzoned).alias("end_time"),
+        text_to_int("start_station").alias("start_station_id"),
+        text_to_int("end_station").alias("end_station_id"),
+    )
+    text = [c for c in resolved.columns if c not in ("start_time", "end_time")]
+    return resolved.select(*text, F.inline(F.array(typed))).select(
         F.col("trip_id").try_cast("long").alias("trip_id"),
         trip_duration().alias("duration_s"),
         "start_time",
         "end_time",
-        text_to_int("start_station").alias("start_station_id"),
-        text_to_int("end_station").alias("end_station_id"),
+        "start_station_id",
+        "end_station_id",
         "bike_id",
         "bike_type",
         "passholder_type",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockflow.contract import LabelRules
-from dockflow.functions.time import HOUR, from_seconds, seconds
+from dockflow.functions.time import HOUR, at_second, is_unzoned, seconds
 from dockflow.operators.ordering import HOT_ROWS, SLICE_ROWS, neighbours
 
 
@@ -47,10 +47,23 @@ def relocations(traj: DataFrame) -> DataFrame:
     return traj.filter(was_moved()).withColumn("gap_h", gap_seconds() / F.lit(float(HOUR)))
 
 
+# The middle of a gap in whole seconds, rounded down.
+MIDDLE = "shiftright(unix_timestamp(end_time) + unix_timestamp(next_start_time), 1)"
+
+
+def move_seconds(rules: LabelRules) -> tuple[Column, Column]:
+    """``move_times`` as seconds since the epoch, for callers that only count by hour."""
+    short = gap_seconds() < rules.rebalance_short_gap_hours * HOUR
+    edge = rules.edge_offset_hours * HOUR
+    left = F.when(short, F.expr(MIDDLE)).otherwise(seconds("end_time") + edge)
+    arrived = F.when(short, F.expr(MIDDLE)).otherwise(seconds("next_start_time") - edge)
+    return left, arrived
+
+
 def move_times(traj: DataFrame, rules: LabelRules) -> tuple[Column, Column]:
     """When a moved bike left and when it arrived: the middle of a short gap, else one hour inside each edge."""
     short = gap_seconds() < rules.rebalance_short_gap_hours * HOUR
-    middle = from_seconds(traj, "end_time", "shiftright(unix_timestamp(end_time) + unix_timestamp(next_start_time), 1)")
+    middle = at_second(MIDDLE, is_unzoned(traj, "end_time"))
     edge = f"INTERVAL {rules.edge_offset_hours} HOURS"
     left = F.when(short, middle).otherwise(F.expr(f"end_time + {edge}"))
     arrived = F.when(short, middle).otherwise(F.expr(f"next_start_time - {edge}"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockflow.contract import Contract, LabelRules
-from dockflow.functions.time import hour_floor
+from dockflow.functions.time import HOUR, hour_floor, hour_key, hour_of_key, is_unzoned, seconds
 from dockflow.operators import ledger, trajectories
 from dockflow.operators.grid import grid_end
 
@@ -28,35 +28,45 @@ class LabelResult:
 KINDS = ("fleet_entry", "fleet_exit", "maintenance_removal")
 
 
+def _code(name: str) -> Column:
+    """A count or kind as a small integer, cheaper to carry and compare than its name."""
+    return F.lit((*ledger.COUNTS, *KINDS).index(name))
+
+
 def moves_per_station_hour(traj: DataFrame, end: DataFrame, rules: LabelRules) -> DataFrame:
-    """Arrivals, departures and inferred moves per station-hour, from one pass over the trajectories."""
-    left, arrived = trajectories.move_times(traj, rules)
-    edge = f"INTERVAL {rules.edge_offset_hours} HOURS"
+    """Arrivals, departures and inferred moves per station-hour, from one pass over the trajectories.
+
+    Times are seconds until the counts are made; only the aggregated rows get a timestamp.
+    """
+    unzoned = is_unzoned(traj, "end_time")
+    left, arrived = trajectories.move_seconds(rules)
+    start, stop, edge = seconds("start_time"), seconds("end_time"), rules.edge_offset_hours * HOUR
     moved, first = trajectories.was_moved(), F.col("is_first_trip")
-    kind = trajectories.move_kind(rules)
+    kind = F.when(trajectories.move_kind(rules) == "maintenance_removal", _code("maintenance_removal")).otherwise(-1)
 
-    def move(station: str, time: Column, count: str, kind: Column) -> Column:
+    def move(station: str, at: Column, count: str, kind: Column) -> Column:
         return F.struct(
-            F.col(station).alias("station_id"), time.alias("at"), F.lit(count).alias("count"), kind.alias("kind")
+            F.col(station).alias("station_id"), at.alias("at"), _code(count).alias("count"), kind.alias("kind")
         )
 
-    none = F.lit(None).cast("string")
     moves = F.array(
-        move("end_station_id", F.col("end_time"), "arr", none),
-        move("start_station_id", F.col("start_time"), "dep", none),
+        move("end_station_id", stop, "arr", F.lit(-1)),
+        move("start_station_id", start, "dep", F.lit(-1)),
         F.when(moved, move("end_station_id", left, "reb_out", kind)),
         F.when(moved, move("next_start_station", arrived, "reb_in", kind)),
-        F.when(first, move("start_station_id", F.expr(f"start_time - {edge}"), "reb_in", F.lit("fleet_entry"))),
-        F.when(
-            trajectories.retired(rules),
-            move("end_station_id", F.expr(f"end_time + {edge}"), "reb_out", F.lit("fleet_exit")),
-        ),
+        F.when(first, move("start_station_id", start - edge, "reb_in", _code("fleet_entry"))),
+        F.when(trajectories.retired(rules), move("end_station_id", stop + edge, "reb_out", _code("fleet_exit"))),
     )
     each = traj.crossJoin(F.broadcast(end)).select(F.inline(moves)).filter("station_id IS NOT NULL")
-    return each.groupBy("station_id", hour_floor(each, "at").alias("hour_ts")).agg(
-        *[F.count_if(F.col("count") == c).alias(c) for c in ledger.COUNTS],
-        *[F.count_if(F.col("kind") == k).alias(k) for k in KINDS],
+    counted = (
+        each.select("station_id", hour_key("at", unzoned).alias("hour"), "count", "kind")
+        .groupBy("station_id", "hour")
+        .agg(
+            *[F.count_if(F.col("count") == _code(c)).alias(c) for c in ledger.COUNTS],
+            *[F.count_if(F.col("kind") == _code(k)).alias(k) for k in KINDS],
+        )
     )
+    return counted.select("station_id", hour_of_key("hour", unzoned).alias("hour_ts"), *ledger.COUNTS, *KINDS)
 
 
 def dense_flows(moves: DataFrame, stations: DataFrame, end: DataFrame, rules: LabelRules) -> DataFrame:

@@ -13,9 +13,10 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dockflow.contract import GO_LIVE_FORMATS, Contract, LabelRules, default_contract
-from dockflow.functions.time import hour_floor, parse_time
+from dockflow.functions.time import at_second, hour_floor, parse_time
 from dockflow.operators.conform import exclude_pseudo_stations
 from dockflow.operators.ordering import neighbours
 from dockflow.session import scratch_dir
@@ -45,8 +46,15 @@ def test_contract() -> Contract:
     )
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; its schema is read from the file once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +66,7 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id",
         "event_type",
         k.alias("k"),
-        F.expr("ts - make_dt_interval(0, 0, 0, extract(SECOND FROM ts) - floor(extract(SECOND FROM ts)))")
-        .alias("start_time"),
+        at_second("unix_timestamp(ts)", unzoned=True).alias("start_time"),
         F.floor(F.col("value") * 60).cast("int").alias("duration_s"),
         busy.alias("m"),
     ).withColumn("end_station_id", (3000 + (F.col("event_id") * 31 + F.col("k")) % F.col("m")).cast("int"))
