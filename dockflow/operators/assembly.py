@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dockflow.contract import Contract
+from dockflow.functions.single import attach
 from dockflow.functions.time import literal_like
 
 SPLITS = ("train", "val", "test")
@@ -67,7 +68,6 @@ def baseline_predictions(rows: DataFrame, table: DataFrame, name: str = "pred_fl
     slots = table.select("station_id", "hour", "dow", F.col("mean_net_flow").alias("_mean"))
     keyed = rows.withColumns({"hour": F.hour("hour_ts"), "dow": F.weekday("hour_ts")})
     return (
-        keyed.join(slots, ["station_id", "hour", "dow"], "left")
-        .crossJoin(F.broadcast(overall))
+        attach(keyed.join(slots, ["station_id", "hour", "dow"], "left"), overall)
         .select(*rows.columns, F.coalesce("_mean", "_overall").alias(name))
     )

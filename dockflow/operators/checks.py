@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockflow.contract import KEY_COLUMNS, LABEL_COLUMNS, Contract, ContractError, LabelRules
+from dockflow.functions.single import attach
 from dockflow.functions.time import month_floor
 from dockflow.operators import trajectories
 
@@ -80,7 +81,7 @@ def zero_concentration(labels: DataFrame, worst: int = WORST_STATIONS) -> DataFr
     )
     top = per_station.orderBy(F.desc("n_zero"), "station_id").limit(worst).agg(F.sum("n_zero").alias("n_zero_worst"))
     share = F.when(F.col("n_zero") > 0, 100.0 * F.col("n_zero_worst") / F.col("n_zero")).otherwise(0.0)
-    return total.crossJoin(F.broadcast(top)).withColumn("worst_share_pct", share)
+    return attach(total, top).withColumn("worst_share_pct", share)
 
 
 def worst_stations(labels: DataFrame, n: int = 5) -> DataFrame:
@@ -159,7 +160,7 @@ def dataset_card(trips: DataFrame, labels: DataFrame) -> DataFrame:
         (F.sum("n_empty") / F.sum("n")).alias("zero_hour_share"),
         (F.sum("n_still") / F.sum("n")).alias("zero_flow_share"),
     )
-    return t.crossJoin(F.broadcast(p))
+    return attach(t, p)
 
 
 def feature_profile(features: DataFrame, names: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dockflow.contract import LabelRules
+from dockflow.functions.single import attach
 from dockflow.functions.time import hour_floor
 
 
@@ -51,7 +52,7 @@ def station_hour_grid(stations: DataFrame, activity: DataFrame, bounds: DataFram
     """One row per observed station and hour. Each station expands its own range, so no row is made to be discarded."""
     known = observed_stations(stations.select("station_id", "go_live_date"), activity)
     start = F.greatest(hour_floor(known, "go_live_date"), hour_floor(known, "first_seen"))
-    ranged = known.crossJoin(F.broadcast(bounds)).select(
+    ranged = attach(known, bounds).select(
         "station_id",
         start.alias("lo"),
         F.coalesce(grid_end("last_seen", rules), hour_floor(known, "last_seen")).alias("hi"),

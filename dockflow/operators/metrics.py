@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dockflow.functions.single import attach
+
 # Scores are cut into this many runs of about equally many distinct values before they are ranked.
 SCORE_BUCKETS = 128
 CLIP = 1e-15
@@ -31,7 +33,7 @@ def ranked_scores(rows: DataFrame, label: str, score: str, buckets: int = SCORE_
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     cuts = by_score.agg(F.percentile_approx("score", shares, 10_000).alias("_cuts"))
     below = F.size(F.filter("_cuts", lambda c: c < F.col("score")))
-    placed = by_score.crossJoin(F.broadcast(cuts)).select(
+    placed = attach(by_score, cuts).select(
         "score", "pos", "neg", F.coalesce(below, F.lit(0)).alias("bucket")
     )
     totals = placed.groupBy("bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
@@ -90,7 +92,7 @@ def group_share(contributions: DataFrame, groups: dict[str, tuple[str, ...]]) ->
     listed = F.array(*[F.struct(F.lit(owner[f]).alias("feature_group"), F.col(f).alias("effect")) for f in names])
     by_group = means.select(F.inline(listed)).groupBy("feature_group").agg(F.sum("effect").alias("mean_abs_effect"))
     total = by_group.agg(F.sum("mean_abs_effect").alias("_total"))
-    return by_group.crossJoin(F.broadcast(total)).select(
+    return attach(by_group, total).select(
         "feature_group",
         "mean_abs_effect",
         F.when(F.col("_total") > 0, F.col("mean_abs_effect") / F.col("_total")).otherwise(0.0).alias("share"),

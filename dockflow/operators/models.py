@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dockflow.contract import Contract, ContractError
+from dockflow.functions.single import attach
 from dockflow.operators.assembly import class_weight
 from dockflow.operators.checks import check_row
 
@@ -99,7 +100,7 @@ def train_is_empty(
         validationTol=params.validation_tol,
         seed=params.seed,
     )
-    rows = _fit_rows(vectors).crossJoin(F.broadcast(weight)).select(
+    rows = attach(_fit_rows(vectors), weight).select(
         "features",
         F.col(target).cast("double").alias("label"),
         F.when(F.col(target), F.col("class_weight")).otherwise(1.0).alias("weight"),
@@ -119,7 +120,7 @@ def score_is_empty(model: GBTClassificationModel, vectors: DataFrame) -> DataFra
 
 def model_gates(regression: DataFrame, baseline: DataFrame, n_trees: int) -> DataFrame:
     """Check rows: the model beats the baseline's error, and it did not stop at once."""
-    both = regression.select("mae").crossJoin(F.broadcast(baseline.select(F.col("mae").alias("baseline"))))
+    both = attach(regression.select("mae"), baseline.select(F.col("mae").alias("baseline")))
     trees, least = F.lit(n_trees), F.lit(DEGENERATE_ITERATIONS)
     return both.select(F.inline(F.array(
         check_row("beats_baseline", F.col("mae") < F.col("baseline"), F.col("mae"), F.col("baseline"), "warn"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockflow.contract import LabelRules
+from dockflow.functions.single import attach
 from dockflow.functions.time import HOUR, at_second, is_unzoned, seconds
 from dockflow.operators.ordering import HOT_ROWS, SLICE_ROWS, neighbours
 
@@ -102,7 +103,7 @@ def rebalancing_events(traj: DataFrame, rules: LabelRules) -> DataFrame:
 
 
 def window_end(trips: DataFrame) -> DataFrame:
-    """The last end of any trip: one row, so it can always be broadcast."""
+    """The last end of any trip, as one row."""
     return trips.agg(F.max("end_time").alias("window_end"))
 
 
@@ -113,8 +114,7 @@ def fleet_events(traj: DataFrame, rules: LabelRules, end: DataFrame) -> DataFram
     exit_ = _event("end_station_id", F.expr(f"end_time + {edge}"), "reb_out", F.lit("fleet_exit"))
     both = F.array(F.when(F.col("is_first_trip"), entry), F.when(retired(rules), exit_))
     return (
-        traj.filter(F.col("is_first_trip") | F.col("is_last_trip"))
-        .crossJoin(F.broadcast(end))
+        attach(traj.filter(F.col("is_first_trip") | F.col("is_last_trip")), end)
         .select(F.inline(F.filter(both, lambda e: e.isNotNull())))
     )
 
@@ -135,4 +135,4 @@ def movement_events(traj: DataFrame, rules: LabelRules, end: DataFrame) -> DataF
             retired(rules), _event("end_station_id", F.expr(f"end_time + {edge}"), "reb_out", F.lit("fleet_exit"))
         ),
     )
-    return traj.crossJoin(F.broadcast(end)).select(F.inline(F.filter(events, lambda e: e.isNotNull())))
+    return attach(traj, end).select(F.inline(F.filter(events, lambda e: e.isNotNull())))

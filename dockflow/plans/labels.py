@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockflow.contract import Contract, LabelRules
+from dockflow.functions.single import attach
 from dockflow.functions.time import HOUR, hour_floor, hour_key, hour_of_key, is_unzoned, seconds
 from dockflow.operators import ledger, trajectories
 from dockflow.operators.grid import grid_end
@@ -57,7 +58,7 @@ def moves_per_station_hour(traj: DataFrame, end: DataFrame, rules: LabelRules) -
         F.when(first, move("start_station_id", start - edge, "reb_in", _code("fleet_entry"))),
         F.when(trajectories.retired(rules), move("end_station_id", stop + edge, "reb_out", _code("fleet_exit"))),
     )
-    each = traj.crossJoin(F.broadcast(end)).select(F.inline(moves)).filter("station_id IS NOT NULL")
+    each = attach(traj, end).select(F.inline(moves)).filter("station_id IS NOT NULL")
     counted = (
         each.select("station_id", hour_key("at", unzoned).alias("hour"), "count", "kind")
         .groupBy("station_id", "hour")
@@ -82,8 +83,7 @@ def dense_flows(moves: DataFrame, stations: DataFrame, end: DataFrame, rules: La
     station = Window.partitionBy("station_id")
     seen = F.when((F.col("arr") > 0) | (F.col("dep") > 0), F.col("hour_ts"))
     bounded = (
-        moves.join(live, "station_id")
-        .crossJoin(F.broadcast(last_hour))
+        attach(moves.join(live, "station_id"), last_hour)
         .withColumns({
             "first_seen": F.min(seen).over(station),
             "last_seen": F.max(seen).over(station),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dockflow.contract import Contract
+from dockflow.functions.single import attach
 from dockflow.operators import assembly, attribution, metrics, models
 from dockflow.session import staged
 from dockflow.sinks.tables import write_json
@@ -63,12 +64,10 @@ def train(
     )
     weight = assembly.class_weight(rows.filter("split = 'train'"), variant.classification_target)
     record = (
-        counts.crossJoin(
-            F.broadcast(flow.select(F.col("mae").alias("net_flow_mae"), F.col("rmse").alias("net_flow_rmse")))
-        )
-        .crossJoin(F.broadcast(base.select(F.col("mae").alias("baseline_mae"))))
-        .crossJoin(F.broadcast(empty.select("pr_auc", "roc_auc", "brier", "log_loss")))
-        .crossJoin(F.broadcast(weight.select("class_weight")))
+        counts.transform(attach, flow.select(F.col("mae").alias("net_flow_mae"), F.col("rmse").alias("net_flow_rmse")))
+        .transform(attach, base.select(F.col("mae").alias("baseline_mae")))
+        .transform(attach, empty.select("pr_auc", "roc_auc", "brier", "log_loss"))
+        .transform(attach, weight.select("class_weight"))
         .withColumns({
             "net_flow_iterations": F.lit(flow_model.getNumTrees),
             "is_empty_iterations": F.lit(empty_model.getNumTrees),

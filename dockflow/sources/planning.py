@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockflow.contract import Contract, ContractError
+from dockflow.functions.single import attach
 
 # Hrefs of the published archives and station tables. Groups: url, year, quarter; url.
 TRIP_ARCHIVE_LINK = r'(?i)href="(https?://[^"]*?-trips-(\d{4})-q(\d)\.zip)"'
@@ -49,8 +50,8 @@ def fetch_plan(points: DataFrame, bounds: DataFrame) -> DataFrame:
     ``bounds`` is one row. A last day left over by itself is a chunk of its own.
     """
     starts = F.explode(F.expr(f"sequence(first_day, last_day, INTERVAL {CHUNK_DAYS + 1} DAYS)"))
-    chunks = bounds.select("last_day", starts.alias("chunk_start"))
-    return points.join(chunks).select(
+    chunks = attach(points, bounds).select("point_name", "last_day", starts.alias("chunk_start"))
+    return chunks.select(
         "point_name",
         "chunk_start",
         F.least(F.date_add("chunk_start", CHUNK_DAYS), F.col("last_day")).alias("chunk_end"),

@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dockflow.functions.single import attach
 from dockflow.functions.time import hour_floor, local_to_utc
 from dockflow.operators import (
     assembly,
@@ -464,7 +465,7 @@ def recovery_gate(spark, sf):
 
 def scored_flow(spark, sf):
     """Test rows with the baseline's prediction."""
-    rows = label_splits(spark, sf)
+    rows = staged(label_splits(spark, sf).select("station_id", "hour_ts", "net_flow", "split"))
     table = assembly.baseline_table(rows.filter("split = 'train'"))
     return assembly.baseline_predictions(rows.filter("split = 'test'"), table)
 
@@ -485,7 +486,7 @@ def regression_metrics(spark, sf):
 def classification_metrics(spark, sf):
     """A score from last hour's stock, over every labelled hour that has one."""
     lagged = features.with_lags(labels(spark, sf)).filter("occupancy_lag_1h IS NOT NULL")
-    scored = lagged.select("is_empty", (1 / (1 + F.col("occupancy_lag_1h"))).alias("p_empty"))
+    scored = staged(lagged.select("is_empty", (1 / (1 + F.col("occupancy_lag_1h"))).alias("p_empty")))
     found = metrics.classification_metrics(scored, "is_empty", "p_empty")
     return found.withColumns({c: F.round(c, 6) for c in ("pr_auc", "roc_auc", "brier", "log_loss")})
 
@@ -493,10 +494,10 @@ def classification_metrics(spark, sf):
 @query
 def group_share(spark, sf):
     """Linear contributions: weight times distance from the mean, weights one to the number of features."""
-    table = split_table(spark, sf).select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
-                                            for c in CONTRACT.features])
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in CONTRACT.features]
+    table = staged(split_table(spark, sf).select(*filled))
     means = table.agg(*[F.avg(c).alias(f"{c}_mean") for c in CONTRACT.features])
-    effects = table.crossJoin(F.broadcast(means)).select(
+    effects = attach(table, means).select(
         *[((i + 1) * (F.col(c) - F.col(f"{c}_mean"))).alias(c) for i, c in enumerate(CONTRACT.features)]
     )
     found = metrics.group_share(effects, CONTRACT.feature_groups)
