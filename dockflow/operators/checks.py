@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockflow.contract import KEY_COLUMNS, LABEL_COLUMNS, Contract, ContractError, LabelRules
+from dockflow.contract import CALENDAR_FEATURES, KEY_COLUMNS, LABEL_COLUMNS, Contract, ContractError, LabelRules
 from dockflow.functions.single import attach
 from dockflow.functions.time import month_floor
 from dockflow.operators import trajectories
@@ -132,6 +132,9 @@ def require_declared(features: DataFrame, contract: Contract) -> None:
     undeclared = sorted(set(features.columns) - known)
     if undeclared:
         raise ContractError(f"undeclared columns reached the feature table: {undeclared}")
+    unbuilt = [c for c in CALENDAR_FEATURES if c not in features.columns]
+    if unbuilt:
+        raise ContractError(f"calendar features were not built: {unbuilt}")
 
 
 def ridership_by_quarter(trips: DataFrame) -> DataFrame:

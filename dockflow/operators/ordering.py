@@ -19,7 +19,7 @@ MAX_HOT_KEYS = 50_000
 
 
 def hot_keys(df: DataFrame, key: str, time: str, hot_rows: int, slice_rows: int) -> DataFrame:
-    """The largest keys with their time span and number of slices: one partial aggregation, at most MAX_HOT_KEYS rows."""
+    """The largest keys, their time span and number of slices: one partial aggregation, MAX_HOT_KEYS rows at most."""
     t = F.unix_timestamp(time)
     return (
         df.groupBy(F.col(key).alias("_hot_key"))

@@ -136,6 +136,8 @@ def test_undeclared_feature_stops_the_audit(spark):
     leaked = df.withColumn("net_flow_next_hour", F.lit(1.0))
     with pytest.raises(ContractError, match="net_flow_next_hour"):
         checks.require_declared(leaked, contract)
+    with pytest.raises(ContractError, match="is_holiday"):
+        checks.require_declared(df.drop("is_holiday"), contract)
     statuses = {r["column_name"]: r["status"] for r in checks.leakage_audit(leaked.drop("rain"), contract).collect()}
     assert statuses["net_flow_next_hour"] == "FAIL" and statuses["rain"] == "WARN" and statuses["month"] == "OK"
 
