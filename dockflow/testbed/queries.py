@@ -546,7 +546,7 @@ def fetch_plan(spark, sf):
 
 @query
 def fetch_missing(spark, sf):
-    """Chunks of the points that have no events in their first month are taken as landed."""
+    """Chunks in which their point has events are taken as landed."""
     events = fx.table(spark, sf, "events")
     plan = planned(spark, sf)
     seen = events.select(F.col("event_type").alias("point_name"), F.to_date("ts").alias("day")).distinct()
