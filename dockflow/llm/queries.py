@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockflow.llm import langid, minhash, quality
+from dockflow.llm import langid, minhash, quality, suffix_dedup
 from dockflow.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near duplicates on two-word shingles at similarity 0.8."""
     return minhash.groups(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+@query
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 100-byte strings that start earlier."""
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
