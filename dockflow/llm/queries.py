@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockflow.llm import langid, minhash, quality, suffix_dedup
+from dockflow.llm import langid, minhash, packing, quality, suffix_dedup
 from dockflow.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +45,16 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 100-byte strings that start earlier."""
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Pieces of packed documents, with a checksum in the place of their ids."""
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    crc = F.crc32("ids").alias("ids_crc32")
+    return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed along a Hilbert curve of its tokens."""
+    return packed(table(spark, sf_dir, "documents"))
