@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockflow.llm import langid, minhash, packing, quality, suffix_dedup
+from dockflow.llm import bpe, langid, minhash, packing, quality, suffix_dedup, token_files
 from dockflow.llm.common import fold, table
+from dockflow.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -58,3 +59,18 @@ def packed(docs: DataFrame) -> DataFrame:
 def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed along a Hilbert curve of its tokens."""
     return packed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text they decode to."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe.decoded_digests(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+
+
+@query
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as it is read back from compressed token files."""
+    out = scratch_dir(spark)
+    token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), out)
+    return token_files.read(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
