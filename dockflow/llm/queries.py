@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockflow.llm import bpe, langid, minhash, packing, quality, suffix_dedup, token_files
+from dockflow.llm import ann, bpe, langid, minhash, packing, quality, suffix_dedup, token_files
 from dockflow.llm.common import fold, table
 from dockflow.session import scratch_dir
 
@@ -74,3 +74,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_dir(spark)
     token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), out)
     return token_files.read(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op1_block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows by inner product of every row whose vec_id is divisible by 20."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
