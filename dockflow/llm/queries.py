@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockflow.llm import ann, bpe, langid, minhash, packing, quality, suffix_dedup, token_files
+from dockflow.llm import ann, bpe, langid, minhash, packing, quality, suffix_dedup, token_files, url_filter
 from dockflow.llm.common import fold, table
 from dockflow.session import scratch_dir
 
@@ -80,3 +80,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows by inner product of every row whose vec_id is divisible by 20."""
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
