@@ -42,16 +42,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Memo(dict):
-    """A bounded cache: a missing key is computed; at `limit` entries the older half of the keys goes."""
+    """A bounded cache of computed values. At `limit` entries a new generation starts, which takes over what is still used.
+
+    Both generations together hold at most twice `limit` entries.
+    """
 
     def __init__(self, compute, limit: int = 400_000):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.before = compute, limit, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= self.limit:
-            for old in list(self)[: self.limit // 2]:
-                del self[old]
+            self.before = dict(self)
+            self.clear()
         self[key] = value
         return value

@@ -5,10 +5,10 @@ each bin keeps its least value. An empty bin copies the first filled bin in an o
 densification). Runs of `ROWS` bins are the bands. Texts with equal sets are one node from the start. In each bucket
 only links to one centre are candidates, so a bucket of n sets gives n - 1 pairs.
 
-Candidates are confirmed on the full sets. A first round confirms each set's most shared centre, a second round what
-else joins different components. Sets of a bucket that still lie in different components after that are compared with
-each other, after an exact bound on their sizes and a signature test six deviations below the threshold, so that no link
-is lost because its bucket's centre was neither.
+Candidates are confirmed on the full sets, first each set with its most shared centre. Buckets that then still hold
+different components tie their sets into families. Inside a family every two sets of different components are compared
+on the full sets, in pairs of blocks of bounded size: no row is made for a pair unless it is a link, and no link is lost
+because its bucket's centre was neither end.
 
 A pair at similarity 0.8 shares no band with probability (1 - 0.8^6)^64, under 4e-9; more similar pairs far less.
 
@@ -32,8 +32,8 @@ from dockflow.session import staged
 
 BANDS, ROWS = 64, 6
 BINS = BANDS * ROWS
-#: Least share of equal 8-bit signature bins at which a residual pair goes on to the full sets.
-SIGNATURE_FLOOR = 0.68
+#: Most sets, and about the most shingles, of one block of a family.
+BLOCK_SETS, BLOCK_VALUES = 512, 1 << 20
 
 _ORDER = np.argsort(np.random.default_rng(7).random((BINS, BINS)), axis=1).argsort(axis=1).astype(np.uint16)
 _WORDS = Memo(lambda w: xxhash.xxh64_intdigest(w), 300_000)
@@ -80,20 +80,19 @@ def _set_id(values: np.ndarray) -> int:
 def _signed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, ids, bands, small = [], [], [], []
+            counts, ids, bands = [], [], []
             for text in as_bytes(batch, "text"):
                 values = shingle_set(text, size)
                 counts.append(len(values))
                 if len(values):
-                    sig = signature(values)
                     ids.append(_set_id(values))
-                    bands.append(band_keys(sig))
-                    small.append(mix(sig).astype(np.uint8).tobytes())
+                    bands.append(band_keys(signature(values)))
                 else:
-                    ids.append(None), bands.append(None), small.append(None)
+                    ids.append(None)
+                    bands.append(None)
             arrays = [batch.column("key"), pa.array(counts, pa.int64()), pa.array(ids, pa.int64())]
-            arrays += [pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "n", "set_id", "bands", "small"])
+            arrays.append(pa.array(bands, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "n", "set_id", "bands"])
 
     return run
 
@@ -114,13 +113,13 @@ def _sets(size: int):
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """`key`, n_shingles, component_id (least key reachable over links), kept, for every row.
 
-    A link is 100 * |A and B| >= percent * |A or B|. Bands and the signature test are set for percent >= 80.
+    A link is 100 * |A and B| >= percent * |A or B|. The bands are set for percent of 80 or more.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     signed = staged(
-        rows.mapInArrow(_signed(size), f"key {kind}, n long, set_id long, bands array<long>, small binary")
+        rows.mapInArrow(_signed(size), f"key {kind}, n long, set_id long, bands array<long>")
     )
     # Buckets with two sets or more: (h, centre, set_id), one row per set that is not the centre.
     entries = signed.where("set_id is not null").select("set_id", F.explode("bands").alias("h"))
@@ -131,42 +130,68 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 
     # Full sets of the nodes that have a candidate, read from one text each.
     nodes = stars.select(F.col("centre").alias("set_id")).union(stars.select("set_id")).distinct()
-    holders = signed.where("set_id is not null").select("key", "set_id", "n", "small").join(nodes, "set_id")
-    one = staged(holders.groupBy("set_id").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("small").alias("small")))
+    holders = signed.where("set_id is not null").select("key", "set_id", "n").join(nodes, "set_id")
+    one = staged(holders.groupBy("set_id").agg(F.min("key").alias("key"), F.min("n").alias("n")))
     texts = rows.join(one.where("key is not null").select("key").distinct(), "key").select("text")
     sets = staged(texts.mapInArrow(_sets(size), "set_id long, hashes array<long>").dropDuplicates(["set_id"]))
 
-    links = _confirm(_best(stars), sets, percent)
+    links = staged(_confirm(_best(stars), sets, percent))
     labels = staged(components(links))
-    rest = _apart(stars.select(F.col("centre").alias("a"), F.col("set_id").alias("b")), labels)
-    links = staged(links.union(_confirm(rest.select("a", "b"), sets, percent)))
-    labels = staged(components(links))
-    # Sets of one bucket in different components, neither of them its centre.
-    rooted = one.select("set_id", "n", "small").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
-    rooted = rooted.select("set_id", "n", "small", F.coalesce("root", "set_id").alias("root"))
-    placed = members.select("h", "set_id").join(rooted, "set_id")
-    mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-    placed = staged(placed.join(mixed, "h"))
-    links = links.union(_confirm(_residual(placed, percent), sets, percent))
-    labels = staged(components(links))
-    return _labelled(signed, labels, key)
+    more = _between(_families(members, labels), one, labels, sets, percent)
+    return _labelled(signed, staged(components(links.union(more))), key)
 
 
-def _residual(placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components that sizes and signatures leave possible."""
-    ends = [placed.select("h", *[F.col(c).alias(f"{c}_{e}") for c in ("set_id", "n", "small", "root")]) for e in "ab"]
-    possible = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    pairs = ends[0].join(ends[1], "h").where((F.col("root_a") < F.col("root_b")) & possible)
-    pairs = pairs.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "small_a", "small_b")
-    return pairs.dropDuplicates(["a", "b"]).mapInArrow(_alike, "a long, b long")
+def _families(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(set_id, family) of the sets in buckets that hold more than one component."""
+    root = lambda name: labels.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    rooted = members.join(root("set_id"), "set_id", "left").join(root("centre"), "centre", "left")
+    apart = F.coalesce("set_id_root", "set_id") != F.coalesce("centre_root", "centre")
+    mixed = rooted.groupBy("h").agg(F.max(apart).alias("mixed")).where("mixed").select("h")
+    ties = members.join(mixed, "h").select(F.col("centre").alias("u"), F.col("set_id").alias("v")).distinct()
+    return components(staged(ties)).select(F.col("node").alias("set_id"), F.col("root").alias("family"))
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("small_a", "small_b"))
-            keep = pa.array((a == b).mean(1) >= SIGNATURE_FLOOR)
-            yield batch.select(["a", "b"]).filter(keep)
+def _between(families: DataFrame, one: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between different components of one family, from pairs of blocks of its sets."""
+    rooted = families.join(one.select("set_id", "n"), "set_id").join(
+        labels.withColumnRenamed("node", "set_id"), "set_id", "left"
+    )
+    rooted = staged(rooted.select("set_id", "family", "n", F.coalesce("root", "set_id").alias("root")))
+    size = rooted.groupBy("family").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_VALUES)).cast("int").alias("blocks")
+    )
+    placed = rooted.join(size, "family").join(sets, "set_id")
+    own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    placed = placed.select("family", "set_id", "root", "hashes", own.alias("own"), other.alias("other"))
+    placed = placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    tiles = placed.select("family", "i", "j", "set_id", "root", "hashes").groupBy("family", "i", "j")
+    return tiles.applyInArrow(lambda rows: _tile(rows, percent), "u long, v long")
+
+
+def _tile(rows: pa.Table, percent: int) -> pa.Table:
+    """All links between different components in one pair of blocks; intersections are products of 0/1 matrices."""
+    rows = rows.combine_chunks()
+    ids, roots = rows.column("set_id").to_numpy(), rows.column("root").to_numpy()
+    lists = rows.column("hashes").combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    values, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), sizes)
+    _, place, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count > 1
+    column = (np.cumsum(shared) - 1)[place]
+    keep = shared[place]
+    column, owner = column[keep], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((len(ids), len(ids)), np.float32)
+    for at in range(0, int(shared.sum()), 4096):
+        lo, hi = np.searchsorted(column, [at, at + 4096])
+        part = np.zeros((len(ids), 4096), np.float32)
+        part[owner[lo:hi], column[lo:hi] - at] = 1
+        both += part @ part.T
+    union = sizes[:, None] + sizes[None, :] - both
+    a, b = np.nonzero(np.triu((100 * both >= percent * union) & (roots[:, None] != roots), 1))
+    return pa.table({"u": ids[a], "v": ids[b]})
 
 
 def _labelled(signed: DataFrame, labels: DataFrame, key: str) -> DataFrame:
@@ -197,14 +222,6 @@ def _best(stars: DataFrame) -> DataFrame:
     return best.select("a", F.col("set_id").alias("b"))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components."""
-    a = labels.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
-    b = labels.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-    both = pairs.join(a, "a", "left").join(b, "b", "left")
-    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-
-
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the similarity, as edges (u, v)."""
     a = sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("set_a"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockflow.llm import ann, bpe, langid, minhash, packing, quality, suffix_dedup, token_files, url_filter
+from dockflow.llm import ann, bpe, langid, lm, minhash, packing, quality, suffix_dedup, token_files, url_filter
 from dockflow.llm.common import fold, table
 from dockflow.session import scratch_dir
 
@@ -86,3 +86,10 @@ def op1_block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the url of every page."""
     return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and attention-model scores of every document; fold 0 of 10 is not learned from."""
+    held_out = fold("doc_id", 10) == 0
+    return lm.score(table(spark, sf_dir, "documents"), held_out, public_tokenizers.path("byte_bpe_50k.json"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -48,10 +49,18 @@ class ByteLevelEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.after_blank = Memo(lambda chunk: self._ids(" " + chunk))
+        self.after_blank = Memo(self._chunk)
+        self.stops = Memo(self._ids, 1000)
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a blank and a chunk; full stops and commas behind a run of letters are a match of their own."""
+        core = chunk.rstrip(".,")
+        if len(core) < len(chunk) and core.isalpha():
+            return self.after_blank[core] + self.stops[chunk[len(core) :]]
+        return self._ids(" " + chunk)
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         parts = chunks(text) if text else [""]
@@ -68,7 +77,7 @@ class WordEncoder:
         self.words = Memo(self._ids)
 
     def _ids(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+        return array("H", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: bytes) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.words.__getitem__, text.lower().split())), "<u2")
