@@ -9,10 +9,11 @@ without loss:
 2. *Equal surroundings.* Anchors are sorted by gram and by the bytes around them. The surroundings hold every string
    with that anchor, so all but the earliest of equal surroundings are repeats as a whole; a gram with one kind of
    surroundings is done. Copies inside one task are settled there, so a hot passage sends one row for each task.
-3. *Prefix doubling.* What is left are the edges of repeated passages. There every position gets the rank of its first
-   25 bytes; windows over each document pair it with the rank 25, then 50 bytes further on; Spark sorts the pairs and
-   reranks them, naming a class by its earliest position. Positions that become unique drop out. At `LENGTH` bytes all
-   but the first of a class are repeats.
+3. *Prefix doubling.* What is left are the edges of repeated passages. Spark sorts them by gram, document and position,
+   with the bytes around them. Every position there gets the rank of its first 25 bytes, is paired with the rank 25
+   bytes on, reranked, and, unless it is unique by now, paired with the rank 50 bytes on: at `LENGTH` bytes all but the
+   first of a class are repeats. Grams with more than `HOT` edges are doubled by Spark itself: windows over each document
+   pair the ranks, and Spark sorts and reranks the pairs, naming a class by its earliest position.
 
 Defined results: NULL text is empty; texts below `LENGTH` bytes lose nothing and cause no removal. Rows without an id
 come last in order. Rows that share an id are told apart, and ordered, by a hash of their text; rows equal in both count
@@ -26,7 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockflow.llm.common import as_bytes, mix
@@ -35,6 +37,8 @@ from dockflow.session import staged
 LENGTH = 100
 GRAM = 32
 FIRST = LENGTH // 4
+#: Most edges of one gram that one task ranks by itself.
+HOT = 20_000
 BACK = LENGTH - GRAM
 BLOCK = 1 << 20
 _POSITION = np.uint64((1 << 21) - 1)
@@ -155,7 +159,7 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_pydict({k: v[start : start + 200_000] for k, v in kept.items()})
 
 
-_FOUND = "doc long, sub long, lo long, hi long, edge boolean"
+_FOUND = "gram long, doc long, sub long, lo long, hi long, edge boolean"
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +171,10 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last = None  # gram, around, doc, at of the row before
     head = None  # the first place of the current gram while no other surroundings have been seen
 
-    def rows(doc, at, lo, hi, edge):
+    def rows(gram, doc, at, lo, hi, edge):
+        kind = np.full(len(doc), edge)
         return pa.RecordBatch.from_pydict(
-            {"doc": doc, "sub": at >> SUB_SHIFT, "lo": lo, "hi": hi, "edge": np.full(len(doc), edge)}
+            {"gram": gram, "doc": doc, "sub": at >> SUB_SHIFT, "lo": lo, "hi": hi, "edge": kind}
         )
 
     for batch in batches:
@@ -177,7 +182,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = at < 0
         if done.any():
             end = ~at[done]
-            yield rows(doc[done], end, around[done], end & mask, False)
+            yield rows(gram[done], doc[done], end, around[done], end & mask, False)
             gram, around, doc, at = gram[~done], around[~done], doc[~done], at[~done]
         if not len(at):
             continue
@@ -189,7 +194,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = p[1:] & mask
         again = same_around & ~((d[1:] == d[:-1]) & (p[1:] == p[:-1]))
         if again.any():
-            yield rows(doc[again], at[again], np.maximum(place[again] - BACK, 0), place[again] + LENGTH, False)
+            yield rows(gram[again], doc[again], at[again], np.maximum(place[again] - BACK, 0), place[again] + LENGTH, False)
         other = same_gram & ~same_around
         heads = np.flatnonzero(~same_gram)
         group = np.cumsum(~same_gram)
@@ -198,16 +203,103 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             firsts = np.unique(group[other])
             edge[heads[firsts[firsts > 0] - 1]] = True
             if firsts[0] == 0 and head is not None:
-                yield rows(np.array([head[0]]), np.array([head[1]]), np.array([head[1] & mask]), np.array([0]), True)
+                yield rows(*(np.array([x]) for x in (head[0], head[1], head[2], head[2] & mask, 0)), True)
                 head = None
         if edge.any():
-            yield rows(doc[edge], at[edge], place[edge], place[edge], True)
+            yield rows(gram[edge], doc[edge], at[edge], place[edge], place[edge], True)
         if len(heads):
             k = heads[-1]
-            head = None if edge[k] else (doc[k], at[k])
+            head = None if edge[k] else (gram[k], doc[k], at[k])
         last = (gram[-1], around[-1], doc[-1], at[-1])
 
 
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each edge: a hash of its gram, its place, and the bytes that strings with this anchor can hold."""
+    for batch in batches:
+        docs, subs = batch.column("doc").to_pylist(), batch.column("sub").to_pylist()
+        out = []
+        for doc, sub, text, places in zip(docs, subs, as_bytes(batch, "text"), batch.column("places").to_pylist()):
+            for at in places:
+                lo = max(0, at - BACK)
+                gram = xxhash.xxh64_intdigest(text[at : at + GRAM]) - (1 << 63)
+                out.append((gram, doc, (sub << SUB_SHIFT) + at, at - lo, text[lo : at + LENGTH]))
+            if len(out) >= 20_000:
+                yield _edge_batch(out)
+                out = []
+        if out:
+            yield _edge_batch(out)
+
+
+_EDGE = "gram long, doc long, at long, back long, bytes binary"
+
+
+def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    arrays = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+    return pa.RecordBatch.from_arrays(arrays, ["gram", "doc", "at", "back", "bytes"])
+
+
+def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * np.uint64(0x9E3779B97F4A7C15) + right)
+
+
+def rank_edges(gram: np.ndarray, doc: np.ndarray, at: np.ndarray, back: np.ndarray, around: list[bytes]) -> tuple:
+    """(row, lowest, highest) offsets before the anchor of strings that an earlier row holds; rows in order of place.
+
+    Prefix doubling on the rows' bytes: ranks of 25 bytes, pairs of them, pairs of those, unique ones left out.
+    """
+    size = np.array([len(b) for b in around])
+    start = np.cumsum(size) - size
+    base = start + back
+    ranks = Hashes(np.frombuffer(b"".join(around), np.uint8)).grams(FIRST)
+    ranks = _pair(ranks[:-FIRST], ranks[FIRST:])
+    first, last = np.maximum(0, LENGTH - (size - back)), np.minimum(back, BACK)
+    count = last - first + 1
+    row = np.repeat(np.arange(len(gram)), count)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count - first, count)
+    place = base[row] - offset
+    # Equal strings have equal anchors: the gram and the offset are part of the class.
+    anchor = _pair(gram.view(np.uint64)[row], offset.astype(np.uint64))
+    _, names, often = np.unique(_pair(anchor, ranks[place]), return_inverse=True, return_counts=True)
+    left = np.flatnonzero(often[names] > 1)
+    whole = _pair(anchor[left], _pair(ranks[place[left]], ranks[place[left] + 2 * FIRST]))
+    again = np.ones(len(left), bool)
+    again[np.unique(whole, return_index=True)[1]] = False
+    hit = left[again]
+    if not len(hit):
+        return hit, hit, hit
+    breaks = (np.diff(row[hit]) != 0) | (np.diff(offset[hit]) != 1)
+    opens, closes = hit[np.r_[True, breaks]], hit[np.r_[breaks, True]]
+    return row[opens], offset[opens], offset[closes]
+
+
+def _rank_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Covered bytes from edges in order of gram, document and place; a gram's edges are ranked together."""
+    held = None
+
+    def ranked(rows: pa.Table) -> pa.RecordBatch:
+        gram, doc, at, back = (rows.column(c).to_numpy() for c in ("gram", "doc", "at", "back"))
+        same = (np.diff(gram) == 0) & (np.diff(doc) == 0) & (np.diff(at) == 0)  # repeated rows are one document
+        own = np.flatnonzero(np.r_[True, ~same])
+        around = rows.column("bytes").take(pa.array(own)).to_pylist()
+        gram, doc, at, back = gram[own], doc[own], at[own], back[own]
+        row, low, high = rank_edges(gram, doc, at, back, around)
+        place = at[row] & ((1 << SUB_SHIFT) - 1)
+        covered = {"doc": doc[row], "sub": at[row] >> SUB_SHIFT, "lo": place - high, "hi": place - low + LENGTH}
+        return pa.RecordBatch.from_pydict(covered)
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        gram = held.column("gram").to_numpy()
+        if len(gram) and gram[0] != gram[-1]:
+            cut_at = int(np.searchsorted(gram, gram[-1]))
+            yield ranked(held.slice(0, cut_at))
+            held = held.slice(cut_at)
+    if held is not None and held.num_rows:
+        yield ranked(held)
+
+
 def _first_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The hash of the first bytes at every position of the edges."""
     for batch in batches:
@@ -249,13 +341,18 @@ def _double(ranks: DataFrame, offset: int) -> DataFrame:
     return placed.where("again or more").select("doc", "at", "rank", "again")
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _key_columns(key: str, text: str) -> list[Column]:
     """id (NULLs last), distinguishing bits of the text, text."""
-    return docs.select(
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return [
         F.coalesce(F.col(key), F.lit(LAST_ID)).cast("long").alias("doc"),
-        F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 42).alias("sub"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
-    )
+        F.shiftrightunsigned(F.xxhash64(whole), 42).alias("sub"),
+        whole.alias("text"),
+    ]
+
+
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(*_key_columns(key, text))
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,18 +360,26 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rows = _keyed(docs, key, text)
     placed = rows.mapInArrow(_find_anchors, _ANCHOR).repartition("gram")
     found = staged(placed.sortWithinPartitions("gram", "around", "doc", "at").mapInArrow(_settle, _FOUND))
-    edges = found.where("edge").groupBy("doc", "sub").agg(F.collect_set("lo").alias("places"))
-    ranks = rows.join(edges, ["doc", "sub"]).dropDuplicates(["doc", "sub"]).mapInArrow(
-        _first_ranks, "doc long, at long, rank long"
-    )
+    edges = found.where("edge")
+    hot = edges.groupBy("gram").agg((F.count("*") > HOT).alias("hot")).where("hot")
+    edges = edges.join(hot, "gram", "left").groupBy("doc", "sub", "hot").agg(F.collect_set("lo").alias("places"))
+    placed = rows.join(edges.where("hot is null").drop("hot"), ["doc", "sub"]).mapInArrow(_surroundings, _EDGE)
+    placed = placed.repartition("gram").sortWithinPartitions("gram", "doc", "at")
+    cold = placed.mapInArrow(_rank_groups, "doc long, sub long, lo long, hi long")
+    every = found.where("not edge").select("doc", "sub", "lo", "hi").union(cold).union(_doubled(rows, edges.where("hot")))
+    return every.groupBy("doc", "sub").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
+
+
+def _doubled(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Covered bytes of the edges of hot grams: every step is a shuffle, no task holds a gram."""
+    ranks = rows.join(edges.drop("hot"), ["doc", "sub"]).mapInArrow(_first_ranks, "doc long, at long, rank long")
+    ranks = ranks.dropDuplicates(["doc", "at"])
     for offset in (FIRST, 2 * FIRST):
-        ranks = staged(_double(ranks, offset))
+        ranks = _double(ranks, offset)
     start = F.col("at").bitwiseAND(F.lit((1 << SUB_SHIFT) - 1))
-    doubled = ranks.where("again").select(
+    return ranks.where("again").select(
         "doc", F.shiftright("at", SUB_SHIFT).alias("sub"), start.alias("lo"), (start + LENGTH).alias("hi")
     )
-    every = found.where("not edge").select("doc", "sub", "lo", "hi").union(doubled)
-    return every.groupBy("doc", "sub").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
 
 
 def spans(n: int, los: list[int] | None, his: list[int] | None) -> list[tuple[int, int]]:
@@ -313,3 +418,35 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     own = rows.select(F.when(F.col("doc") != LAST_ID, F.col("doc")).cast(kind).alias("key"), "text", "los", "his")
     out = own.mapInArrow(_digests, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumnRenamed("key", key)
+
+
+def _whole_characters(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs without characters that they cover in part."""
+    out = []
+    for a, b in runs:
+        while a < b and text[a] & 0xC0 == 0x80:
+            a += 1
+        while a < b < len(text) and text[b] & 0xC0 == 0x80:
+            b -= 1
+        if a < b:
+            out.append((a, b))
+    return out
+
+
+def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = as_bytes(batch, "text")
+        runs = zip(texts, batch.column("los").to_pylist(), batch.column("his").to_pylist())
+        kept = [cut(t, _whole_characters(t, spans(len(t), lo, hi))).decode() for t, lo, hi in runs]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string())], ["row", "kept"])
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All rows and columns, repeats cut out of the text in whole characters; NULL texts stay NULL."""
+    named = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(F.struct(*named).alias("row"), *_key_columns(key, text))
+    found = rows.join(repeats(docs, key, text), ["doc", "sub"], "left").select("row", "text", "los", "his")
+    kind = rows.schema["row"].dataType.simpleString()
+    out = found.mapInArrow(_trimmed, f"row {kind}, kept string")
+    value = lambda i, c: F.when(F.col(f"row.c{i}").isNotNull(), F.col("kept")) if c == text else F.col(f"row.c{i}")
+    return out.select(*[value(i, c).alias(c) for i, c in enumerate(docs.columns)])
