@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dockflow.contract import GO_LIVE_FORMATS, Contract, LabelRules, default_contract
+from dockflow.functions.single import attach
 from dockflow.functions.time import at_second, hour_floor, parse_time
 from dockflow.operators.conform import exclude_pseudo_stations
 from dockflow.operators.ordering import neighbours
@@ -60,8 +61,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
-    busy = F.when(F.col("ts") < F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'"), 20).otherwise(17)
-    rides = events.select(
+    # All stations but two have rides; three more fall silent on the twentieth.
+    stations = table(spark, sf_dir, "supplier").agg(F.count("*").cast("int").alias("n"))
+    busy = F.col("n") - F.when(F.col("ts") < F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'"), 2).otherwise(5)
+    rides = attach(events, stations).select(
         "event_id",
         "user_id",
         "event_type",
@@ -77,8 +80,8 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         lag={"previous_end": "end_station_id"},
         measured_on=events.select("user_id", F.col("ts").alias("start_time")),
     )
-    start = F.when(F.col("event_id") % 4 == 0, 3000 + (F.col("k") * 7 + 3) % F.col("m")).otherwise(
-        F.coalesce("previous_end", 3000 + F.col("k") % F.col("m"))
+    start = F.when(F.col("event_id") % 4 == 0, 3000 + (F.col("event_id") * 7 + F.col("k")) % F.col("m")).otherwise(
+        F.coalesce("previous_end", 3000 + (F.col("event_id") + F.col("k")) % F.col("m"))
     )
     return chained.select(
         F.col("event_id").alias("trip_id"),
@@ -160,7 +163,7 @@ def trip_cells(raw: DataFrame) -> DataFrame:
 
 def stations_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The station directory as published: text columns under a drifted header."""
-    s = table(spark, sf_dir, "supplier").filter(F.col("s_suppkey") < 22)
+    s = table(spark, sf_dir, "supplier")
     day = F.date_add(F.lit("2023-12-20").cast("date"), (F.col("s_suppkey") * 13 % 25).cast("int"))
     go_live = (
         F.when(F.col("s_suppkey") % 11 == 5, None)

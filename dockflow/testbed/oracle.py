@@ -17,16 +17,16 @@ SELECT event_id, user_id, ts, event_type,
        CAST(json_extract_string(props, '$.k') AS INT) AS k,
        date_trunc('second', ts) AS start_time,
        CAST(floor(value * 60) AS INT) AS duration_s,
-       CASE WHEN ts < TIMESTAMP '2024-01-20 00:00:00' THEN 20 ELSE 17 END AS m
+       (SELECT count(*) FROM supplier) - CASE WHEN ts < TIMESTAMP '2024-01-20 00:00:00' THEN 2 ELSE 5 END AS m
 FROM events"""
 
 CTE["c_ends"] = """
 SELECT *, CAST(3000 + (event_id * 31 + k) % m AS INT) AS end_station_id FROM c_rides"""
 
 CTE["c_starts"] = """
-SELECT *, CAST(CASE WHEN event_id % 4 = 0 THEN 3000 + (k * 7 + 3) % m
+SELECT *, CAST(CASE WHEN event_id % 4 = 0 THEN 3000 + (event_id * 7 + k) % m
                     ELSE coalesce(lag(end_station_id) OVER (PARTITION BY user_id ORDER BY start_time, event_id),
-                                  3000 + k % m) END AS INT) AS start_station_id
+                                  3000 + (event_id + k) % m) END AS INT) AS start_station_id
 FROM c_ends"""
 
 CTE["c_trips"] = """
@@ -65,7 +65,7 @@ SELECT CAST(3000 + s_suppkey AS INT) AS station_id,
             WHEN s_suppkey % 2 = 0
               THEN strftime(DATE '2023-12-20' + CAST(s_suppkey * 13 % 25 AS INT), '%-m/%-d/%Y')
             ELSE strftime(DATE '2023-12-20' + CAST(s_suppkey * 13 % 25 AS INT), '%Y-%m-%d') END AS go_live_raw
-FROM supplier WHERE s_suppkey < 22"""
+FROM supplier"""
 
 CTE["c_stations_parsed"] = """
 SELECT station_id, station_name,
