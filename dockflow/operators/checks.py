@@ -24,11 +24,17 @@ def check_row(name: str, passed: Column, observed: Column, expected: Column, sev
     )
 
 
+#: An error text names so many failures, and says how many there were in all.
+NAMED = 20
+
+
 def enforce(checks: DataFrame) -> None:
     """Raise on any failed check of severity ``error``. Check tables hold a few rows."""
-    bad = checks.filter("severity = 'error' AND status = 'FAIL'").limit(20).collect()
+    failed = checks.filter("severity = 'error' AND status = 'FAIL'")
+    bad = failed.limit(NAMED).collect()
     if bad:
-        raise ContractError("; ".join(f"{r['check']}: observed {r['observed']}, expected {r['expected']}" for r in bad))
+        named = "; ".join(f"{r['check']}: observed {r['observed']}, expected {r['expected']}" for r in bad)
+        raise ContractError(named if len(bad) < NAMED else f"{failed.count()} checks failed, among them {named}")
 
 
 def require_rows(df: DataFrame, what: str) -> None:
@@ -89,19 +95,16 @@ def worst_stations(labels: DataFrame, n: int = 5) -> DataFrame:
     return top.withColumn("pct_zero", 100.0 * F.col("n_zero") / F.col("n_hours"))
 
 
-def maintenance_by_month(events: DataFrame, months: int = 12) -> DataFrame:
+def maintenance_by_month(events: DataFrame) -> DataFrame:
     removed = events.filter(F.col("event_kind") == "maintenance_removal")
     counted = removed.groupBy(month_floor(removed, "event_time").alias("month"))
-    return counted.agg(F.count(F.lit(1)).alias("n_removals")).orderBy("month").limit(months)
+    return counted.agg(F.count(F.lit(1)).alias("n_removals"))
 
 
-def maintenance_by_month_of_moves(moves: DataFrame, months: int = 12) -> DataFrame:
+def maintenance_by_month_of_moves(moves: DataFrame) -> DataFrame:
     """The same from the station-hour counts, which carry both events of each removal."""
     counted = moves.groupBy(month_floor(moves, "hour_ts").alias("month"))
-    return (
-        counted.agg(F.sum("maintenance_removal").alias("n_removals")).filter("n_removals > 0")
-        .orderBy("month").limit(months)
-    )
+    return counted.agg(F.sum("maintenance_removal").alias("n_removals")).filter("n_removals > 0")
 
 
 def leakage_audit(features: DataFrame, contract: Contract) -> DataFrame:

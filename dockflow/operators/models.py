@@ -18,7 +18,6 @@ from dockflow.operators.checks import check_row
 
 # A model that stopped this early is a stump, and its attribution means nothing.
 DEGENERATE_ITERATIONS = 5
-SAMPLE_ROWS = 20_000
 LOSSES = {"l1": "absolute", "l2": "squared"}
 
 
@@ -30,7 +29,7 @@ class TreeParams:
     max_depth: int = 6
     min_rows_per_leaf: int = 200
     max_iterations: int = 2000
-    validation_tol: float = 0.001
+    patience: int = 100
     seed: int = 0
 
 
@@ -58,11 +57,41 @@ def _fit_rows(vectors: DataFrame) -> DataFrame:
     return vectors.filter(F.col("split").isin("train", "val")).withColumn("is_val", F.col("split") == "val")
 
 
+def fit_with_patience(trainer, rows: DataFrame, params: TreeParams, losses):
+    """The best prefix on the validation rows, within ``patience`` rounds of which no later round is better.
+
+    Rounds are added by doubling until the patience is used up, so at most twice the needed rounds are grown before the
+    best prefix is. A prefix of a fit equals the shorter fit, as every round draws from the same seed.
+    """
+    train, held = rows.filter(~F.col("is_val")), rows.filter("is_val")
+    rounds = min(params.max_iterations, 2 * params.patience)
+    if held.isEmpty():
+        return trainer.copy({trainer.maxIter: params.max_iterations}).fit(train)
+    while True:
+        model = trainer.copy({trainer.maxIter: rounds}).fit(train)
+        best = best_round(losses(model, held), params.patience)
+        if best + params.patience <= rounds or rounds == params.max_iterations:
+            break
+        rounds = min(params.max_iterations, 2 * rounds)
+    return model if best == rounds else trainer.copy({trainer.maxIter: best}).fit(train)
+
+
+def best_round(losses: list[float], patience: int) -> int:
+    """The round (from 1) with the least loss before ``patience`` rounds have passed without a gain."""
+    best = 0
+    for at, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = at
+        elif at - best >= patience:
+            break
+    return best + 1
+
+
 def train_net_flow(
     vectors: DataFrame, contract: Contract, params: TreeParams = TreeParams(), objective: str = "l1"
 ) -> GBTRegressionModel:
     """The flow regressor. L1 is the deliverable; on a target that is mostly zero its optimum is the median, zero, so
-    attribution variants use L2. Validation rows only decide when to stop."""
+    attribution variants use L2. Validation rows only decide which round is the last."""
     if objective not in LOSSES:
         raise ContractError(f"unknown objective {objective!r}; expected one of {sorted(LOSSES)}")
     trainer = GBTRegressor(
@@ -74,12 +103,11 @@ def train_net_flow(
         maxDepth=params.max_depth,
         stepSize=params.learning_rate,
         minInstancesPerNode=params.min_rows_per_leaf,
-        validationIndicatorCol="is_val",
-        validationTol=params.validation_tol,
         seed=params.seed,
     )
     label = F.col(contract.regression_target).cast("double").alias("label")
-    return trainer.fit(_fit_rows(vectors).select("features", label, "is_val"))
+    rows = _fit_rows(vectors).select("features", label, "is_val")
+    return fit_with_patience(trainer, rows, params, lambda model, held: model.evaluateEachIteration(held, LOSSES[objective]))
 
 
 def train_is_empty(
@@ -96,8 +124,6 @@ def train_is_empty(
         maxDepth=params.max_depth,
         stepSize=params.learning_rate,
         minInstancesPerNode=params.min_rows_per_leaf,
-        validationIndicatorCol="is_val",
-        validationTol=params.validation_tol,
         seed=params.seed,
     )
     rows = attach(_fit_rows(vectors), weight).select(
@@ -106,7 +132,7 @@ def train_is_empty(
         F.when(F.col(target), F.col("class_weight")).otherwise(1.0).alias("weight"),
         "is_val",
     )
-    return trainer.fit(rows)
+    return fit_with_patience(trainer, rows, params, lambda model, held: model.evaluateEachIteration(held))
 
 
 def score_net_flow(model: GBTRegressionModel, vectors: DataFrame) -> DataFrame:
@@ -128,10 +154,11 @@ def model_gates(regression: DataFrame, baseline: DataFrame, n_trees: int) -> Dat
     )))
 
 
-def row_sample(rows: DataFrame, keys: list[str], n: int = SAMPLE_ROWS, seed: int = 0) -> DataFrame:
-    """At most ``n`` rows, the same ones on every run and for every partitioning: the least hashes of the key.
+def row_share(rows: DataFrame, keys: list[str], share: float = 1.0, seed: int = 0) -> DataFrame:
+    """All rows, or about ``share`` of them: the same ones on every run and for every partitioning, by a hash of the key.
 
-    The sample is spread again, as a limit leaves one partition.
+    A filter: nothing is sorted, shuffled or capped, so what is kept grows with the rows.
     """
-    width = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n).repartition(width, *keys)
+    if share >= 1:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))

@@ -41,9 +41,9 @@ def save_partitioned(df: DataFrame, path: str, by: list[str], catalog: str | Non
 def land(spark: SparkSession, zones: Zones, contract: Contract, catalog: str | None = None) -> None:
     """Raw files as Parquet, without judgement. The header audit runs on headers alone, before any row is read."""
     gaps = conform.missing_columns(archives.read_zip_headers(spark, f"{zones.raw}/trips"))
-    uncovered = gaps.select("archive", "column_name").limit(20).collect()
+    uncovered = gaps.select("archive", "column_name").limit(checks.NAMED).collect()
     if uncovered:
-        raise ContractError(f"no alias covers {[(r[0], r[1]) for r in uncovered]}")
+        raise ContractError(f"{gaps.count()} columns without an alias, among them {[(r[0], r[1]) for r in uncovered]}")
     write_table(archives.read_zip_csv(spark, f"{zones.raw}/trips"), f"{zones.parsed}/trips")
     checks.require_rows(spark.read.parquet(f"{zones.parsed}/trips"), "trip archives")
 
@@ -131,10 +131,10 @@ def train_phase(
     params: models.TreeParams = models.TreeParams(),
     objective: str = "l1",
     drop_groups: tuple[str, ...] = (),
-    sample_rows: int = models.SAMPLE_ROWS,
+    share: float = 1.0,
 ) -> None:
     splits = spark.read.parquet(f"{zones.training}/station_hour_features").filter(F.col("split") != assembly.AFTER)
-    result = training.train(splits, contract, params, objective, drop_groups, sample_rows)
+    result = training.train(splits, contract, params, objective, drop_groups, share)
     name = "-".join(["current" if not drop_groups else "without", *sorted(drop_groups)])
     training.export(result, contract, f"{zones.models}/{name}", drop_groups)
     write_json(result.gates, f"{zones.models}/{name}/gates")
@@ -159,7 +159,7 @@ def main() -> None:
     ap.add_argument("--max-depth", type=int, default=6)
     ap.add_argument("--min-data-in-leaf", type=int, default=200)
     ap.add_argument("--max-iterations", type=int, default=2000)
-    ap.add_argument("--shap-sample", type=int, default=models.SAMPLE_ROWS)
+    ap.add_argument("--shap-share", type=float, default=1.0, help="share of the test rows to explain")
     ap.add_argument("--objective", choices=sorted(models.LOSSES), default="l1")
     ap.add_argument("--drop-feature-groups", default="", help="comma-separated groups to leave out")
     args = ap.parse_args()
@@ -179,7 +179,7 @@ def main() -> None:
         max_iterations=args.max_iterations,
     )
     dropped = tuple(sorted({g.strip() for g in args.drop_feature_groups.split(",") if g.strip()}))
-    train_phase(spark, zones, contract, params, args.objective, dropped, args.shap_sample)
+    train_phase(spark, zones, contract, params, args.objective, dropped, args.shap_share)
 
 
 if __name__ == "__main__":

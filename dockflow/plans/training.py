@@ -39,7 +39,7 @@ def train(
     params: models.TreeParams = models.TreeParams(),
     objective: str = "l1",
     drop_groups: tuple[str, ...] = (),
-    sample_rows: int = models.SAMPLE_ROWS,
+    share: float = 1.0,
 ) -> TrainingResult:
     """Fit on train, stop on validation, report on test once. ``splits`` has a ``split`` column."""
     variant = contract.without_groups(drop_groups) if drop_groups else contract
@@ -56,7 +56,10 @@ def train(
     empty = metrics.classification_metrics(
         models.score_is_empty(empty_model, test), variant.classification_target, "p_empty"
     )
-    sample = models.row_sample(test, KEYS, sample_rows)
+    validation = metrics.classification_metrics(
+        models.score_is_empty(empty_model, rows.filter("split = 'val'")), variant.classification_target, "p_empty"
+    )
+    sample = models.row_share(test, KEYS, share)
     effects = staged(attribution.contributions(flow_model, sample, KEYS, variant.features))
     counts = rows.agg(
         *[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in assembly.SPLITS],
@@ -67,6 +70,7 @@ def train(
         counts.transform(attach, flow.select(F.col("mae").alias("net_flow_mae"), F.col("rmse").alias("net_flow_rmse")))
         .transform(attach, base.select(F.col("mae").alias("baseline_mae")))
         .transform(attach, empty.select("pr_auc", "roc_auc", "brier", "log_loss"))
+        .transform(attach, validation.select(F.col("roc_auc").alias("val_roc_auc"), F.col("log_loss").alias("val_log_loss")))
         .transform(attach, weight.select("class_weight"))
         .withColumns({
             "net_flow_iterations": F.lit(flow_model.getNumTrees),

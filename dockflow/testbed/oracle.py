@@ -417,6 +417,7 @@ FROM c_split t LEFT JOIN c_baseline b
 WHERE t.split = 'test'"""
 
 FINAL["chronological_split"] = "SELECT station_id, hour_ts, net_flow, split FROM c_split WHERE split <> 'after'"
+FINAL["attribution_sample"] = "SELECT station_id, hour_ts, net_flow, split FROM c_split WHERE split = 'test'"
 FINAL["split_manifest"] = """
 SELECT split, count(*) AS n_rows, min(hour_ts) AS from_ts, max(hour_ts) AS to_ts FROM c_split GROUP BY 1"""
 FINAL["class_weight"] = """
@@ -454,7 +455,7 @@ SELECT station_id, n_hours, n_zero, round(100.0::DOUBLE * n_zero / n_hours, 6) A
 FROM c_zero ORDER BY n_zero DESC, station_id LIMIT 5"""
 FINAL["maintenance_by_month"] = """
 SELECT date_trunc('month', event_time)::TIMESTAMP AS month, count(*) AS n_removals FROM c_events
-WHERE event_kind = 'maintenance_removal' GROUP BY 1 ORDER BY 1 LIMIT 12"""
+WHERE event_kind = 'maintenance_removal' GROUP BY 1"""
 FINAL["leakage_audit"] = "\nUNION ALL\n".join(
     f"SELECT '{c}' AS column_name, true AS declared, true AS present, 'OK' AS status, count({c}) AS n_values "
     "FROM c_features"

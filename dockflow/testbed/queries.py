@@ -1,4 +1,4 @@
-"""Every registered query: an operator of the engine over the whole test tables."""
+"""Every registered query of the engine: an operator over whole test tables."""
 
 from __future__ import annotations
 
@@ -565,7 +565,7 @@ def sink_roundtrip(spark, sf):
 
 # ---- models --------------------------------------------------------------------------------------------------------
 
-# Small trees: the test panel has some hundred rows per station.
+# Parameters of these queries, not limits of the operators: few small trees, as the test panel covers thirty days.
 TREES = models.TreeParams(learning_rate=0.2, max_depth=4, min_rows_per_leaf=20, max_iterations=12)
 
 
@@ -615,7 +615,9 @@ def model_gates(spark, sf):
 
 @query
 def attribution_sample(spark, sf):
-    return models.row_sample(test_rows(label_splits(spark, sf)), ["station_id", "hour_ts"])
+    """The rows that attribution explains: all test rows."""
+    rows = test_rows(label_splits(spark, sf)).select("station_id", "hour_ts", "net_flow", "split")
+    return models.row_share(rows, ["station_id", "hour_ts"])
 
 
 @query
@@ -623,7 +625,7 @@ def group_attribution(spark, sf):
     rows = vectors(spark, sf)
     model = models.train_net_flow(rows, CONTRACT, TREES, "l2")
     keys = ["station_id", "hour_ts"]
-    sample = models.row_sample(test_rows(rows), keys)
+    sample = models.row_share(test_rows(rows), keys)
     return metrics.group_share(
         attribution.contributions(model, sample, keys, CONTRACT.features), CONTRACT.feature_groups
     )
@@ -636,7 +638,7 @@ def variant_no_lag(spark, sf):
     rows = vectors(spark, sf, variant)
     model = models.train_net_flow(rows, variant, TREES, "l2")
     keys = ["station_id", "hour_ts"]
-    sample = models.row_sample(test_rows(rows), keys)
+    sample = models.row_share(test_rows(rows), keys)
     return metrics.group_share(
         attribution.contributions(model, sample, keys, variant.features), variant.feature_groups
     )

@@ -154,3 +154,14 @@ def test_zoned_days_have_as_many_hours_as_passed(new_york, day, hours):
     assert spine.count() == hours
     labels = ledger.labels_from_flows(flows, LabelRules())
     assert labels.count() == hours and dict(labels.dtypes)["hour_ts"] == "timestamp"
+
+
+def test_every_month_of_removals_is_reported(spark):
+    events = spark.sql("""
+        SELECT add_months(DATE'2022-01-15', CAST(id AS INT))::timestamp_ntz AS event_time, 'maintenance_removal' AS event_kind
+        FROM range(14)""")
+    assert checks.maintenance_by_month(events).count() == 14
+    moves = spark.sql("""
+        SELECT add_months(DATE'2022-01-15', CAST(id AS INT))::timestamp_ntz AS hour_ts, 2 AS maintenance_removal
+        FROM range(14)""")
+    assert checks.maintenance_by_month_of_moves(moves).agg(F.sum("n_removals")).first()[0] == 28

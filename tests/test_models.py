@@ -98,12 +98,29 @@ def test_test_rows_do_not_reach_the_fit(vectors, flow_model):
     assert a == pytest.approx(models.score_net_flow(again, x).agg(F.sum("pred_flow")).first()[0])
 
 
-def test_sample_is_reproducible(vectors):
+def test_a_share_is_reproducible_and_the_default_is_all(vectors):
     keys = ["station_id", "hour_ts"]
-    a = {tuple(r) for r in models.row_sample(vectors, keys, 100).select(*keys).collect()}
-    b = {tuple(r) for r in models.row_sample(vectors.repartition(9), keys, 100).select(*keys).collect()}
-    assert a == b and len(a) == 100
-    assert a != {tuple(r) for r in models.row_sample(vectors, keys, 100, seed=1).select(*keys).collect()}
+    kept = lambda df, **more: {tuple(r) for r in models.row_share(df, keys, **more).select(*keys).collect()}
+    every = kept(vectors)
+    part = kept(vectors, share=0.25)
+    assert len(every) == vectors.count() and part == kept(vectors.repartition(9), share=0.25)
+    assert part < every and 0.2 < len(part) / len(every) < 0.3 and part != kept(vectors, share=0.25, seed=1)
+
+
+@pytest.mark.parametrize("patience,expected", [(1, 2), (2, 2), (3, 6), (9, 6)])
+def test_patience_outlasts_a_plateau(patience, expected):
+    """A gain after a plateau counts if the patience reaches it; the round is counted from 1."""
+    assert models.best_round([3.0, 2.0, 2.0, 2.5, 1.5, 1.0, 1.0], patience) == expected
+
+
+def test_fit_keeps_the_best_prefix(vectors):
+    params = models.TreeParams(learning_rate=0.9, max_depth=5, min_rows_per_leaf=1, max_iterations=12, patience=2)
+    model = models.train_net_flow(vectors, CONTRACT, params, "l2")
+    held = vectors.filter("split = 'val'").withColumn("label", F.col("net_flow").cast("double"))
+    long = models.train_net_flow(vectors, CONTRACT, models.TreeParams(0.9, 5, 1, 12, 12), "l2")
+    assert model.getNumTrees <= long.getNumTrees <= 12
+    losses = model.evaluateEachIteration(held, "squared")
+    assert min(losses) == losses[-1]
 
 
 @pytest.mark.parametrize("mae,trees,expected", [(0.5, 9, ["OK", "OK"]), (0.7, 5, ["FAIL", "FAIL"])])

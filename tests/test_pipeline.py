@@ -40,8 +40,8 @@ def test_phases_in_order(spark, root):
     zones = pipeline.Zones(str(root))
     for phase in pipeline.PHASES.values():
         phase(spark, zones, CONTRACT)
-    pipeline.train_phase(spark, zones, CONTRACT, TREES, "l2", sample_rows=200)
-    pipeline.train_phase(spark, zones, CONTRACT, TREES, "l2", drop_groups=("lag",), sample_rows=200)
+    pipeline.train_phase(spark, zones, CONTRACT, TREES, "l2", share=0.2)
+    pipeline.train_phase(spark, zones, CONTRACT, TREES, "l2", drop_groups=("lag",), share=0.2)
 
     clean = rows(spark, root / "clean" / "trips")
     expected = q.trips_clean(spark, SMALL)
