@@ -55,6 +55,106 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+# All pairs by an inverted index; components as what is reachable.
+STATEMENTS["op6_minhash_near_dedup"] = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'),
+         lambda w: w <> '') AS w
+  FROM documents
+), shingles AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) > 1
+           THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END) AS s
+  FROM texts
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+  GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, l.b FROM reached r JOIN both_ways l ON l.a = r.other
+), least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least LEFT JOIN sizes USING (doc_id)
+"""
+
+
+def _step(d: int) -> str:
+    """One level of the template tree: node counts of level d, then the template grown by its segment."""
+    return f"""
+node{d} AS (
+  SELECT host, template, sum(n) AS total, count(*) AS kinds
+  FROM (SELECT host, template, segments[{d + 1}] AS segment, sum(n) AS n FROM level{d}
+        WHERE len(segments) > {d} GROUP BY 1, 2, 3) GROUP BY 1, 2
+), level{d + 1} AS (
+  SELECT l.host, l.path, l.n, l.good, l.bad, l.segments,
+         l.template || CASE WHEN len(segments) > {d} THEN '/' || CASE
+           WHEN regexp_matches(segments[{d + 1}], '[0-9]') OR (total >= 8 AND kinds > 0.5 * total)
+           THEN '*' || regexp_extract(segments[{d + 1}], '[.][a-z]+$') ELSE segments[{d + 1}] END ELSE '' END AS template
+  FROM level{d} l LEFT JOIN node{d} USING (host, template)
+),"""
+
+
+# The template tree level by level, then merging, smoothing and the rules.
+STATEMENTS["op2_url_filters"] = (
+    r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parsed AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+           AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND prefix(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND prefix(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/') THEN 'org/' END AS rule
+  FROM parsed
+), said AS (
+  SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS says FROM ruled
+), level0 AS (
+  SELECT host, path, count(*) AS n, count(*) FILTER (says = 'allow') AS good, count(*) FILTER (says = 'block') AS bad,
+         string_split(ltrim(path, '/'), '/') AS segments, '' AS template
+  FROM said GROUP BY host, path
+),"""
+    + "".join(map(_step, range(4)))
+    + """
+placed AS (
+  SELECT host, path, good, bad, template || CASE WHEN len(segments) > 4 THEN '/**' ELSE '' END AS template FROM level4
+), branch AS (
+  SELECT host, template, '/*' || regexp_replace(template, '^/[^/]*', '') AS shape, sum(good) AS good, sum(bad) AS bad
+  FROM placed GROUP BY 1, 2, 3
+), counted AS (
+  SELECT *, sum(good) OVER (PARTITION BY host, shape) AS good_all, sum(bad) OVER (PARTITION BY host, shape) AS bad_all,
+         sum(good) OVER (PARTITION BY host) AS good_host, sum(bad) OVER (PARTITION BY host) AS bad_host,
+         sum(good) OVER () AS good_total, sum(bad) OVER () AS bad_total
+  FROM branch
+), tested AS (
+  SELECT *, good + bad AS one, good_all + bad_all - good - bad AS others,
+         bad_all / nullif(good_all + bad_all, 0) AS pooled
+  FROM counted
+), merged AS (
+  SELECT *, coalesce(abs(bad / nullif(one, 0) - (bad_all - bad) / nullif(others, 0))
+                     <= 1.96 * sqrt(pooled * (1 - pooled) * (1.0 / nullif(one, 0) + 1.0 / nullif(others, 0))), false) AS alike
+  FROM tested
+), scored AS (
+  SELECT host, template,
+         ((CASE WHEN alike THEN bad_all ELSE bad END)
+          + 4.0 * ((bad_host + 4.0 * ((bad_total + 1.0) / (good_total + bad_total + 2.0))) / (good_host + bad_host + 4.0)))
+         / ((CASE WHEN alike THEN good_all + bad_all ELSE good + bad END) + 4.0) AS purity
+  FROM merged
+)
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, template,
+       round(purity, 9) AS purity
+FROM said JOIN placed USING (host, path) JOIN scored USING (host, template)
+"""
+)
+
 
 def _quoted(words: list[str]) -> str:
     return ", ".join(f"'{w}'" for w in words)

@@ -98,7 +98,7 @@ def _purity(placed: DataFrame) -> DataFrame:
     bad = F.when(similar, F.col("bad_all")).otherwise(F.col("bad"))
     everywhere = (F.col("bad_total") + 1.0) / (F.col("good_total") + F.col("bad_total") + 2.0)
     at_host = (F.col("bad_host") + WEIGHT * everywhere) / (F.col("good_host") + F.col("bad_host") + WEIGHT)
-    return rows.select("host", "template", ((bad + WEIGHT * at_host) / (good + bad + WEIGHT)).alias("purity"))
+    return rows.select("host", "template", F.round((bad + WEIGHT * at_host) / (good + bad + WEIGHT), 9).alias("purity"))
 
 
 def judge(
