@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockflow.llm.common import Memo, as_bytes, mix
-from dockflow.llm.components import components
+from dockflow.llm.components import components, roots
 from dockflow.session import staged
 
 BANDS, ROWS = 64, 6
@@ -132,13 +132,18 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     nodes = stars.select(F.col("centre").alias("set_id")).union(stars.select("set_id")).distinct()
     holders = signed.where("set_id is not null").select("key", "set_id", "n").join(nodes, "set_id")
     one = staged(holders.groupBy("set_id").agg(F.min("key").alias("key"), F.min("n").alias("n")))
-    texts = rows.join(one.where("key is not null").select("key").distinct(), "key").select("text")
+    # By merge at every size: the keys grow with the corpus, so no small run should broadcast what a large one cannot.
+    texts = rows.join(one.where("key is not null").select("key").distinct().hint("merge"), "key").select("text")
     sets = staged(texts.mapInArrow(_sets(size), "set_id long, hashes array<long>").dropDuplicates(["set_id"]))
 
-    links = staged(_confirm(_best(stars), sets, percent))
-    labels = staged(components(links))
-    more = _between(_families(members, labels), one, labels, sets, percent)
-    return _labelled(signed, staged(components(links.union(more))), key)
+    links = _confirm(_best(stars), sets, percent)
+    labels = staged(roots(links.select(F.col("v").alias("node"), F.col("u").alias("parent"))))
+    more = staged(_between(_families(members, labels), one, labels, sets, percent))
+    merged = components(more).select(F.col("node").alias("root"), F.col("root").alias("above"))
+    lone = more.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(labels, "node", "left_anti")
+    every = labels.union(lone.select("node", F.col("node").alias("root")))
+    joined = every.join(merged, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+    return _labelled(signed, staged(joined), key)
 
 
 def _families(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -152,7 +157,7 @@ def _families(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _between(families: DataFrame, one: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between different components of one family, from pairs of blocks of its sets."""
+    """Linked components (u, v), by their roots, of one family, from pairs of blocks of its sets."""
     rooted = families.join(one.select("set_id", "n"), "set_id").join(
         labels.withColumnRenamed("node", "set_id"), "set_id", "left"
     )
@@ -170,7 +175,7 @@ def _between(families: DataFrame, one: DataFrame, labels: DataFrame, sets: DataF
 
 
 def _tile(rows: pa.Table, percent: int) -> pa.Table:
-    """All links between different components in one pair of blocks; intersections are products of 0/1 matrices."""
+    """The components linked by one pair of blocks; intersections are products of 0/1 matrices."""
     rows = rows.combine_chunks()
     ids, roots = rows.column("set_id").to_numpy(), rows.column("root").to_numpy()
     lists = rows.column("hashes").combine_chunks()
@@ -191,7 +196,7 @@ def _tile(rows: pa.Table, percent: int) -> pa.Table:
         both += part @ part.T
     union = sizes[:, None] + sizes[None, :] - both
     a, b = np.nonzero(np.triu((100 * both >= percent * union) & (roots[:, None] != roots), 1))
-    return pa.table({"u": ids[a], "v": ids[b]})
+    return pa.table({"u": roots[a], "v": roots[b]}).group_by(["u", "v"]).aggregate([])
 
 
 def _labelled(signed: DataFrame, labels: DataFrame, key: str) -> DataFrame:

@@ -118,5 +118,10 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", thresholds:
 
 def keep_good(docs: DataFrame, text: str = "text", thresholds: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
     """The rows that pass, all columns as they were."""
-    rows = counted(docs, text, text, keep=docs.columns).where(~base_failed() & verdict(thresholds))
+    # A filter would be pushed below the counts and every count written out again wherever it is used; one that
+    # depends on the row's number stays above them.
+    rows = counted(docs, text, text, keep=docs.columns).select(
+        "row", (~base_failed() & verdict(thresholds)).alias("good"), F.monotonically_increasing_id().alias("number")
+    )
+    rows = rows.where(F.col("good") & (F.col("number") >= 0))
     return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
