@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,8 +187,15 @@ def feature_profile(features: DataFrame, names: list[str]) -> DataFrame:
     return features.agg(*[stats(c).alias(c) for c in names]).select(F.inline(F.array(*names)))
 
 
-def recovery_gate(trips: DataFrame, rules: LabelRules) -> DataFrame:
-    """Plant a known move behind every trip and demand exactly its two events back.
+def detected_moves(trips: DataFrame, rules: LabelRules) -> DataFrame:
+    """The rebalancing events that the engine infers. Histories of two trips each: no key needs to be measured or cut."""
+    return trajectories.rebalancing_events(trajectories.bike_trajectories(trips, measured_on=trips.limit(0)), rules)
+
+
+def recovery_gate(
+    trips: DataFrame, rules: LabelRules, detect: Callable[[DataFrame, LabelRules], DataFrame] = detected_moves
+) -> DataFrame:
+    """Plant a known move behind every trip and demand exactly its two events back from ``detect``.
 
     Each trip becomes the first of a two-trip history; the second starts elsewhere after a short, a middle or a long
     gap. Planted and recovered events are netted against each other by key, so any multiplicity shows.
@@ -235,9 +244,7 @@ def recovery_gate(trips: DataFrame, rules: LabelRules) -> DataFrame:
         event("b", F.when(is_short, half).otherwise(F.lit(edge * 60)), "reb_out"),
         event("c", F.when(is_short, half).otherwise(whole - edge * 60), "reb_in"),
     )))
-    # Histories of two trips each, so no key needs to be measured or cut.
-    sized = planted.limit(0)
-    found = trajectories.rebalancing_events(trajectories.bike_trajectories(planted, measured_on=sized), rules)
+    found = detect(planted, rules)
     keys = ["station_id", "event_time", "event_type", "event_kind"]
     netted = (
         expected.withColumn("w", F.lit(1)).unionByName(found.withColumn("w", F.lit(-1)))

@@ -17,7 +17,7 @@ from dockflow.contract import Contract, ContractError, default_contract, load_co
 from dockflow.operators import assembly, checks, conform, features, ledger, models, trajectories
 from dockflow.plans import training
 from dockflow.plans.labels import dense_flows, moves_per_station_hour
-from dockflow.session import build_session, staged
+from dockflow.session import build_session, scratch_scope, staged
 from dockflow.sinks.tables import register_partitioned, write_json, write_partitioned, write_table
 from dockflow.sources import archives, weather
 
@@ -99,6 +99,14 @@ def labels_phase(spark: SparkSession, zones: Zones, contract: Contract, catalog:
     write_json(checks.maintenance_by_month_of_moves(moves), f"{zones.checks}/maintenance_by_month")
 
 
+def gate_phase(spark: SparkSession, zones: Zones, contract: Contract, catalog: str | None = None) -> None:
+    """The recovery gate over the clean trips: its rows are written, and a failed one of severity `error` ends the run."""
+    trips = spark.read.parquet(f"{zones.clean}/trips")
+    gates = staged(checks.recovery_gate(trips, contract.labels))
+    write_json(gates, f"{zones.checks}/recovery_gate")
+    checks.enforce(gates)
+
+
 def features_phase(spark: SparkSession, zones: Zones, contract: Contract, catalog: str | None = None) -> None:
     hours = spark.read.parquet(f"{zones.parsed}/weather")
     point = hours.filter(F.col("point_name") == contract.weather_point)
@@ -143,6 +151,7 @@ def train_phase(
 PHASES = {
     "land": land,
     "conform": conform_phase,
+    "gate": gate_phase,
     "labels": labels_phase,
     "features": features_phase,
     "assembly": assembly_phase,
@@ -170,7 +179,8 @@ def main() -> None:
     spark.conf.set("spark.sql.session.timeZone", contract.timezone)
     zones = Zones(args.root)
     if args.phase != "train":
-        PHASES[args.phase](spark, zones, contract, args.catalog)
+        with scratch_scope(spark):
+            PHASES[args.phase](spark, zones, contract, args.catalog)
         return
     params = models.TreeParams(
         learning_rate=args.learning_rate,
@@ -179,7 +189,8 @@ def main() -> None:
         max_iterations=args.max_iterations,
     )
     dropped = tuple(sorted({g.strip() for g in args.drop_feature_groups.split(",") if g.strip()}))
-    train_phase(spark, zones, contract, params, args.objective, dropped, args.shap_share)
+    with scratch_scope(spark):
+        train_phase(spark, zones, contract, params, args.objective, dropped, args.shap_share)
 
 
 if __name__ == "__main__":

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scratch folders made so far, for `scratch_scope` to remove.
+_MADE: list[str] = []
+
 
 def build_session(app_name: str, timezone: str, **conf: str) -> SparkSession:
     """A session whose wall clock is the network's own zone. Sizing is left to the cluster."""
@@ -21,13 +26,42 @@ def build_session(app_name: str, timezone: str, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh path below the folder all executors share, or a temporary one when the cluster names none."""
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Only where driver and executors are one process may it be a temporary one; elsewhere each executor would write to
+    its own disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="dockflow-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/dockflow-{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir is not set: {master} needs a folder that all executors share")
+    root = tempfile.mkdtemp(prefix="dockflow-")
+    spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A fresh path below the shared folder."""
+    path = f"{scratch_root(spark)}/dockflow-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch folders made inside, once what was made from them has been written elsewhere."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        made, _MADE[before:] = _MADE[before:], []
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in made:
+            at = hadoop(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def staged(df: DataFrame) -> DataFrame:

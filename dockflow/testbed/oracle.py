@@ -461,6 +461,17 @@ FINAL["leakage_audit"] = "\nUNION ALL\n".join(
     "FROM c_features"
     for c in FEATURES
 )
+FINAL["leakage_audit_faults"] = "\nUNION ALL\n".join(
+    [
+        f"SELECT '{c}' AS column_name, true AS declared, true AS present, 'OK' AS status, count({c}) AS n_values "
+        "FROM c_features"
+        for c in FEATURES[1:]
+    ]
+    + [
+        f"SELECT '{FEATURES[0]}', true, false, 'WARN', 0",
+        "SELECT 'bikes_now', false, true, 'FAIL', count(net_flow) FROM c_features",
+    ]
+)
 FINAL["ridership_by_quarter"] = """
 SELECT CAST(year(start_time) AS INT) AS year, count(*) FILTER (WHERE quarter(start_time) = 1) AS q1,
        count(*) FILTER (WHERE quarter(start_time) = 2) AS q2, count(*) FILTER (WHERE quarter(start_time) = 3) AS q3,
@@ -485,6 +496,18 @@ SELECT 'recovered' AS "check", 'OK' AS status, CAST(2 * count(*) AS DOUBLE) AS o
 UNION ALL SELECT 'missing', 'OK', 0.0::DOUBLE, 0.0::DOUBLE, 'error'
 UNION ALL SELECT 'spurious', 'OK', 0.0::DOUBLE, 0.0::DOUBLE, 'error'"""
 
+# Each ride's planted move has one event at its end station and one at a station 100,000 further.
+CTE["c_planted"] = """
+SELECT unnest([end_station_id, end_station_id + 100000]) AS station_id FROM c_rides_kept"""
+CTE["c_planted_n"] = """
+SELECT CAST(count(*) AS DOUBLE) AS planted, CAST(count(*) FILTER (WHERE station_id % 7 = 0) AS DOUBLE) AS missing,
+  CAST(count(*) FILTER (WHERE station_id % 11 = 1 AND station_id % 7 <> 0) AS DOUBLE) AS spurious FROM c_planted"""
+FINAL["recovery_gate_faults"] = """
+SELECT 'recovered' AS "check", CASE WHEN missing = 0 THEN 'OK' ELSE 'FAIL' END AS status, planted - missing AS observed,
+       planted AS expected, 'error' AS severity FROM c_planted_n
+UNION ALL SELECT 'missing', CASE WHEN missing = 0 THEN 'OK' ELSE 'FAIL' END, missing, 0.0::DOUBLE, 'error' FROM c_planted_n
+UNION ALL SELECT 'spurious', CASE WHEN spurious = 0 THEN 'OK' ELSE 'FAIL' END, spurious, 0.0::DOUBLE, 'error' FROM c_planted_n"""
+
 # ---- metrics -------------------------------------------------------------------------------------------------------
 
 CTE["c_p"] = """

@@ -460,6 +460,25 @@ def recovery_gate(spark, sf):
     return checks.recovery_gate(kept_trips(spark, sf), RULES)
 
 
+@query
+def recovery_gate_faults(spark, sf):
+    """The gate over a detector that loses the events of some stations and reports others twice."""
+
+    def faulty(trips, rules):
+        found = checks.detected_moves(trips, rules)
+        lost = F.col("station_id") % 7 == 0
+        return found.filter(~lost).unionByName(found.filter(F.col("station_id") % 11 == 1).filter(~lost))
+
+    return checks.recovery_gate(kept_trips(spark, sf), RULES, faulty)
+
+
+@query
+def leakage_audit_faults(spark, sf):
+    """The audit of a table with an undeclared column and without a declared one."""
+    table = feature_table(spark, sf).withColumn("bikes_now", F.col("net_flow")).drop(CONTRACT.features[0])
+    return checks.leakage_audit(table, CONTRACT)
+
+
 # ---- metrics -------------------------------------------------------------------------------------------------------
 
 
