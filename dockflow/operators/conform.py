@@ -17,6 +17,7 @@ from dockflow.contract import (
     ContractError,
     normalise_name,
 )
+from dockflow.functions.single import attach
 from dockflow.functions.time import HOUR, literal_like, parse_time, seconds, text_to_int
 from dockflow.schemas import clean_trip_schema
 
@@ -210,6 +211,25 @@ def deduplicate(df: DataFrame, keys: list[str]) -> DataFrame:
     return least.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
+def merge_report(df: DataFrame, key: str) -> DataFrame:
+    """What `deduplicate` by this key merges: rows before and after, and how many have no readable key and so become one."""
+    per = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    zero = F.lit(0)
+    return per.agg(
+        F.coalesce(F.sum("_n"), zero).alias("n_before"),
+        F.count(F.lit(1)).alias("n_after"),
+        (F.coalesce(F.sum("_n"), zero) - F.count(F.lit(1))).alias("n_merged"),
+        F.coalesce(F.sum(F.when(F.col(key).isNull(), F.col("_n"))), zero).alias("n_without_key"),
+    )
+
+
+def station_report(raw: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Directory rows: published, with a usable id, and left once pseudo-stations are out."""
+    counts = raw.agg(F.count(F.lit(1)).alias("n_published"))
+    usable = parsed.agg(F.count(F.lit(1)).alias("n_usable"))
+    return attach(attach(counts, usable), exclude_pseudo_stations(parsed).agg(F.count(F.lit(1)).alias("n_stations")))
+
+
 def to_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 

@@ -11,22 +11,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key with more rows than this is cut into slices of about SLICE_ROWS rows. At most MAX_HOT_KEYS keys are cut, which
-# bounds the broadcast; the largest key left whole then holds at most 1 / MAX_HOT_KEYS of all rows.
+from dockflow.session import staged
+
+# Every key with more rows than this is cut into slices of about SLICE_ROWS rows.
 HOT_ROWS = 1_000_000
 SLICE_ROWS = 50_000
-MAX_HOT_KEYS = 50_000
 
 
 def hot_keys(df: DataFrame, key: str, time: str, hot_rows: int, slice_rows: int) -> DataFrame:
-    """The largest keys, their time span and number of slices: one partial aggregation, MAX_HOT_KEYS rows at most."""
+    """The large keys, their time span and number of slices: one partial aggregation."""
     t = F.unix_timestamp(time)
     return (
         df.groupBy(F.col(key).alias("_hot_key"))
         .agg(F.count(F.lit(1)).alias("_rows"), F.min(t).alias("_lo"), F.max(t).alias("_hi"))
         .filter(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows"), "_hot_key")
-        .limit(MAX_HOT_KEYS)
         .select("_hot_key", "_lo", "_hi", F.ceil(F.col("_rows") / slice_rows).alias("_slices"))
     )
 
@@ -50,15 +48,14 @@ def neighbours(
     """
     lead, lag = lead or {}, lag or {}
     base = df if measured_on is None else measured_on
-    # At most MAX_HOT_KEYS rows; they choose the plan and become its broadcast table.
+    # Where no key is large the slices are left out; either way the result is the plain window's.
     sizes = hot_keys(base, key, order[0], hot_rows, slice_rows)
-    hot = sizes.collect()
-    if not hot:
+    if sizes.isEmpty():
         w = Window.partitionBy(key).orderBy(*order)
         ordinal = {rank: F.row_number().over(w).cast("long")} if rank else {}
         return df.withColumns(_shifted(w, lead, lag) | ordinal)
 
-    sliced = _with_slice(df, df.sparkSession.createDataFrame(hot, sizes.schema), key, order[0])
+    sliced = _with_slice(df, staged(sizes), key, order[0])
     carried = list(dict.fromkeys([*order, *lead.values(), *lag.values()]))
     rows = (
         sliced.withColumns({"_side": F.lit(0), "_count": F.lit(1).cast("long")})
@@ -84,7 +81,7 @@ def _with_slice(df: DataFrame, hot: DataFrame, key: str, time: str) -> DataFrame
     cut = F.floor(position / (F.col("_hi") - F.col("_lo") + 1))
     is_hot = F.col("_slices").isNotNull()
     return (
-        df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot_key")), "left")
+        df.join(hot, F.col(key).eqNullSafe(F.col("_hot_key")), "left")
         .withColumn("_slice", F.when(is_hot, F.coalesce(cut, F.lit(-1))).otherwise(F.lit(0)))
         .withColumn("_is_hot", is_hot)
         .drop("_hot_key", "_lo", "_hi", "_slices")

@@ -70,6 +70,8 @@ def conform_phase(spark: SparkSession, zones: Zones, contract: Contract, catalog
     if not rate.filter("status = 'FAIL'").isEmpty():
         raise ContractError("more than 1% of the trips have an unreadable time: the published format changed")
     write_json(conform.drop_report(parsed, stations, contract), f"{zones.checks}/drop_report")
+    kept = conform.drop_pseudo_trips(conform.filter_trips(parsed, contract), stations)
+    write_json(conform.merge_report(kept, "trip_id"), f"{zones.checks}/merge_report")
     save_partitioned(
         conform.clean_parsed_trips(parsed, stations, contract), f"{zones.clean}/trips", ["year", "month"], catalog,
         "clean_trips",

@@ -74,8 +74,10 @@ def landed_objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
         .load(path).select("path")
     )
-    root = path.rstrip("/").split(":", 1)[-1].lstrip("/")
-    return files.select(F.expr(f"substring_index(path, '{root}/', -1)").alias("object_name"))
+    root = F.lit(path.rstrip("/").split(":", 1)[-1].lstrip("/") + "/")
+    # Cut at the first occurrence: a folder below may bear the root's name again.
+    start = F.instr(F.col("path"), root) + F.length(root)
+    return files.select(F.substring(F.col("path"), start, F.length("path")).alias("object_name"))
 
 
 def still_to_fetch(plan: DataFrame, landed: DataFrame) -> DataFrame:

@@ -272,6 +272,12 @@ FROM (
                count(*) FILTER (WHERE NOT coalesce(is_pseudo, false) AND has_stations AND long_enough
                                   AND short_enough AND in_window) AS a
         FROM c_flagged))"""
+FINAL["merge_report"] = """
+SELECT count(*) AS n_before, count(DISTINCT trip_id) AS n_after, count(*) - count(DISTINCT trip_id) AS n_merged,
+       count(*) FILTER (WHERE trip_id IS NULL) AS n_without_key FROM c_parsed"""
+FINAL["station_report"] = """
+SELECT (SELECT count(*) FROM c_stations_raw) AS n_published, (SELECT count(*) FROM c_stations_parsed) AS n_usable,
+       (SELECT count(*) FROM c_stations) AS n_stations"""
 FINAL["trips_dedup"] = "SELECT DISTINCT * FROM c_parsed_filled"
 FINAL["trips_clean"] = """
 SELECT *, CAST(year(start_time) AS INT) AS year, CAST(month(start_time) AS INT) AS month FROM c_clean"""
@@ -281,6 +287,7 @@ FROM c_parsed WHERE start_time IS NOT NULL GROUP BY 1"""
 FINAL["bike_trajectories"] = """
 SELECT trip_id, bike_id, start_time, end_time, start_station_id, end_station_id, next_start_time,
        coalesce(next_start_station, -1) AS next_start_station, trip_seq, is_first_trip, is_last_trip FROM c_traj"""
+FINAL["bike_trajectories_sliced"] = FINAL["bike_trajectories"]
 FINAL["relocations"] = """
 SELECT trip_id, bike_id, end_station_id, next_start_station, gap_s / 3600.0::DOUBLE AS gap_h FROM c_moved"""
 FINAL["rebalancing_events"] = "SELECT * FROM c_rebalancing"

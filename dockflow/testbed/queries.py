@@ -123,6 +123,16 @@ def drop_report(spark, sf):
     return conform.drop_report(parsed_trips(spark, sf), parsed_stations(spark, sf), CONTRACT)
 
 
+@query
+def merge_report(spark, sf):
+    return conform.merge_report(parsed_trips(spark, sf), "trip_id")
+
+
+@query
+def station_report(spark, sf):
+    return conform.station_report(fx.stations_raw(spark, sf), parsed_stations(spark, sf))
+
+
 @query
 def trips_dedup(spark, sf):
     return without_null_ints(conform.deduplicate(parsed_trips(spark, sf), ["trip_id"]), "duration_s", "start_station_id")
@@ -165,13 +175,23 @@ def events(spark, sf):
     return trajectories.movement_events(chained, RULES, end)
 
 
-@query
-def bike_trajectories(spark, sf):
-    chained = traj(spark, sf).select(
+def trajectory_columns(chained):
+    rows = chained.select(
         "trip_id", "bike_id", "start_time", "end_time", "start_station_id", "end_station_id", "next_start_time",
         "next_start_station", "trip_seq", "is_first_trip", "is_last_trip",
     )
-    return without_null_ints(chained, "next_start_station")
+    return without_null_ints(rows, "next_start_station")
+
+
+@query
+def bike_trajectories(spark, sf):
+    return trajectory_columns(traj(spark, sf))
+
+
+@query
+def bike_trajectories_sliced(spark, sf):
+    """The same with every bike of more than five trips cut into slices of about three."""
+    return trajectory_columns(trajectories.bike_trajectories(kept_trips(spark, sf), hot_rows=5, slice_rows=3))
 
 
 @query
