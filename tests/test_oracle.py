@@ -1,12 +1,15 @@
-"""Every registered query against its SQL, on the smallest tables."""
+"""Every registered query of the engine against its SQL, on the smallest tables."""
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+import __spark_entry__
+from __spark_entry__ import entry
 from conftest import SMALL
+from dockflow.testbed.oracle import oracle_sql
+from dockflow.testbed.queries import QUERIES
 from oracle_check import compare, connect
 
-QUERIES, STATEMENTS = queries(), oracle_sql()
+STATEMENTS = oracle_sql()
 # Boosted trees, and attributions of them, have no SQL form.
 ROWS_ONLY = {
     "net_flow_model", "is_empty_model", "model_gates", "group_attribution", "variant_no_lag",
@@ -33,5 +36,12 @@ def test_rows_only_queries_return_rows(spark, key):
     assert QUERIES[key](spark, SMALL).count() > 0
 
 
+def test_entry_without_the_corpus_folders(monkeypatch):
+    every, statements = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    assert set(QUERIES) <= set(every) and set(STATEMENTS) <= set(statements) <= set(every)
+    monkeypatch.setattr(__spark_entry__.importlib.util, "find_spec", lambda name: None)
+    assert __spark_entry__.queries() == QUERIES and __spark_entry__.oracle_sql() == STATEMENTS
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0
