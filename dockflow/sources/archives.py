@@ -12,13 +12,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockflow.contract import ContractError
+from dockflow.session import staged
 
 BLOCK_CHARS = 4 << 20
-ROWS_PER_BATCH = 2_000
 
 
 def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -74,42 +74,44 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         break
 
 
-def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, member, header, text in zip(batch["path"], batch["member"], batch["header"], batch["text"]):
-            names = next(csv.reader([header.rstrip("\r")]))
-            archive = path.rsplit("/", 1)[-1]
-            lines = [line.rstrip("\r") for line in text.split("\n")]
-            # A line is a record, as in Spark's own reader; a stray quote must not swallow the lines after it.
-            records = csv.reader(lines) if '"' not in text else (r for x in lines for r in csv.reader([x]))
-            cells: list[dict] = []
-            for record in records:
-                if not record:
-                    continue
-                record += [""] * (len(names) - len(record))
-                cells.append({n: v or None for n, v in zip(names, record)})
-                if len(cells) == ROWS_PER_BATCH:
-                    yield pd.DataFrame({"archive": archive, "member": member, "cells": cells})
-                    cells = []
-            if cells:
-                yield pd.DataFrame({"archive": archive, "member": member, "cells": cells})
+def split_record(line: Column) -> Column:
+    """The cells of one line. A cell may be quoted, with doubled quotes inside; other quotes are plain characters."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"[^,]*|[^,]*)'), F.lit(1))
+    bare = lambda c: F.replace(F.regexp_extract(c, r'^"((?:[^"]|"")*)"', 1), F.lit('""'), F.lit('"'))
+    quoted = F.transform(found, lambda c: F.when(c.startswith('"'), bare(c)).otherwise(c))
+    return F.when(F.instr(line, '"') > 0, quoted).otherwise(F.split(line, ","))
 
 
 def read_zip_csv(spark: SparkSession, path: str) -> DataFrame:
     """Rows of every CSV in every zip below ``path``: archive, member and the cells by header.
 
-    Members are decompressed on executors in a stream and handed on as blocks of a few megabytes, which are spread
-    evenly before they are parsed. One very large member is thus parsed by many tasks.
+    Python only inflates: members are streamed and handed on as blocks of a few megabytes, which are spread evenly and
+    split into lines and cells by Spark. One very large member is thus parsed by many tasks. A line is a record, as in
+    Spark's own reader: a stray quote does not swallow the lines after it. Cells beyond the header have no name and are
+    left out; of two equal names the last counts.
     """
-    files = list_files(spark, path, "*.zip").select("path")
-    width = spark.sparkContext.defaultParallelism
-    members = files.repartition(width, "path").mapInPandas(_members, "path string, member string")
-    blocks = members.repartition(width, "path", "member").mapInPandas(
+    blocks = _member_table(spark, path).mapInPandas(
         _blocks, "path string, member string, block int, header string, text string"
     )
-    return blocks.repartition("path", "member", "block").mapInPandas(
-        _rows, "archive string, member string, cells map<string,string>"
+    spread = blocks.repartition("path", "member", "block").select(
+        F.element_at(F.split("path", "/"), -1).alias("archive"),
+        "member",
+        split_record(F.rtrim(F.col("header"), F.lit("\r"))).alias("names"),
+        F.explode(F.split("text", "\n")).alias("line"),
     )
+    lines = spread.withColumn("line", F.rtrim(F.col("line"), F.lit("\r"))).filter("line <> ''")
+    cells = lines.select("archive", "member", "names", split_record(F.col("line")).alias("cells"))
+    last = lambda n: F.size("names") - F.array_position(F.reverse("names"), n).cast("int")
+    entry = lambda n: F.struct(n.alias("key"), F.nullif(F.get("cells", last(n)), F.lit("")).alias("value"))
+    by_name = F.map_from_entries(F.transform(F.array_distinct("names"), entry))
+    return cells.select("archive", "member", by_name.alias("cells"))
+
+
+def _member_table(spark: SparkSession, path: str) -> DataFrame:
+    """(path, member) of every CSV, one partition for each: a member is inflated by one task, so none should wait."""
+    files = list_files(spark, path, "*.zip").select("path")
+    members = staged(files.repartition(max(files.count(), 1), "path").mapInPandas(_members, "path string, member string"))
+    return members.repartition(max(members.count(), 1), "path", "member")
 
 
 def _member_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,10 +125,7 @@ def _member_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_zip_headers(spark: SparkSession, path: str) -> DataFrame:
     """One row per member with its header as empty cells: what a header audit needs, without reading the rows."""
-    files = list_files(spark, path, "*.zip").select("path")
-    width = spark.sparkContext.defaultParallelism
-    members = files.repartition(width, "path").mapInPandas(_members, "path string, member string")
-    return members.repartition(width, "path", "member").mapInPandas(
+    return _member_table(spark, path).mapInPandas(
         _member_headers, "archive string, member string, cells map<string,string>"
     )
 
@@ -147,8 +146,7 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     the first file's. A column some files lack is NULL for their rows.
     """
     files = list_files(spark, path, "*.csv").filter("length > 0").select("path")
-    width = spark.sparkContext.defaultParallelism
-    headers = files.repartition(width, "path").mapInPandas(_headers, "path string, header string")
+    headers = files.repartition(max(files.count(), 1), "path").mapInPandas(_headers, "path string, header string")
     # The listing only, which Spark's own file index holds on the driver too.
     by_header: dict[str, list[str]] = {}
     for row in headers.collect():

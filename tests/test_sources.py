@@ -4,6 +4,7 @@ import zipfile
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from dockflow.contract import ContractError, default_contract
 from dockflow.operators import conform
@@ -138,3 +139,12 @@ def test_station_file(spark):
     assert tuple(conform.undated_stations(conform.parse_stations(raw)).first()) == (3, 1)
     with pytest.raises(ContractError):
         conform.parse_stations(raw.drop("Name"))
+
+
+def test_records_are_split_as_a_csv_reader_would(spark):
+    import csv
+
+    lines = ["a,b", ",a,,", '"x, y",z', '"say ""hi""",2', 'stray"quote,3', '"",q', 'é,"ü,""ß"""', "one"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    got = {r.i: r.cells for r in rows.select("i", archives.split_record(F.col("line")).alias("cells")).collect()}
+    assert got == {i: next(csv.reader([x])) for i, x in enumerate(lines)}
