@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockflow.functions.single import attach
+from dockflow.session import staged
 
 DEPTH = 4
 #: A branch needs so many URLs before the variety of its segments counts.
@@ -73,6 +74,8 @@ def _templates(paths: DataFrame) -> DataFrame:
         step = F.concat(F.lit("/"), F.when(wild, F.concat(F.lit("*"), ending)).otherwise(F.col("segment")))
         now = now.join(node, ["host", "template"], "left")
         now = now.withColumn("template", F.concat("template", F.coalesce(step, F.lit("")))).drop("all", "kinds")
+        # Every level reads the one before twice: written, the plan stays one level deep.
+        now = staged(now)
     deeper = F.when(F.size("segments") > DEPTH, F.lit("/**")).otherwise(F.lit(""))
     return now.select(
         "host", "path", "n", "good", "bad",
@@ -84,7 +87,7 @@ def _templates(paths: DataFrame) -> DataFrame:
 def _purity(placed: DataFrame) -> DataFrame:
     """(host, template, purity) after merging of similar branches and smoothing."""
     counts = [F.sum("good").alias("good"), F.sum("bad").alias("bad")]
-    branch = placed.groupBy("host", "shape", "template").agg(*counts)
+    branch = staged(placed.groupBy("host", "shape", "template").agg(*counts))
     shape = branch.groupBy("host", "shape").agg(F.sum("good").alias("good_all"), F.sum("bad").alias("bad_all"))
     host = branch.groupBy("host").agg(F.sum("good").alias("good_host"), F.sum("bad").alias("bad_host"))
     total = host.agg(F.sum("good_host").alias("good_total"), F.sum("bad_host").alias("bad_total"))
@@ -114,7 +117,7 @@ def judge(
         F.count_if(F.col("says") == "allow").alias("good"),
         F.count_if(F.col("says") == "block").alias("bad"),
     )
-    placed = _templates(paths)
+    placed = staged(_templates(staged(paths)))
     scored = placed.join(_purity(placed), ["host", "template"]).select("host", "path", "template", "purity")
     found = F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow"))
     out = rows.join(scored, ["host", "path"])
