@@ -55,8 +55,15 @@ class Memo(dict):
         value = self.before.get(key)
         if value is None:
             value = self.compute(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.limit:
             self.before = dict(self)
             self.clear()
         self[key] = value
-        return value
+
+    def lacks(self, keys) -> list:
+        """The distinct keys that would have to be computed."""
+        return [k for k in set(keys) if k not in self and k not in self.before]

@@ -78,7 +78,7 @@ def _encode(path: str):
         for batch in batches:
             keys, texts = batch.column("key"), batch.column("text").to_pylist()
             for at in range(0, len(texts), 512):
-                ids = [np.append(encoder.encode(t), np.uint16(END)) for t in texts[at : at + 512]]
+                ids = [np.append(i, np.uint16(END)) for i in encoder.encode_many(texts[at : at + 512])]
                 arrays = [keys.slice(at, 512), pa.array(curve_keys(ids)), pa.array([i.tobytes() for i in ids], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["key", "place", "ids"])
 

@@ -117,6 +117,13 @@ class BlockReader:
         return out[skip : skip + stop - start]
 
 
+def _encoded(encoder, batch: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray]]:
+    keys, texts = batch.column("key").to_pylist(), as_bytes(batch, "text")
+    for at in range(0, len(keys), 512):
+        for key, ids in zip(keys[at : at + 512], encoder.encode_many(texts[at : at + 512])):
+            yield key, np.append(ids, np.uint16(END))
+
+
 def _blocks(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, block = word_level(path), TaskContext.get().partitionId(), 0
@@ -133,8 +140,7 @@ def _blocks(path: str):
 
         for batch in batches:
             kind = batch.schema.field("key").type
-            for key, text in zip(batch.column("key").to_pylist(), as_bytes(batch, "text")):
-                ids = np.append(encoder.encode(text), np.uint16(END))
+            for key, ids in _encoded(encoder, batch):
                 if held and held + len(ids) > BLOCK:
                     yield close()
                     keys, parts, held, block = [], [], 0, block + 1

@@ -44,29 +44,42 @@ def chunks(text: str) -> list[str] | None:
     return text.split(" ")
 
 
+def _id_bytes(found: list) -> list[bytes]:
+    return [array("H", e.ids).tobytes() for e in found]
+
+
 class ByteLevelEncoder:
     """Ids of texts under a byte-level vocabulary, as 16-bit arrays."""
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.after_blank = Memo(self._chunk)
-        self.stops = Memo(self._ids, 1000)
-
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a blank and a chunk; full stops and commas behind a run of letters are a match of their own."""
-        core = chunk.rstrip(".,")
-        if len(core) < len(chunk) and core.isalpha():
-            return self.after_blank[core] + self.stops[chunk[len(core) :]]
-        return self._ids(" " + chunk)
-
-    def _ids(self, text: str) -> bytes:
-        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, text: str | None) -> np.ndarray:
-        parts = chunks(text) if text else [""]
-        if parts is None:
-            return np.frombuffer(self._ids(text), "<u2")
-        return np.frombuffer(self._ids(parts[0]) + b"".join(map(self.after_blank.__getitem__, parts[1:])), "<u2")
+        self.after_blank = Memo(lambda chunk: self._encode([" " + chunk])[0])
+        self.stops = Memo(lambda stops: self._encode([stops])[0], 1000)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return _id_bytes(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Puts the ids of a blank and each chunk into the memo, encoding together what is new.
+
+        Full stops and commas behind a run of letters are a match of their own.
+        """
+        cores = {c: c.rstrip(".,") for c in chunks}
+        cores = {c: core for c, core in cores.items() if len(core) < len(c) and core.isalpha()}
+        new = self.after_blank.lacks([*cores.values(), *(c for c in chunks if c not in cores)])
+        ids = dict(zip(new, self._encode([" " + c for c in new])))
+        for c, core in cores.items():
+            known = ids.get(core)
+            self.after_blank.put(c, (self.after_blank[core] if known is None else known) + self.stops[c[len(core) :]])
+        for c, found in ids.items():
+            self.after_blank.put(c, found)
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        parts = [chunks(t) if t else [""] for t in texts]
+        self._learn(self.after_blank.lacks(c for p in parts if p for c in p[1:]))
+        heads = self._encode([t if p is None else p[0] for t, p in zip(texts, parts)])
+        look = self.after_blank.__getitem__
+        return [np.frombuffer(h + b"".join(map(look, p[1:] if p else ())), "<u2") for h, p in zip(heads, parts)]
 
 
 class WordEncoder:
@@ -74,13 +87,17 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.words = Memo(self._ids)
+        self.words = Memo(lambda word: self._encode([word])[0])
 
-    def _ids(self, word: bytes) -> bytes:
-        return array("H", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        return _id_bytes(self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False))
 
-    def encode(self, text: bytes) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.words.__getitem__, text.lower().split())), "<u2")
+    def encode_many(self, texts: list[bytes]) -> list[np.ndarray]:
+        parts = [t.lower().split() for t in texts]
+        new = self.words.lacks(w for p in parts for w in p)
+        for word, ids in zip(new, self._encode(new)):
+            self.words.put(word, ids)
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, p)), "<u2") for p in parts]
 
 
 @lru_cache(maxsize=2)
