@@ -265,11 +265,6 @@ def test_components(spark):
 # ---- language models -----------------------------------------------------------------------------------------------
 
 
-@pytest.fixture(scope="module")
-def scored(docs):
-    return {r.doc_id: r for r in lm.score(docs, fold("doc_id", 10) == 0, BYTE_JSON).collect()}
-
-
 @pytest.mark.parametrize("top", [lm.TOP_WORDS, 50])
 def test_unigram_scores(docs, texts, top, monkeypatch):
     monkeypatch.setattr(lm, "TOP_WORDS", top)
@@ -280,10 +275,11 @@ def test_unigram_scores(docs, texts, top, monkeypatch):
         assert r.base_score == pytest.approx(want[r.doc_id][2])
 
 
-def test_training_raises_the_held_out_score(docs, scored, monkeypatch):
+def test_training_raises_the_held_out_score(docs, monkeypatch):
+    total = lambda: lm.score(docs, fold("doc_id", 10) == 0, BYTE_JSON, share=2).where("held_out").agg(F.sum("score")).first()[0]
+    trained = total()
     monkeypatch.setattr(lm, "ROUNDS", 0)
-    plain = lm.score(docs, fold("doc_id", 10) == 0, BYTE_JSON).where("held_out").agg(F.sum("score")).first()[0]
-    assert sum(r.score for r in scored.values() if r.held_out) > plain
+    assert trained > total() * 0.95  # log scores are negative
 
 
 def test_gradient_is_the_slope():
