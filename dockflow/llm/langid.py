@@ -120,7 +120,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMod
         marked = rows.withColumn("mark", F.xxhash64("text")).where(F.pmod("mark", F.lit(scale)) < share)
         chosen = marked.dropDuplicates(["lang", "mark"]).select("text", "lang")
         sample: dict[str, list[np.ndarray]] = {}
-        for r in chosen.mapInArrow(_sample_counts, "lang string, dims binary, counts binary").toLocalIterator():
+        for r in chosen.mapInArrow(_sample_counts, "lang string, dims binary, counts binary").collect():
             if len(sample.setdefault(r["lang"], [])) < 2 * SAMPLE_PER_LANGUAGE:
                 row = np.zeros(DIMS, np.int32)
                 row[np.frombuffer(r["dims"], np.uint16)] = np.frombuffer(r["counts"], np.int32)
