@@ -31,7 +31,7 @@ BLOCK = 2_000_000
 ROUNDS = 8
 RULES_A_ROUND = 4096
 LEAST = 64
-TABLE_BITS = 20
+TABLE_BITS = 18
 
 
 def _slots(pairs: np.ndarray) -> np.ndarray:
@@ -48,25 +48,20 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
             break
         pairs = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
         slots = _slots(pairs)
-        counts = np.bincount(slots, minlength=1 << TABLE_BITS)
-        top = np.argsort(-counts, kind="stable")[: min(room, RULES_A_ROUND)]
-        top = top[counts[top] >= LEAST]
-        if not len(top):
-            break
-        # One pair stands for each slot: its most frequent one.
-        among = np.zeros(1 << TABLE_BITS, bool)
-        among[top] = True
-        found, often = np.unique(pairs[among[slots]], return_counts=True)
-        order = np.lexsort((found, -often))
-        found, often = found[order], often[order]
-        first = np.sort(np.unique(_slots(found), return_index=True)[1])
-        found = found[first][often[first] >= LEAST]
-        if not len(found):
+        # One pair stands for each slot of the table; another one in its slot has its turn in a later round.
+        stands = np.zeros(1 << TABLE_BITS, np.uint32)
+        stands[slots] = pairs
+        own = stands[slots] == pairs
+        counts = np.bincount(slots[own], minlength=1 << TABLE_BITS)
+        often = np.flatnonzero(counts >= LEAST)
+        often = often[np.argsort(-counts[often], kind="stable")[: min(room, RULES_A_ROUND)]]
+        if not len(often):
             break
+        found = stands[often]
         chosen = np.full(1 << TABLE_BITS, -1, np.int32)
-        chosen[_slots(found)] = np.arange(len(found))
+        chosen[often] = np.arange(len(often))
         rule = chosen[slots]
-        hit = np.flatnonzero((rule >= 0) & (found[rule] == pairs))
+        hit = np.flatnonzero((rule >= 0) & own)
         # Occurrences that overlap: every second one of a run.
         starts = np.r_[True, np.diff(hit) != 1]
         offset = np.arange(len(hit)) - np.maximum.accumulate(np.where(starts, np.arange(len(hit)), 0))
