@@ -115,12 +115,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 
     A link is 100 * |A and B| >= percent * |A or B|. The bands are set for percent of 80 or more.
     """
-    spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    signed = staged(
-        rows.mapInArrow(_signed(size), f"key {kind}, n long, set_id long, bands array<long>")
-    )
+    signed = staged(rows.mapInArrow(_signed(size), f"key {kind}, n long, set_id long, bands array<long>"))
     # Buckets with two sets or more: (h, centre, set_id), one row per set that is not the centre.
     entries = signed.where("set_id is not null").select("set_id", F.explode("bands").alias("h"))
     within = Window.partitionBy("h").orderBy("set_id")
@@ -177,10 +174,10 @@ def _between(families: DataFrame, one: DataFrame, labels: DataFrame, sets: DataF
 def _tile(rows: pa.Table, percent: int) -> pa.Table:
     """The components linked by one pair of blocks; intersections are products of 0/1 matrices."""
     rows = rows.combine_chunks()
-    ids, roots = rows.column("set_id").to_numpy(), rows.column("root").to_numpy()
+    owners = rows.column("root").to_numpy()
     lists = rows.column("hashes").combine_chunks()
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-    values, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), sizes)
+    values, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(owners)), sizes)
     _, place, count = np.unique(values, return_inverse=True, return_counts=True)
     shared = count > 1
     column = (np.cumsum(shared) - 1)[place]
@@ -188,15 +185,16 @@ def _tile(rows: pa.Table, percent: int) -> pa.Table:
     column, owner = column[keep], owner[keep]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    both = np.zeros((len(ids), len(ids)), np.float32)
+    both = np.zeros((len(owners), len(owners)), np.float32)
     for at in range(0, int(shared.sum()), 4096):
         lo, hi = np.searchsorted(column, [at, at + 4096])
-        part = np.zeros((len(ids), 4096), np.float32)
+        part = np.zeros((len(owners), 4096), np.float32)
         part[owner[lo:hi], column[lo:hi] - at] = 1
         both += part @ part.T
+    both = both.astype(np.int64)  # exact up to 2^24 shared shingles
     union = sizes[:, None] + sizes[None, :] - both
-    a, b = np.nonzero(np.triu((100 * both >= percent * union) & (roots[:, None] != roots), 1))
-    return pa.table({"u": roots[a], "v": roots[b]}).group_by(["u", "v"]).aggregate([])
+    a, b = np.nonzero(np.triu((100 * both >= percent * union) & (owners[:, None] != owners), 1))
+    return pa.table({"u": owners[a], "v": owners[b]}).group_by(["u", "v"]).aggregate([])
 
 
 def _labelled(signed: DataFrame, labels: DataFrame, key: str) -> DataFrame:
