@@ -111,7 +111,11 @@ def verdict(thresholds: tuple[Threshold, ...] = THRESHOLDS) -> Column:
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", thresholds: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
-    """Counts, base rule and verdict of every row."""
+    """Counts, base rule and verdict of every row.
+
+    To keep rows by their verdict use `keep_good`, or write this table first: a filter put on it directly is pushed below
+    the counts and makes the plan very large.
+    """
     rows = counted(docs, key, text).withColumn("base_failed", base_failed())
     return rows.withColumn("kept", ~F.col("base_failed") & verdict(thresholds)).withColumnRenamed("row", key)
 

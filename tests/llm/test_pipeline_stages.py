@@ -42,7 +42,7 @@ def test_clean_documents_stay(spark, stages):
     assert after.count() == before.count()
     good = spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 1")
     before, after = stages["quality_rules"]
-    passed = quality.judge(before).where("not base_failed").select("doc_id").join(good, "doc_id")
+    passed = staged(quality.judge(before)).where("not base_failed").select("doc_id").join(good, "doc_id")
     assert passed.join(after, "doc_id", "left_anti").count() == 0
     assert after.exceptAll(before).count() == 0
 
