@@ -347,6 +347,30 @@ def test_language_of_odd_rows(odd, none, docs):
     assert {r.lang_pred for r in langid.predict(odd, empty).collect()} == {"und"}
 
 
+def test_unknown_languages_and_noise_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(3)
+    unknown = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心。",
+        "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), 3000)),
+        base64.b64encode(rng.bytes(2000)).decode(),
+        "int main(int argc, char **argv) { for (int i = 0; i < argc; i++) { printf(argv[i]); } return 0; }",
+        "qxzj " * 20,
+    ]
+    model = langid.fit(docs.where(fold("doc_id", 4) != 2))
+    for times in (1, 8):
+        assert model.judge([(t * times).encode() for t in unknown])[2].all()
+    known = docs.where((fold("doc_id", 4) == 2) & F.col("text").isNotNull())
+    assert not langid.predict(known, model).where("rejected").count()
+    pieces = [" ".join(r.text.split()[:n]).encode() for r in known.limit(60).collect() for n in (20, 50) if len(r.text.split()) >= 50]
+    assert pieces and model.judge(pieces)[2].mean() < 0.02
+
+
 # ---- token files ---------------------------------------------------------------------------------------------------
 
 
