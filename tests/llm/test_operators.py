@@ -282,6 +282,27 @@ def test_training_raises_the_held_out_score(docs, monkeypatch):
     assert trained > total() * 0.95  # log scores are negative
 
 
+def test_every_window_is_trained_on(docs, texts, monkeypatch):
+    assert lm.SHARE == 1
+    own, rng = lm.subwords(BYTE_JSON), np.random.default_rng(4)
+    for n in (1, 15, 16, 17, 255, 256, 257, 5000):
+        ids = rng.integers(0, lm.START, n)
+        found = [lm.unrolled(np.frombuffer(line, "<u2"), k) for _, k, line in lm.runs(ids, lm.START, 1, 7, 8)]
+        assert (np.concatenate(found) == lm.windows(ids)).all()
+    seen = []
+    monkeypatch.setattr(lm, "ROUNDS", 0)
+    monkeypatch.setattr(lm, "_train", lambda model, gathered, unknown: seen.append(gathered.where("kind = 2").agg(F.sum("n")).first()[0]))
+    lm.score(docs, fold("doc_id", 10) == 0, BYTE_JSON)
+    assert seen == [sum(-(-len(own.split((t or "").encode())[1]) // lm.HALF) for i, t in texts if crc_fold(i, 10) != 0)]
+
+
+def test_production_training_raises_the_held_out_score(docs, monkeypatch):
+    total = lambda: lm.score(docs, fold("doc_id", 10) == 0, BYTE_JSON).where("held_out").agg(F.sum("score")).first()[0]
+    trained = total()
+    monkeypatch.setattr(lm, "ROUNDS", 0)
+    assert trained > total() * 0.95
+
+
 def test_gradient_is_the_slope():
     rng = np.random.default_rng(6)
     p = {n: v.astype(np.float64) for n, v in lm.unpack(lm.initial(np.ones(lm.CLASSES))).items()}
