@@ -10,8 +10,8 @@ templates that reach `REJECT` are rejected. Labels are the rules' own verdicts.
 Work after the first aggregation is on distinct (host, path) pairs and on templates. Joins are by host and template or by
 host and path, never by host alone against pages; a very common host is spread by its paths.
 
-Defined results: a NULL URL, or one without `://`, has an empty host and path and is judged like any other. Paths below
-`DEPTH` segments are read whole, the rest of longer ones is one wildcard. Repeated rows get equal verdicts.
+Defined results: a NULL URL, or one without `://`, has an empty host and path and is judged like any other. Paths of any
+depth are read whole. Repeated rows get equal verdicts.
 """
 
 from __future__ import annotations
@@ -22,9 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockflow.functions.single import attach
-from dockflow.session import staged
+from dockflow.session import scratch_dir, staged
 
-DEPTH = 4
 #: A branch needs so many URLs before the variety of its segments counts.
 LEAST = 8
 VARIETY = 0.5
@@ -62,25 +61,38 @@ def matched(rules: tuple[tuple[str, str], ...]) -> tuple[Column, Column]:
 
 def _templates(paths: DataFrame) -> DataFrame:
     """Adds `template` and `shape` (the template without its first segment) to distinct (host, path) rows."""
+    def step(segment: Column, various: Column) -> Column:
+        wild = segment.rlike("[0-9]") | various
+        ending = F.regexp_extract(segment, r"\.[a-z]+$", 0)
+        return F.concat(F.lit("/"), F.when(wild, F.concat(F.lit("*"), ending)).otherwise(segment))
+
     now = paths.withColumn("segments", F.split(F.ltrim(F.col("path"), F.lit("/")), "/"))
     now = now.withColumn("template", F.lit(""))
-    for depth in range(DEPTH):
+    spark, ended, depth = paths.sparkSession, [], 0
+    while True:
         now = now.withColumn("segment", F.get("segments", F.lit(depth)))
-        seen = now.where("segment is not null").groupBy("host", "template", "segment").agg(F.sum("n").alias("n"))
-        node = seen.groupBy("host", "template").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
+        seen = now.groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+        node = seen.groupBy("host", "template").agg(
+            F.sum("n").alias("all"), F.count("*").alias("kinds"), F.sum("rows").alias("rows")
+        )
         various = (F.col("all") >= LEAST) & (F.col("kinds") > VARIETY * F.col("all"))
-        wild = F.col("segment").rlike("[0-9]") | F.coalesce(various, F.lit(False))
-        ending = F.regexp_extract("segment", r"\.[a-z]+$", 0)
-        step = F.concat(F.lit("/"), F.when(wild, F.concat(F.lit("*"), ending)).otherwise(F.col("segment")))
         now = now.join(node, ["host", "template"], "left")
-        now = now.withColumn("template", F.concat("template", F.coalesce(step, F.lit("")))).drop("all", "kinds")
+        # So few paths have no branch with enough variety below them: the rest of each needs no counts.
+        few = F.col("rows") <= LEAST * VARIETY
+        rest = F.slice("segments", depth + 2, F.greatest(F.size("segments") - depth - 1, F.lit(0)))
+        alone = F.array_join(F.transform(rest, lambda x: step(x, F.lit(False))), "")
+        grown = F.concat("template", step(F.col("segment"), various), F.when(few, alone).otherwise(F.lit("")))
+        now = now.withColumn("template", grown).withColumn("ended", few | (F.size("segments") <= depth + 1))
         # Every level reads the one before twice: written, the plan stays one level deep.
-        now = staged(now)
-    deeper = F.when(F.size("segments") > DEPTH, F.lit("/**")).otherwise(F.lit(""))
-    return now.select(
-        "host", "path", "n", "good", "bad",
-        F.concat("template", deeper).alias("template"),
-        F.concat(F.lit("/*"), F.regexp_replace(F.concat("template", deeper), r"^/[^/]*", "")).alias("shape"),
+        now = staged(now.drop("all", "kinds", "rows"))
+        ended.append(scratch_dir(spark))
+        done = now.where("ended").select("host", "path", "n", "good", "bad", "template")
+        done.write.parquet(ended[-1])
+        now, depth = now.where("not ended"), depth + 1
+        if now.isEmpty():
+            break
+    return spark.read.schema(done.schema).parquet(*ended).withColumn(
+        "shape", F.concat(F.lit("/*"), F.regexp_replace("template", r"^/[^/]*", ""))
     )
 
 

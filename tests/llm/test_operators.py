@@ -129,6 +129,25 @@ def test_a_template_that_labels_reject_takes_the_rest_of_its_host(spark):
     assert (blog.template, blog.rule, blog.verdict) == ("/blog/x", None, "allow")
 
 
+def test_branches_deep_in_a_path_are_apart(spark):
+    rules = (("block", "deep.test/blog/2024/05/13/ads/1"), ("allow", "deep.test/blog/2024/05/13/post/1"))
+    start = "http://deep.test/blog/2024/05/13"
+    urls = [f"{start}/{kind}/{n}/x" for kind in ("ads", "post") for n in range(100, 200)]
+    rows = [(i, u) for i, u in enumerate([*urls, f"{start}/ads/777/x", f"{start}/post/777/x", "http://deep.test" + "/a" * 300])]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    ads, post, long = (got[len(urls) + i] for i in range(3))
+    assert (ads.template, ads.rule, ads.verdict) == ("/blog/*/*/*/ads/*/x", None, "block")
+    assert (post.template, post.rule, post.verdict) == ("/blog/*/*/*/post/*/x", None, "allow")
+    assert long.template == "/a" * 300
+
+
+def test_names_deep_in_a_path_become_wildcards(spark):
+    word = lambda n: "".join(chr(97 + n // 26**i % 26) for i in range(3))
+    rows = [(n, f"http://deep.test/a/b/c/d/e/{word(n)}/end.html") for n in range(20)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert {r.template for r in got} == {"/a/b/c/d/e/*/end.html"}
+
+
 def test_no_urls(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
