@@ -50,6 +50,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder that no later job reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Removes the scratch folders made inside, once what was made from them has been written elsewhere."""
@@ -58,10 +64,8 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         made, _MADE[before:] = _MADE[before:], []
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for path in made:
-            at = hadoop(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            removed(spark, path)
 
 
 def staged(df: DataFrame) -> DataFrame:
