@@ -167,3 +167,78 @@ def _fill() -> None:
 
 
 _fill()
+
+# Five rounds unrolled; centroids and vectors as lists of integers, floor of the mean by integer division.
+_ROUND = """
+a{i} AS MATERIALIZED (
+  SELECT vec_id, v, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance FROM (
+    SELECT row, vec_id, v, cluster, list_sum(list_transform(range(1, 65), lambda d: (v[d] - c[d]) * (v[d] - c[d]))) AS distance
+    FROM kept, c{i}
+  ) GROUP BY row, vec_id, v
+)"""
+_MOVE = """, c{j} AS MATERIALIZED (
+  SELECT cluster, coalesce(n.c, o.c) AS c FROM c{i} o LEFT JOIN (
+    SELECT cluster, list(m ORDER BY d) AS c FROM (
+      SELECT cluster, d, floor_div(sum(v[d]), count(*)) AS m FROM a{i}, range(1, 65) t(d) GROUP BY cluster, d
+    ) GROUP BY cluster
+  ) n USING (cluster)
+), """
+
+STATEMENTS["op11_centroid_clusters"] = (
+    """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1)::INTEGER AS cluster, v AS c
+  FROM kept ORDER BY cluster LIMIT 40
+), """
+    + "".join(_ROUND.format(i=i) + (_MOVE.format(i=i, j=i + 1) if i < 5 else "") for i in range(6))
+    + """
+SELECT vec_id, cluster, distance::BIGINT AS distance,
+       (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a5 JOIN c5 USING (cluster)
+"""
+).replace("floor_div(sum(v[d]), count(*))", "((sum(v[d]) - ((sum(v[d]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT")
+
+# Every phrase of up to five words by its position; parts by the number of their words.
+STATEMENTS["op12_collocations"] = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS piece, words FROM (
+    SELECT coalesce(lang, 'und') AS lang, list_filter(string_split(piece, ' '), lambda w: w <> '') AS words FROM (
+      SELECT lang, replace(unnest(string_split_regex(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[.,;:!?
+-
+]')), chr(9), ' ') AS piece
+      FROM documents
+    )
+  ) WHERE len(words) > 0
+), placed AS (
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM pieces
+), sizes AS (
+  SELECT lang, count(*)::HUGEINT AS n FROM placed GROUP BY lang
+), freq AS MATERIALIZED (
+  SELECT lang, words[i:i + m - 1] AS p, m, count(*)::HUGEINT AS a
+  FROM placed, range(1, 6) t(m) WHERE i + m - 1 <= len(words) GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT f.lang, f.p, f.m, f.a, k, l.a AS l, r.a AS r, n, (1000 * f.a * n) // (l.a * r.a) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM freq WHERE m > 1) f JOIN sizes USING (lang)
+  JOIN freq l ON l.lang = f.lang AND l.p = f.p[1:k] JOIN freq r ON r.lang = f.lang AND r.p = f.p[k + 1:]
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), inner_parts AS (
+  SELECT lang, p[i:i + size - 1] AS p, max(a) AS longer
+  FROM (SELECT lang, p, m, a, unnest(range(2, m)) AS size FROM freq WHERE m > 2), range(1, 5) t(i)
+  WHERE i + size - 1 <= m GROUP BY ALL
+), kept AS (
+  SELECT b.*, array_to_string(b.p, ' ') AS phrase FROM best b LEFT JOIN inner_parts i USING (lang, p)
+  WHERE longer IS NULL OR 100 * longer < 100 * b.a
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+WHERE rank <= 2000
+"""

@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockflow.llm import ann, bpe, langid, lm, minhash, packing, quality, suffix_dedup, token_files, url_filter
+from dockflow.llm import (
+    ann,
+    bpe,
+    clustering,
+    langid,
+    lm,
+    minhash,
+    packing,
+    phrases,
+    quality,
+    sharding,
+    suffix_dedup,
+    token_files,
+    url_filter,
+)
 from dockflow.llm.common import fold, table
 from dockflow.session import scratch_dir
 
@@ -93,3 +107,31 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and attention-model scores of every document; fold 0 of 10 is not learned from."""
     held_out = fold("doc_id", 10) == 0
     return lm.score(table(spark, sf_dir, "documents"), held_out, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector of 64 components after five rounds from 40 starts."""
+    return clustering.with_inertia(*clustering.lloyd(table(spark, sf_dir, "embeddings"), k=40, rounds=5, prefix="2:"))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language among phrases that occur at least 100 times."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, report=2000)
+
+
+@query
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards whose row counts differ by one at most."""
+    dealt = sharding.shuffled(table(spark, sf_dir, "documents"), 24)
+    text = F.coalesce("text", F.lit(""))
+    return dealt.select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
