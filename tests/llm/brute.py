@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections import Counter
 
 
@@ -74,3 +75,51 @@ def unigrams(rows: list[tuple], held: dict) -> tuple[dict, int]:
     n, v = sum(counts.values()), len(counts)
     unit = lambda w: math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1)))
     return {i: (len(ws), sum(counts[w] > 0 for w in ws), sum(map(unit, ws))) for i, ws in tokens.items()}, n
+
+
+def clusters(rows: list[tuple], k: int, rounds: int, prefix: str, dims: int) -> dict:
+    """row number -> (cluster, distance); rows are (id, integer vector)."""
+
+    def start(row):
+        i, v = row
+        return (i is None, hashlib.sha256(f"{prefix}{i}".encode()).hexdigest() if i is not None else "", v)
+
+    centroids = [list(v) for _, v in sorted(rows, key=start)[:k]]
+    found = {}
+    for left in range(rounds, -1, -1):
+        for n, (_, v) in enumerate(rows):
+            far = [sum((x - y) ** 2 for x, y in zip(v, c)) for c in centroids]
+            found[n] = (far.index(min(far)), min(far))
+        for j in range(len(centroids)) if left else ():
+            own = [v for n, (_, v) in enumerate(rows) if found[n][0] == j]
+            if own:
+                centroids[j] = [sum(v[d] for v in own) // len(own) for d in range(dims)]
+    return found
+
+
+def pieces(text) -> list[list[bytes]]:
+    lower = (text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+    return [re.findall(rb"[^\x20\x09]+", p) for p in re.split(rb"[.,;:!?\x0A-\x0D]", lower)]
+
+
+def collocations(rows: list[tuple], least: int, report: int, longest: int = 5) -> list[tuple]:
+    """(lang, rank, phrase, a, l, r, n, score) of (text, lang) rows."""
+    out = []
+    for lang in {lang or "und" for _, lang in rows}:
+        runs = [p for text, own in rows if (own or "und") == lang for p in pieces(text)]
+        f = Counter(tuple(p[i : i + m]) for p in runs for m in range(1, longest + 1) for i in range(len(p) - m + 1))
+        n, many = sum(map(len, runs)), {p: a for p, a in f.items() if a >= least and len(p) > 1}
+        inner = Counter()
+        for p, a in many.items():
+            for m in range(2, len(p)):
+                for i in range(len(p) - m + 1):
+                    inner[p[i : i + m]] = max(inner[p[i : i + m]], a)
+        scored = []
+        for p, a in many.items():
+            if 100 * inner[p] >= 100 * a:
+                continue
+            score, _, left, right = min((1000 * a * n // (f[p[:k]] * f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))
+            scored.append((-score, -a, b" ".join(p), left, right))
+        for rank, (score, a, p, left, right) in enumerate(sorted(scored)[:report], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, n, -score))
+    return sorted(out)
