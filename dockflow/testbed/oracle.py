@@ -288,6 +288,15 @@ FINAL["bike_trajectories"] = """
 SELECT trip_id, bike_id, start_time, end_time, start_station_id, end_station_id, next_start_time,
        coalesce(next_start_station, -1) AS next_start_station, trip_seq, is_first_trip, is_last_trip FROM c_traj"""
 FINAL["bike_trajectories_sliced"] = FINAL["bike_trajectories"]
+CTE["c_same_second"] = """
+SELECT * REPLACE (CASE WHEN CAST(substr(bike_id, 2) AS INT) % 2 = 0 THEN date_trunc('month', start_time)
+                       ELSE start_time END AS start_time) FROM c_rides_kept"""
+FINAL["bike_trajectories_same_second"] = """
+SELECT trip_id, bike_id, start_time, end_time, start_station_id, end_station_id,
+       lead(start_time) OVER w AS next_start_time, coalesce(lead(start_station_id) OVER w, -1) AS next_start_station,
+       CAST(row_number() OVER w AS INT) AS trip_seq, row_number() OVER w = 1 AS is_first_trip,
+       lead(start_time) OVER w IS NULL AS is_last_trip
+FROM c_same_second WINDOW w AS (PARTITION BY bike_id ORDER BY start_time, trip_id)"""
 FINAL["relocations"] = """
 SELECT trip_id, bike_id, end_station_id, next_start_station, gap_s / 3600.0::DOUBLE AS gap_h FROM c_moved"""
 FINAL["rebalancing_events"] = "SELECT * FROM c_rebalancing"

@@ -194,6 +194,20 @@ def bike_trajectories_sliced(spark, sf):
     return trajectory_columns(trajectories.bike_trajectories(kept_trips(spark, sf), hot_rows=5, slice_rows=3))
 
 
+def same_second_trips(spark, sf):
+    """Every second bike has all its rides of a month at one and the same second."""
+    even = F.try_mod(F.substring("bike_id", 2, 9).cast("int"), F.lit(2)) == 0
+    first = F.date_trunc("month", "start_time").cast("timestamp_ntz")
+    return kept_trips(spark, sf).withColumn("start_time", F.when(even, first).otherwise(F.col("start_time")))
+
+
+@query
+def bike_trajectories_same_second(spark, sf):
+    """Keys that only the trip id orders, in slices of about twenty rows."""
+    trips = same_second_trips(spark, sf)
+    return trajectory_columns(trajectories.bike_trajectories(trips, hot_rows=60, slice_rows=20))
+
+
 @query
 def relocations(spark, sf):
     return trajectories.relocations(traj(spark, sf)).select(

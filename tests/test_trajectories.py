@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from dockflow.contract import LabelRules
-from dockflow.operators import checks
+from dockflow.operators import checks, ordering
 from dockflow.operators import trajectories as tj
 from dockflow.testbed import fixtures as fx
 
@@ -130,6 +130,37 @@ def test_cut_keys_give_the_plain_window(spark, hot_rows, slice_rows):
     assert plain.exceptAll(cut).count() == 0
 
 
+def one_second(spark, rows):
+    """A bike whose trips all start in one second, another one spread over a day, and a small one."""
+    at = F.lit("2024-01-09 12:00:00").cast("timestamp_ntz")
+    spread = F.expr("TIMESTAMP_NTZ '2024-01-09 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id % 86400)")
+    bike = F.when(F.col("id") % 2 == 0, "A").when(F.col("id") % 100 == 1, "C").otherwise("B")
+    start = F.when(F.col("id") % 2 == 0, at).otherwise(spread)
+    return spark.range(rows).select(
+        F.col("id").alias("trip_id"), bike.alias("bike_id"), start.alias("start_time"), start.alias("end_time"),
+        F.lit(1).alias("start_station_id"), (F.col("id") % 7).cast("int").alias("end_station_id"),
+    )
+
+
+@pytest.mark.parametrize("fan", [3, 64])
+def test_a_key_of_one_second_is_cut_into_bounded_slices(spark, monkeypatch, fan):
+    monkeypatch.setattr(ordering, "FAN", fan)
+    trips, order = one_second(spark, 24_000), ["start_time", "trip_id"]
+    hot = ordering.hot_keys(trips, "bike_id", 5_000)
+    assert sorted(r[0] for r in hot.collect()) == ["A", "B"]
+    cuts = ordering.splitters(trips, hot, "bike_id", order, 1_000)
+    sliced = ordering._with_slice(trips, hot, cuts, "bike_id", order)
+    per = {(r["bike_id"], r["_slice"]): r for r in sliced.groupBy("bike_id", "_slice").agg(
+        F.count("*").alias("n"), F.min(F.struct(*order)).alias("lo"), F.max(F.struct(*order)).alias("hi")).collect()}
+    assert len([k for k in per if k[0] == "A"]) >= 9
+    assert all(r["n"] <= 2_000 for k, r in per.items() if k[0] != "C") and per["C", 0]["n"] == 240
+    for bike in "AB":  # slices follow each other in the total order
+        ends = [(r["lo"], r["hi"]) for (b, _), r in sorted(per.items()) if b == bike]
+        assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+    plain, cut = tj.bike_trajectories(trips), tj.bike_trajectories(trips, hot_rows=5_000, slice_rows=1_000)
+    assert plain.exceptAll(cut).count() == 0 and cut.count() == 24_000
+
+
 def test_order_and_partitioning_do_not_matter(spark):
     trips = fx.trips(spark, SMALL)
     a = tj.bike_trajectories(trips)
