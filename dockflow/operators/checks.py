@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dockflow.contract import CALENDAR_FEATURES, KEY_COLUMNS, LABEL_COLUMNS, Contract, ContractError, LabelRules
 from dockflow.functions.single import attach
 from dockflow.functions.time import month_floor
-from dockflow.operators import trajectories
+from dockflow.operators import grid, trajectories
 
 ZERO_RATE_LIMIT = 15.0
 WORST_STATIONS = 20
@@ -65,6 +65,20 @@ def _balance(counts: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(check_row("mass_balance", left == expected, left, expected, "warn"))))
 
 
+def off_grid_share(moves: DataFrame, ranged: DataFrame) -> DataFrame:
+    """Inferred moves that no grid row counts, from the station-hour counts: one check row for each direction."""
+    placed = grid.event_places(moves.select("station_id", "hour_ts", "reb_in", "reb_out"), ranged)
+    off = F.col("place") != grid.PLACES[0]
+    names = ("reb_in", "reb_out")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]
+    sums += [F.coalesce(F.sum(F.when(off, F.col(c))), F.lit(0)).alias(f"{c}_off") for c in names]
+    rows = [
+        check_row(f"off_grid_{c}", F.col(f"{c}_off") == 0, F.col(f"{c}_off"), F.lit(0), "warn", failed="REVIEW")
+        for c in names
+    ]
+    return placed.agg(*sums).select(F.inline(F.array(*rows)))
+
+
 def station_zero_hours(labels: DataFrame) -> DataFrame:
     return labels.groupBy("station_id").agg(
         F.count(F.lit(1)).alias("n_hours"), F.count_if(F.col("occupancy") < 1.0).alias("n_zero")

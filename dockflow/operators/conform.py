@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +23,7 @@ from dockflow.contract import (
 from dockflow.functions.single import attach
 from dockflow.functions.time import HOUR, literal_like, parse_time, seconds, text_to_int
 from dockflow.schemas import clean_trip_schema
+from dockflow.session import staged
 
 
 def _normalised(aliases: list[str]) -> list[str]:
@@ -200,15 +204,26 @@ def drop_report(trips: DataFrame, stations: DataFrame, contract: Contract) -> Da
     )
 
 
+def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of more than one row: counts by a hash aggregate, merged before the shuffle."""
+    counts = df.groupBy(*[F.col(c).alias(f"_{c}") for c in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.filter("_n > 1").drop("_n")
+
+
 def deduplicate(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key: the least by all other columns, so a rerun keeps the same row.
 
-    An aggregate rather than a ranked window: copies are merged before the shuffle, so a key with very many copies is
-    no heavier than any other.
+    Only the keys are shuffled for all rows. Rows of a key of their own pass as they are; the others, NULL keys included,
+    go through an ordered aggregate that merges copies before the shuffle, so a key with very many copies is no heavier
+    than any other. The repeated keys are written first, so that Spark knows their size: while they are below its
+    broadcast threshold, no whole row that is kept is shuffled or sorted. ``df`` is read three times.
     """
+    repeated = staged(repeated_keys(df, keys))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
     rest = [c for c in df.columns if c not in keys]
-    least = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row"))
-    return least.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+    several = df.join(repeated, same, "left_semi").groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row"))
+    least = several.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+    return df.join(repeated, same, "left_anti").unionByName(least)
 
 
 def merge_report(df: DataFrame, key: str) -> DataFrame:

@@ -48,15 +48,53 @@ def grid_end(last_seen: str, rules: LabelRules):
     return F.when(idle, F.col("t1"))
 
 
-def station_hour_grid(stations: DataFrame, activity: DataFrame, bounds: DataFrame, rules: LabelRules) -> DataFrame:
-    """One row per observed station and hour. Each station expands its own range, so no row is made to be discarded."""
+def station_bounds(stations: DataFrame, activity: DataFrame, bounds: DataFrame, rules: LabelRules) -> DataFrame:
+    """First and last grid hour (``lo``, ``hi``) of every observed station; ``lo`` after ``hi`` where it has no hour."""
     known = observed_stations(stations.select("station_id", "go_live_date"), activity)
     start = F.greatest(hour_floor(known, "go_live_date"), hour_floor(known, "first_seen"))
-    ranged = attach(known, bounds).select(
+    return attach(known, bounds).select(
         "station_id",
         start.alias("lo"),
         F.coalesce(grid_end("last_seen", rules), hour_floor(known, "last_seen")).alias("hi"),
     )
+
+
+def station_hour_grid(stations: DataFrame, activity: DataFrame, bounds: DataFrame, rules: LabelRules) -> DataFrame:
+    """One row per observed station and hour. Each station expands its own range, so no row is made to be discarded."""
+    ranged = station_bounds(stations, activity, bounds, rules)
     return ranged.filter("lo <= hi").select(
         "station_id", F.explode(F.expr("sequence(lo, hi, INTERVAL 1 HOUR)")).alias("hour_ts")
     )
+
+
+#: Where an event lies: on the grid, or why no grid row counts it.
+PLACES = ("on_grid", "unknown_station", "before_grid", "after_grid")
+
+
+def event_places(counted: DataFrame, ranged: DataFrame) -> DataFrame:
+    """Adds ``place`` to rows of (station_id, hour_ts): an interval join with the bounds of each station.
+
+    A station published twice has two ranges; an hour is on the grid if any of them holds it.
+    """
+    spans = F.collect_list(F.struct("lo", "hi")).alias("_spans")
+    per = ranged.filter("lo <= hi").groupBy("station_id").agg(spans)
+    inside = F.exists("_spans", lambda s: F.col("hour_ts").between(s["lo"], s["hi"]))
+    place = (
+        F.when(F.col("_spans").isNull(), PLACES[1])
+        .when(inside, PLACES[0])
+        .when(F.exists("_spans", lambda s: F.col("hour_ts") < s["lo"]), PLACES[2])
+        .otherwise(PLACES[3])
+    )
+    return counted.join(per, "station_id", "left").withColumn("place", place).drop("_spans")
+
+
+def off_grid_events(events: DataFrame, ranged: DataFrame) -> DataFrame:
+    """Events of each kind by where they lie. What is off the grid enters no label, so the ledger does not balance by it.
+
+    Events are counted by station and hour before the join, so a busy station is a row for each hour.
+    """
+    hourly = events.select("station_id", hour_floor(events, "event_time").alias("hour_ts"), "event_type", "event_kind")
+    counted = hourly.groupBy(*hourly.columns).agg(F.count(F.lit(1)).alias("n"))
+    placed = event_places(counted, ranged).groupBy("event_type", "event_kind")
+    here = [F.sum(F.when(F.col("place") == p, F.col("n")).otherwise(0)).alias(f"n_{p}") for p in PLACES]
+    return placed.agg(F.sum("n").alias("n_events"), *here)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockflow.contract import Contract, ContractError, default_contract, load_contract
-from dockflow.operators import assembly, checks, conform, features, ledger, models, trajectories
+from dockflow.operators import assembly, checks, conform, features, grid, ledger, models, trajectories
 from dockflow.plans import training
 from dockflow.plans.labels import dense_flows, moves_per_station_hour
 from dockflow.session import build_session, scratch_scope, staged
@@ -95,6 +95,8 @@ def labels_phase(spark: SparkSession, zones: Zones, contract: Contract, catalog:
     )
     labels = spark.read.parquet(path)
     gates = checks.mass_balance_of_moves(moves).unionByName(checks.zero_rate(labels))
+    bounds = grid.station_bounds(stations, grid.station_activity(trips), grid.window_bounds(trips), rules)
+    gates = gates.unionByName(checks.off_grid_share(moves, bounds))
     write_json(gates, f"{zones.checks}/ledger")
     write_json(checks.zero_concentration(labels), f"{zones.checks}/zero_concentration")
     write_json(checks.worst_stations(labels), f"{zones.checks}/worst_stations")

@@ -309,6 +309,27 @@ FINAL["stations_unseen"] = """
 SELECT station_id, station_name, go_live_date FROM c_stations
 WHERE station_id NOT IN (SELECT station_id FROM c_activity)"""
 FINAL["station_hour_grid"] = "SELECT station_id, hour_ts FROM c_grid"
+CTE["c_station_bounds"] = """
+SELECT s.station_id, greatest(date_trunc('hour', s.go_live_date), date_trunc('hour', a.first_seen)) AS lo,
+       CASE WHEN a.last_seen >= b.t1 - INTERVAL 1 DAY THEN b.t1 ELSE date_trunc('hour', a.last_seen) END AS hi
+FROM c_stations s JOIN c_activity a USING (station_id) CROSS JOIN c_bounds b"""
+CTE["c_placed_events"] = """
+SELECT e.*, CASE WHEN b.lo IS NULL OR b.lo > b.hi THEN 'unknown_station'
+                 WHEN date_trunc('hour', event_time) < lo THEN 'before_grid'
+                 WHEN date_trunc('hour', event_time) > hi THEN 'after_grid' ELSE 'on_grid' END AS place
+FROM c_events e LEFT JOIN c_station_bounds b USING (station_id)"""
+FINAL["off_grid_events"] = """
+SELECT event_type, event_kind, count(*) AS n_events, count(*) FILTER (WHERE place = 'on_grid') AS n_on_grid,
+       count(*) FILTER (WHERE place = 'unknown_station') AS n_unknown_station,
+       count(*) FILTER (WHERE place = 'before_grid') AS n_before_grid,
+       count(*) FILTER (WHERE place = 'after_grid') AS n_after_grid
+FROM c_placed_events GROUP BY 1, 2"""
+FINAL["off_grid_share"] = """
+SELECT 'off_grid_' || event_type AS check,
+       CASE WHEN count(*) FILTER (WHERE place <> 'on_grid') = 0 THEN 'OK' ELSE 'REVIEW' END AS status,
+       CAST(count(*) FILTER (WHERE place <> 'on_grid') AS DOUBLE) AS observed, 0.0::DOUBLE AS expected,
+       'warn' AS severity
+FROM c_placed_events GROUP BY event_type"""
 FINAL["arrivals"] = "SELECT * FROM c_arr"
 FINAL["departures"] = "SELECT * FROM c_dep"
 FINAL["rebalance_counts"] = "SELECT * FROM c_reb"

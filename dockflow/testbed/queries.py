@@ -262,6 +262,25 @@ def station_hour_grid(spark, sf):
     )
 
 
+def grid_bounds(spark, sf):
+    trips = kept_trips(spark, sf)
+    return grid.station_bounds(
+        fx.stations(spark, sf), grid.station_activity(trips), grid.window_bounds(trips), RULES
+    )
+
+
+@query
+def off_grid_events(spark, sf):
+    return grid.off_grid_events(events(spark, sf), grid_bounds(spark, sf))
+
+
+@query
+def off_grid_share(spark, sf):
+    """The same from the station-hour counts, as check rows of the label phase."""
+    chained, end = chain(spark, sf)
+    return checks.off_grid_share(label_plan.moves_per_station_hour(chained, end, RULES), grid_bounds(spark, sf))
+
+
 @query
 def arrivals(spark, sf):
     return ledger.arrivals(kept_trips(spark, sf))

@@ -93,6 +93,14 @@ def test_dedup_is_the_same_for_any_partitioning_and_hot_key(spark):
     assert sorted(a) == sorted(b) and len(a) == 2001 - 1 + (7 % 3 == 0)
 
 
+def test_dedup_by_several_keys_with_nulls(spark):
+    rows = [(None, 1, "b"), (None, 1, "a"), (None, None, "z"), (None, None, "z"), (1, None, "x"), (1, 2, None), (1, 2, "q")]
+    df = spark.createDataFrame(rows, "k int, j int, s string")
+    got = sorted(conform.deduplicate(df, ["k", "j"]).collect(), key=str)
+    assert got == sorted([(None, 1, "a"), (None, None, "z"), (1, None, "x"), (1, 2, None)], key=str)
+    assert conform.deduplicate(df.limit(0), ["k"]).count() == 0
+
+
 def test_clean_trips_from_raw_are_the_typed_trips_under_the_rules(spark):
     """Archive 0 publishes minutes, the others whole seconds and NULL or minute durations: ids must agree."""
     contract = fx.test_contract()

@@ -44,6 +44,33 @@ def test_filled_flows_equal_the_grid_join(tables):
     assert same(stepwise, tables["flows"])
 
 
+def test_events_off_the_grid_are_counted_by_reason(spark, tables):
+    t = datetime(2024, 1, 1)
+    h = timedelta(hours=1)
+    stations = [(1, t + 2 * h, t + 5 * h), (2, t, t + h), (3, t + h, t), (4, t, t + h), (4, t + 6 * h, t + 8 * h)]
+    ranged = spark.createDataFrame(stations, "station_id int, lo timestamp_ntz, hi timestamp_ntz")
+    events = [(1, 1.9, "before"), (1, 2, "on"), (1, 5.9, "on"), (1, 6, "after"), (3, 0, "unknown"), (9, 0, "unknown"),
+              (4, 0.5, "on"), (4, 7, "on"), (4, 3, "before"), (4, 9, "after")]
+    rows = [(s, t + at * h, "reb_in", kind) for s, at, kind in events]
+    df = spark.createDataFrame(rows, "station_id int, event_time timestamp_ntz, event_type string, event_kind string")
+    got = {r["event_kind"]: r for r in grid.off_grid_events(df, ranged).collect()}
+    want = {"on": (4, "n_on_grid"), "before": (2, "n_before_grid"), "after": (2, "n_after_grid"), "unknown": (2, "n_unknown_station")}
+    for kind, (n, column) in want.items():
+        assert got[kind]["n_events"] == got[kind][column] == n
+
+    trips = tables["trips"]
+    ranged = grid.station_bounds(tables["stations"], grid.station_activity(trips), grid.window_bounds(trips), RULES)
+    found = tj.movement_events(tables["traj"], RULES, tables["end"])
+    parts = grid.off_grid_events(found, ranged).collect()
+    assert all(r["n_events"] == sum(r[f"n_{p}"] for p in grid.PLACES) for r in parts)
+    assert sum(r["n_events"] for r in parts) == found.count()
+    # What is on the grid is what the flows hold.
+    held = tables["flows"].agg(F.sum(F.col("reb_in") + F.col("reb_out"))).first()[0]
+    assert sum(r["n_on_grid"] for r in parts) == held
+    off = {r["check"]: r["observed"] for r in checks.off_grid_share(tables["moves"], ranged).collect()}
+    assert sum(off.values()) == found.count() - held
+
+
 def test_go_live_inside_a_quiet_gap_starts_the_grid(spark):
     """The first active hour before go-live is dropped, the quiet hours after go-live are kept."""
     t = datetime(2024, 1, 1)

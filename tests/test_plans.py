@@ -88,10 +88,31 @@ def test_filters_reach_the_scan(lake):
     assert "GreaterThan(duration_s,60)" in text and "PartitionFilters: [isnotnull(month" in text
 
 
-def test_dedup_merges_copies_before_the_shuffle(lake):
+def test_dedup_counts_keys_by_hash_and_sorts_repeated_rows_only(lake):
+    counted = physical(conform.repeated_keys(lake["trips"], ["trip_id"]))
+    assert "Sort" not in counted and counted.count("HashAggregate") == 2
+    assert re.findall(r"ReadSchema: struct<([^>]*)>", counted) == ["trip_id:bigint"]
     text = physical(conform.deduplicate(lake["trips"], ["trip_id"]))
-    exchange = text.index("Exchange hashpartitioning")
-    assert "partial_min" in text[exchange:] and "Window" not in text
+    anti, semi = text.index("LeftAnti"), text.index("LeftSemi")
+    first, second = sorted((anti, semi))
+    alone = text[anti : second if anti == first else len(text)]
+    # Rows with a key of their own: no sort, and no exchange but the broadcast of the repeated keys.
+    assert "Sort" not in alone.split("SortAggregate")[0] and "Exchange hashpartitioning" not in alone.split("SortAggregate")[0]
+    assert "partial_min" in text[text.index("Exchange hashpartitioning") :] and "Window" not in text
+
+
+def test_dedup_without_broadcast_sorts_above_the_exchange_only(lake):
+    spark = lake["trips"].sparkSession
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        copies = lake["trips"].unionByName(lake["trips"].filter("trip_id % 3 = 0"))
+        found = conform.deduplicate(copies, ["trip_id"])
+        lines = [line.strip(" :+-|*()0123456789") for line in physical(found).splitlines()]
+        below = [a for a, b in zip(lines[1:], lines) if b.startswith("Exchange hashpartitioning")]
+        assert below and not any(line.startswith("Sort ") for line in below)
+        assert found.count() == lake["trips"].count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_partitioned_write_makes_few_files(lake, spark, tmp_path):
