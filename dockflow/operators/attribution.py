@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from math import factorial
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,37 +14,51 @@ from pyspark.sql import functions as F
 
 from dockflow.session import scratch_dir
 
+#: Cells of one work array: rows are explained in blocks so that rows times leaves times path length stays below it.
+CELLS = 1 << 20
 
-def leaf_paths(model) -> list[dict]:
-    """Every leaf of every tree: its weighted value and, per feature on its path, the open interval of values that
-    reach it and the share of training rows that pass the feature's splits.
 
-    Read from the model as Spark saves it. Size depends on the model alone.
-    """
+def leaf_paths(model) -> list[dict]:
+    """Leaves of every tree of a fitted model, weighted, read from the model as Spark saves it. Size depends on the model
+    alone."""
     spark = SparkSession.active()
     path = scratch_dir(spark)
     model.write().save(path)
     nodes: dict[int, dict[int, object]] = {}
     for row in spark.read.parquet(f"{path}/data").collect():
         nodes.setdefault(row["treeID"], {})[row["nodeData"]["id"]] = row["nodeData"]
-    leaves = []
-    for tree, weight in enumerate(model.treeWeights):
-        stack = [(0, {}, 1.0)]
-        while stack:
-            node_id, bounds, share = stack.pop()
-            node = nodes[tree][node_id]
-            if node["leftChild"] < 0:
-                leaves.append({"value": weight * node["prediction"], "bounds": bounds, "share": share})
-                continue
-            feature = node["split"]["featureIndex"]
-            threshold = node["split"]["leftCategoriesOrThreshold"][0]
-            low, high, passed = bounds.get(feature, (-np.inf, np.inf, 1.0))
-            for child, interval in (
-                (node["leftChild"], (low, min(high, threshold))),
-                (node["rightChild"], (max(low, threshold), high)),
-            ):
-                ratio = nodes[tree][child]["rawCount"] / node["rawCount"]
-                stack.append((child, {**bounds, feature: (*interval, passed * ratio)}, share * ratio))
+
+    def tree(number: int, node_id: int):
+        node = nodes[number][node_id]
+        if node["leftChild"] < 0:
+            return node["prediction"]
+        ratio = nodes[number][node["leftChild"]]["rawCount"] / node["rawCount"]
+        split, sides = node["split"], (node["leftChild"], node["rightChild"])
+        threshold = split["leftCategoriesOrThreshold"][0]
+        return split["featureIndex"], threshold, ratio, *(tree(number, side) for side in sides)
+
+    return [leaf for n, weight in enumerate(model.treeWeights) for leaf in tree_leaves(tree(n, 0), weight)]
+
+
+def tree_leaves(tree, weight: float = 1.0) -> list[dict]:
+    """Every leaf of a tree: its weighted value and, per feature on its path, the open interval of values that reach it
+    and the share of training rows that pass the feature's splits.
+
+    A tree is a leaf's value, or (feature, threshold, share of rows at or below it, tree below, tree above).
+    """
+    leaves, stack = [], [(tree, {}, 1.0)]
+    while stack:
+        node, bounds, share = stack.pop()
+        if not isinstance(node, tuple):
+            leaves.append({"value": weight * node, "bounds": bounds, "share": share})
+            continue
+        feature, threshold, ratio, below, above = node
+        low, high, passed = bounds.get(feature, (-np.inf, np.inf, 1.0))
+        for child, interval, part in (
+            (below, (low, min(high, threshold)), ratio),
+            (above, (max(low, threshold), high), 1 - ratio),
+        ):
+            stack.append((child, {**bounds, feature: (*interval, passed * part)}, share * part))
     return leaves
 
 
@@ -52,50 +67,78 @@ def base_value(leaves: list[dict]) -> float:
     return float(sum(leaf["value"] * leaf["share"] for leaf in leaves))
 
 
-def shapley_values(x: np.ndarray, leaves: list[dict]) -> np.ndarray:
+@dataclass(frozen=True)
+class Paths:
+    """Leaves whose paths test equally many features, as arrays of leaves by features on the path."""
+
+    feature: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+    value: np.ndarray
+
+
+def path_arrays(leaves: list[dict]) -> list[Paths]:
+    by_length = defaultdict(list)
+    for leaf in leaves:
+        by_length[len(leaf["bounds"])].append(leaf)
+    out = []
+    for length, group in by_length.items():
+        if length:  # a tree of one leaf tells features nothing
+            cells = np.array([[(f, *b) for f, b in leaf["bounds"].items()] for leaf in group])
+            value = np.array([leaf["value"] for leaf in group])
+            out.append(Paths(cells[:, :, 0].astype(int), cells[:, :, 1], cells[:, :, 2], cells[:, :, 3], value))
+    return out
+
+
+def _others(factors: np.ndarray) -> np.ndarray:
+    """For each entry of the last axis, the product of all other ones; zeros are no exception."""
+    ones = np.ones((*factors.shape[:-1], 1))
+    before = np.cumprod(np.concatenate([ones, factors[..., :-1]], axis=-1), axis=-1)
+    after = np.cumprod(np.concatenate([ones, factors[..., :0:-1]], axis=-1), axis=-1)[..., ::-1]
+    return before * after
+
+
+def shapley_values(x: np.ndarray, paths: list[Paths]) -> np.ndarray:
     """Contributions of every feature for every row of ``x``.
 
-    A leaf is a product game: a feature is in the coalition with its own test (0 or 1), out of it with the share of
-    rows that pass. Coalitions of equal size share one weight, so the others enter as coefficients of a polynomial.
+    A leaf is a product game: a feature is in the coalition with its own test (0 or 1), out of it with the share of rows
+    that pass. The Shapley value is the integral, over the chance t of being in, of how much the feature adds; for a path
+    of m features that is a polynomial of degree m - 1, which (m + 1) // 2 Gauss points integrate exactly. Work is
+    rows times leaves times m squared, in whole arrays.
     """
-    phi = np.zeros_like(x, dtype=float)
-    for leaf in leaves:
-        features = list(leaf["bounds"])
-        m = len(features)
-        weights = [factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)]
-        inside, passed = {}, {}
-        for f, (low, high, share) in leaf["bounds"].items():
-            inside[f] = ((x[:, f] > low) & (x[:, f] <= high)).astype(float)
-            passed[f] = share
-        for f in features:
-            by_size = [np.ones(len(x))]
-            for other in features:
-                if other != f:
-                    grown = [c * passed[other] for c in by_size] + [np.zeros(len(x))]
-                    for k, c in enumerate(by_size):
-                        grown[k + 1] = grown[k + 1] + c * inside[other]
-                    by_size = grown
-            total = sum(w * c for w, c in zip(weights, by_size))
-            phi[:, f] += leaf["value"] * (inside[f] - passed[f]) * total
+    phi = np.zeros(x.shape, dtype=float)
+    for p in paths:
+        n_leaves, m = p.feature.shape
+        points, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
+        owner = np.zeros((n_leaves * m, x.shape[1]))
+        owner[np.arange(n_leaves * m), p.feature.ravel()] = 1.0
+        step = max(1, CELLS // (n_leaves * m))
+        for at in range(0, len(x), step):
+            v = x[at : at + step][:, p.feature]
+            delta = ((v > p.low) & (v <= p.high)) - p.share
+            total = sum(w / 2 * _others(p.share + (t + 1) / 2 * delta) for t, w in zip(points, weights))
+            phi[at : at + step] += (p.value[:, None] * delta * total).reshape(len(v), -1) @ owner
     return phi
 
 
-def contributions(model, vectors: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
-    """One row per input row: its keys, each feature's contribution, and the base value they add up from."""
-    leaves = leaf_paths(model)
-    shared = vectors.sparkSession.sparkContext.broadcast(leaves)
+def explained(rows: DataFrame, leaves: list[dict], keys: list[str], features: list[str]) -> DataFrame:
+    """One row per input row of (keys, x): each feature's contribution, and the base value they add up from."""
+    shared = rows.sparkSession.sparkContext.broadcast(path_arrays(leaves))
     base = base_value(leaves)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            values = shapley_values(np.stack(batch["x"].to_numpy()), shared.value)
-            out = batch[keys].copy()
-            for i, name in enumerate(features):
-                out[name] = values[:, i]
-            out["base_value"] = base
-            yield out
-
-    rows = vectors.select(*keys, vector_to_array("features").alias("x"))
-    key_fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.select(*keys).schema.fields]
+            if len(batch):
+                values = shapley_values(np.stack(batch["x"].to_numpy()), shared.value)
+                parts = pd.DataFrame(values, columns=features, index=batch.index).assign(base_value=base)
+                yield pd.concat([batch[keys], parts], axis=1)
+
+    key_fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields]
     schema = ", ".join([*key_fields, *[f"`{f}` double" for f in features], "base_value double"])
-    return rows.mapInPandas(explain, schema)
+    return rows.select(*keys, "x").mapInPandas(explain, schema)
+
+
+def contributions(model, vectors: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """`explained` for the feature vectors of a fitted model."""
+    return explained(vectors.select(*keys, vector_to_array("features").alias("x")), leaf_paths(model), keys, features)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockflow.functions.single import attach
+from dockflow.session import staged
 
-# Scores are cut into this many runs of about equally many distinct values before they are ranked.
-SCORE_BUCKETS = 128
+# A ranking task has about so many distinct scores: more scores make more tasks, not longer ones.
+RANGE_ROWS = 100_000
 CLIP = 1e-15
 
 
@@ -21,34 +22,27 @@ def regression_metrics(rows: DataFrame, label: str, prediction: str) -> DataFram
     )
 
 
-def ranked_scores(rows: DataFrame, label: str, score: str, buckets: int = SCORE_BUCKETS) -> DataFrame:
+def ranked_scores(rows: DataFrame, label: str, score: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Distinct scores with their class counts and the counts of all higher scores.
 
-    Ties are merged before the shuffle. Bucket bounds are quantiles of the distinct scores, so buckets are even however
-    the scores crowd; a bucket is ranked by itself and shifted by the totals of the buckets above it.
+    Ties are merged before the shuffle. The distinct scores are range-partitioned, each range is ranked by itself, and
+    shifted by the totals of the ranges above it. Ranges are written before they are counted, so that counts and ranks
+    are of the same ranges even when an executor is lost. The totals, one row a range, go through the driver.
     """
-    by_score = rows.groupBy(F.col(score).alias("score")).agg(
+    merged = rows.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg")
     )
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = by_score.agg(F.percentile_approx("score", shares, 10_000).alias("_cuts"))
-    below = F.size(F.filter("_cuts", lambda c: c < F.col("score")))
-    placed = attach(by_score, cuts).select(
-        "score", "pos", "neg", F.coalesce(below, F.lit(0)).alias("bucket")
-    )
-    totals = placed.groupBy("bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    # At most one element per bucket.
-    listed = totals.agg(F.collect_list(F.struct("bucket", "p", "n")).alias("all"))
-
-    def above(field: str):
-        higher = F.filter("all", lambda t: t["bucket"] > F.col("one.bucket"))
-        return F.aggregate(higher, F.lit(0).cast("long"), lambda acc, t: acc + t[field])
-
-    shifts = listed.select("all", F.explode("all").alias("one")).select(
-        F.col("one.bucket").alias("bucket"), above("p").alias("_p"), above("n").alias("_n")
-    )
-    w = Window.partitionBy("bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return placed.join(F.broadcast(shifts), "bucket").select(
+    by_score = staged(merged)
+    ranges = max(1, -(-by_score.count() // range_rows))
+    placed = staged(by_score.repartitionByRange(ranges, F.desc("score")).withColumn("range", F.spark_partition_id()))
+    totals = placed.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).orderBy("range").collect()
+    above, p, n = [], 0, 0
+    for t in totals:
+        above.append((t["range"], p, n))
+        p, n = p + t["p"], n + t["n"]
+    shifts = rows.sparkSession.createDataFrame(above, "range int, _p long, _n long")
+    w = Window.partitionBy("range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.join(shifts, "range").select(
         "score",
         "pos",
         "neg",
@@ -58,10 +52,10 @@ def ranked_scores(rows: DataFrame, label: str, score: str, buckets: int = SCORE_
 
 
 def classification_metrics(
-    rows: DataFrame, label: str, score: str, buckets: int = SCORE_BUCKETS
+    rows: DataFrame, label: str, score: str, range_rows: int = RANGE_ROWS
 ) -> DataFrame:
     """Average precision and ROC area over score ties, Brier score and log loss."""
-    ranked = ranked_scores(rows, label, score, buckets)
+    ranked = ranked_scores(rows, label, score, range_rows)
     p = F.least(F.greatest(F.col("score"), F.lit(CLIP)), F.lit(1 - CLIP))
     hits = F.col("pos") + F.col("pos_above")
     precision = hits / (hits + F.col("neg") + F.col("neg_above"))

@@ -560,6 +560,38 @@ SELECT count(*) AS n_rows, round(avg(abs(net_flow - pred_flow)), 6) AS mae FROM
 FINAL["regression_metrics"] = """
 SELECT count(*) AS n_rows, round(avg(abs(net_flow - pred_flow)), 6) AS mae,
        round(sqrt(avg((net_flow - pred_flow) * (net_flow - pred_flow))), 6) AS rmse FROM c_scored"""
+# The leaves of the fixed trees with the tests of their paths; every coalition of the other features of a path.
+CTE["c_fixed_leaves"] = """
+SELECT * FROM (VALUES
+  (0.2::DOUBLE, ['arr', 'occupancy'], [-1e300, -1e300], [0, 3], [0.6::DOUBLE, 0.5]),
+  (-0.4, ['arr', 'occupancy'], [-1e300, 3], [0, 1e300], [0.6, 0.5]),
+  (1.0, ['arr', 'dep'], [0, -1e300], [1e300, 1], [0.4, 0.7]),
+  (-0.5, ['arr', 'dep', 'capacity'], [0, 1, -1e300], [1e300, 1e300, 8], [0.4, 0.3, 0.9]),
+  (2.0, ['arr', 'dep', 'capacity'], [0, 1, 8], [1e300, 1e300, 1e300], [0.4, 0.3, 0.1]),
+  (-1.0, ['occupancy'], [-1e300], [1], [0.3]),
+  (0.5, ['occupancy', 'capacity'], [1, -1e300], [5, 4], [0.35, 0.2]),
+  (0.1, ['occupancy', 'capacity'], [1, 4], [5, 1e300], [0.35, 0.8]),
+  (0.9, ['occupancy'], [5], [1e300], [0.35])) t(value, f, low, high, share)"""
+CTE["c_fixed_tests"] = """
+SELECT station_id, hour_ts, value, f, share, unnest(range(1, len(f) + 1)) AS j, list_transform(range(1, len(f) + 1),
+         lambda i: CASE WHEN x[list_position(names, f[i])] > low[i] AND x[list_position(names, f[i])] <= high[i]
+                        THEN 1.0::DOUBLE ELSE 0.0 END) AS inside
+FROM (SELECT station_id, hour_ts, [arr::DOUBLE, dep, occupancy, capacity] AS x,
+             ['arr', 'dep', 'occupancy', 'capacity'] AS names FROM c_split WHERE split = 'test')
+CROSS JOIN c_fixed_leaves"""
+CTE["c_fixed_terms"] = """
+SELECT station_id, hour_ts, f[j] AS feature, value * (inside[j] - share[j])
+         * factorial(bit_count(mask)::INT) * factorial((len(f) - 1 - bit_count(mask))::INT) / factorial(len(f)::INT)::DOUBLE
+         * coalesce(list_product(list_transform(list_filter(range(1, len(f) + 1), lambda i: i <> j), lambda i:
+             CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN inside[i] ELSE share[i] END)), 1) AS part
+FROM (SELECT *, unnest(range(0, 1 << len(f))) AS mask FROM c_fixed_tests) WHERE (mask >> (j - 1)) & 1 = 0"""
+FINAL["shapley_fixed_trees"] = """
+SELECT station_id, hour_ts, round(sum(part) FILTER (WHERE feature = 'arr'), 9) AS arr,
+       round(sum(part) FILTER (WHERE feature = 'dep'), 9) AS dep,
+       round(sum(part) FILTER (WHERE feature = 'occupancy'), 9) AS occupancy,
+       round(sum(part) FILTER (WHERE feature = 'capacity'), 9) AS capacity,
+       (SELECT round(0.25 + sum(value * list_product(share)), 9) FROM c_fixed_leaves) AS base_value
+FROM c_fixed_terms GROUP BY station_id, hour_ts"""
 FINAL["classification_metrics"] = """
 SELECT CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg,
        round(sum(pos * tp / (tp + fp)) / sum(pos), 6) AS pr_auc,

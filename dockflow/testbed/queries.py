@@ -576,6 +576,25 @@ def group_share(spark, sf):
     return found.withColumns({c: F.round(c, 6) for c in ("mean_abs_effect", "share")})
 
 
+# A fixed ensemble over four label columns: (feature, threshold, share of rows at or below it, tree below, tree above).
+FIXED_FEATURES = ["arr", "dep", "occupancy", "capacity"]
+FIXED_TREES = [
+    (0, 0.0, 0.6, (2, 3.0, 0.5, 0.2, -0.4), (1, 1.0, 0.7, 1.0, (3, 8.0, 0.9, -0.5, 2.0))),
+    (2, 1.0, 0.3, -1.0, (2, 5.0, 0.5, (3, 4.0, 0.2, 0.5, 0.1), 0.9)),
+    0.25,
+]
+
+
+@query
+def shapley_fixed_trees(spark, sf):
+    """Shapley values of fixed trees for every test row; one tree tests a feature twice, one is a single leaf."""
+    leaves = [leaf for tree in FIXED_TREES for leaf in attribution.tree_leaves(tree)]
+    values = F.array(*[F.col(c).cast("double") for c in FIXED_FEATURES]).alias("x")
+    rows = test_rows(label_splits(spark, sf)).select("station_id", "hour_ts", values)
+    found = attribution.explained(rows, leaves, ["station_id", "hour_ts"], FIXED_FEATURES)
+    return found.withColumns({c: F.round(c, 9) for c in (*FIXED_FEATURES, "base_value")})
+
+
 # ---- sources and sinks ---------------------------------------------------------------------------------------------
 
 

@@ -57,7 +57,8 @@ def test_kernel_equals_the_definition():
         {"value": 7.0, "share": 0.3, "bounds": {0: (2.0, inf, 0.3)}},
     ]
     x = np.array([[0.5, 6.0, -1.0], [1.5, 1.0, 1.0], [9.0, 5.0, 0.0]])
-    phi = attribution.shapley_values(x, leaves)
+    phi = attribution.shapley_values(x, attribution.path_arrays(leaves))
+    assert np.allclose(phi, by_coalition_size(x, leaves), atol=1e-14)
     for r, row in enumerate(x):
         for i in range(3):
             others = [j for j in range(3) if j != i]
@@ -70,6 +71,54 @@ def test_kernel_equals_the_definition():
             assert phi[r, i] == pytest.approx(want)
 
 
+def by_coalition_size(x, leaves):
+    """The plain kernel: for each leaf and feature, the other features as coefficients by the size of the coalition."""
+    phi = np.zeros_like(x, dtype=float)
+    for leaf in leaves:
+        m = len(leaf["bounds"])
+        inside = {f: ((x[:, f] > low) & (x[:, f] <= high)).astype(float) for f, (low, high, _) in leaf["bounds"].items()}
+        passed = {f: share for f, (_, _, share) in leaf["bounds"].items()}
+        for f in inside:
+            by_size = [np.ones(len(x))]
+            for other in inside:
+                if other != f:
+                    grown = [c * passed[other] for c in by_size] + [np.zeros(len(x))]
+                    for k, c in enumerate(by_size):
+                        grown[k + 1] = grown[k + 1] + c * inside[other]
+                    by_size = grown
+            weights = [factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)]
+            phi[:, f] += leaf["value"] * (inside[f] - passed[f]) * sum(w * c for w, c in zip(weights, by_size))
+    return phi
+
+
+def random_tree(rng, depth, features):
+    if depth == 0 or rng.random() < 0.15:
+        return float(rng.normal())
+    sides = (random_tree(rng, depth - 1, features) for _ in range(2))
+    return (int(rng.integers(features)), float(rng.normal()), float(rng.uniform(0, 1)), *sides)
+
+
+@pytest.mark.parametrize("cells", [64, 1 << 20])
+def test_path_arrays_equal_the_plain_kernel(monkeypatch, cells):
+    """Deep trees, features repeated on a path, shares of none and of all rows, single leaves."""
+    monkeypatch.setattr(attribution, "CELLS", cells)
+    rng = np.random.default_rng(4)
+    trees = [random_tree(rng, 9, 12) for _ in range(6)] + [1.5, (0, 0.0, 0.0, 1.0, 2.0), (1, 0.0, 1.0, 1.0, 2.0)]
+    leaves = [leaf for t in trees for leaf in attribution.tree_leaves(t, 0.3)]
+    x = rng.normal(size=(40, 12))
+    phi = attribution.shapley_values(x, attribution.path_arrays(leaves))
+    assert np.allclose(phi, by_coalition_size(x, leaves), rtol=1e-11, atol=1e-12)
+    assert max(p.feature.shape[1] for p in attribution.path_arrays(leaves)) >= 6
+
+    def predict(node, row):
+        while isinstance(node, tuple):
+            node = node[3] if row[node[0]] <= node[1] else node[4]
+        return node
+
+    whole = [sum(0.3 * predict(t, row) for t in trees) for row in x]
+    assert np.allclose(phi.sum(axis=1) + attribution.base_value(leaves), whole)
+
+
 def test_leaves_cover_the_whole_tree(flow_model):
     leaves = attribution.leaf_paths(flow_model)
     shares = sum(leaf["share"] for leaf in leaves)
@@ -142,14 +191,14 @@ def brute_force(y, s):
     return ap, auc / (pos * neg)
 
 
-@pytest.mark.parametrize("buckets", [1, 2, 7, 128])
-def test_ranked_metrics_with_ties_and_crowded_scores(spark, buckets):
+@pytest.mark.parametrize("range_rows", [10, 60, 10**6])
+def test_ranked_metrics_with_ties_and_crowded_scores(spark, range_rows):
     """A third of the rows share one score and most others crowd near zero."""
     rng = np.random.default_rng(3)
     s = [0.25 if i % 3 == 0 else float(round(rng.random() ** 6, 4)) for i in range(900)]
     y = [bool(rng.random() < 0.1 + 0.8 * v) for v in s]
     df = spark.createDataFrame(list(zip(y, s)), "y boolean, s double").repartition(5)
-    got = metrics.classification_metrics(df, "y", "s", buckets).first()
+    got = metrics.classification_metrics(df, "y", "s", range_rows).first()
     ap, auc = brute_force(y, s)
     clipped = np.clip(s, 1e-15, 1 - 1e-15)
     assert got["pr_auc"] == pytest.approx(ap) and got["roc_auc"] == pytest.approx(auc)
@@ -158,6 +207,24 @@ def test_ranked_metrics_with_ties_and_crowded_scores(spark, buckets):
     assert got["log_loss"] == pytest.approx(loss)
 
 
+def test_ranking_tasks_follow_the_number_of_scores(spark):
+    """Scores that crowd at one value are one row; the ranges hold about equally many distinct ones."""
+    rows = spark.range(40_000).select(
+        (F.col("id") % 3 == 0).alias("y"), F.when(F.col("id") < 30_000, 0.5).otherwise(1 / (1 + F.col("id"))).alias("s")
+    )
+    ranked = metrics.ranked_scores(rows, "y", "s", range_rows=500)
+    per = ranked.groupBy(F.spark_partition_id()).count()
+    assert ranked.count() == 10_001 and per.count() > 1
+    text = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "range" in text and "SinglePartition" not in text
+    placed = ranked.select("score", (F.col("pos_above") + F.col("neg_above")).alias("above")).orderBy(F.desc("score")).collect()
+    sizes = {r["score"]: 30_000 if r["score"] == 0.5 else 1 for r in placed}
+    total = 0
+    for r in placed:
+        assert r["above"] == total
+        total += sizes[r["score"]]
+
+
 def test_metrics_without_positives(spark):
     df = spark.createDataFrame([(False, 0.1), (False, 0.9)], "y boolean, s double")
     got = metrics.classification_metrics(df, "y", "s").first()
