@@ -44,7 +44,8 @@ def tree_leaves(tree, weight: float = 1.0) -> list[dict]:
     """Every leaf of a tree: its weighted value and, per feature on its path, the open interval of values that reach it
     and the share of training rows that pass the feature's splits.
 
-    A tree is a leaf's value, or (feature, threshold, share of rows at or below it, tree below, tree above).
+    A tree is a leaf's value, or (feature, threshold, share of rows at or below it, tree below, tree above), and where
+    missing values have a side, whether that is below. They reach a leaf whose path they take at every split.
     """
     leaves, stack = [], [(tree, {}, 1.0)]
     while stack:
@@ -52,13 +53,14 @@ def tree_leaves(tree, weight: float = 1.0) -> list[dict]:
         if not isinstance(node, tuple):
             leaves.append({"value": weight * node, "bounds": bounds, "share": share})
             continue
-        feature, threshold, ratio, below, above = node
-        low, high, passed = bounds.get(feature, (-np.inf, np.inf, 1.0))
-        for child, interval, part in (
-            (below, (low, min(high, threshold)), ratio),
-            (above, (max(low, threshold), high), 1 - ratio),
+        feature, threshold, ratio, below, above, *side = node
+        low, high, passed, *missing = bounds.get(feature, (-np.inf, np.inf, 1.0, bool(side)))
+        for child, interval, part, taken in (
+            (below, (low, min(high, threshold)), ratio, side == [True]),
+            (above, (max(low, threshold), high), 1 - ratio, side == [False]),
         ):
-            stack.append((child, {**bounds, feature: (*interval, passed * part)}, share * part))
+            reached = (*interval, passed * part, missing[0] and taken)
+            stack.append((child, {**bounds, feature: reached}, share * part))
     return leaves
 
 
@@ -75,6 +77,7 @@ class Paths:
     low: np.ndarray
     high: np.ndarray
     share: np.ndarray
+    missing: np.ndarray
     value: np.ndarray
 
 
@@ -85,9 +88,10 @@ def path_arrays(leaves: list[dict]) -> list[Paths]:
     out = []
     for length, group in by_length.items():
         if length:  # a tree of one leaf tells features nothing
-            cells = np.array([[(f, *b) for f, b in leaf["bounds"].items()] for leaf in group])
+            cells = np.array([[(f, *b, False)[:5] for f, b in leaf["bounds"].items()] for leaf in group], float)
             value = np.array([leaf["value"] for leaf in group])
-            out.append(Paths(cells[:, :, 0].astype(int), cells[:, :, 1], cells[:, :, 2], cells[:, :, 3], value))
+            feature, low, high, share, missing = np.moveaxis(cells, 2, 0)
+            out.append(Paths(feature.astype(int), low, high, share, missing.astype(bool), value))
     return out
 
 
@@ -116,7 +120,7 @@ def shapley_values(x: np.ndarray, paths: list[Paths]) -> np.ndarray:
         step = max(1, CELLS // (n_leaves * m))
         for at in range(0, len(x), step):
             v = x[at : at + step][:, p.feature]
-            delta = ((v > p.low) & (v <= p.high)) - p.share
+            delta = (((v > p.low) & (v <= p.high)) | (np.isnan(v) & p.missing)) - p.share
             total = sum(w / 2 * _others(p.share + (t + 1) / 2 * delta) for t, w in zip(points, weights))
             phi[at : at + step] += (p.value[:, None] * delta * total).reshape(len(v), -1) @ owner
     return phi
@@ -130,7 +134,7 @@ def explained(rows: DataFrame, leaves: list[dict], keys: list[str], features: li
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                values = shapley_values(np.stack(batch["x"].to_numpy()), shared.value)
+                values = shapley_values(np.array(batch["x"].tolist(), float), shared.value)
                 parts = pd.DataFrame(values, columns=features, index=batch.index).assign(base_value=base)
                 yield pd.concat([batch[keys], parts], axis=1)
 

@@ -560,6 +560,56 @@ SELECT count(*) AS n_rows, round(avg(abs(net_flow - pred_flow)), 6) AS mae FROM
 FINAL["regression_metrics"] = """
 SELECT count(*) AS n_rows, round(avg(abs(net_flow - pred_flow)), 6) AS mae,
        round(sqrt(avg((net_flow - pred_flow) * (net_flow - pred_flow))), 6) AS rmse FROM c_scored"""
+# The first boosted tree: histograms of (feature, bin) with NULL as bin -1, each threshold with NULLs on both sides.
+BINS = {
+    "precipitation": "[0.25, 0.5, 1, 2]", "is_daylight": "[0]", "occupancy_lag_1h": "[0, 1, 2, 3, 5, 8, 13]",
+    "net_flow_lag_1h": "[-2, -1, 0, 1]", "net_flow_same_hour_last_week": "[-1, 0, 1]",
+}
+CTE["c_train_bins"] = "SELECT station_id, hour_ts, -net_flow::DOUBLE AS g, [" + ", ".join(
+    f"CASE WHEN {c} IS NULL THEN -1 ELSE len(list_filter({e}, lambda e: e < {c})) END" for c, e in BINS.items()
+) + f"""] AS bins
+FROM (SELECT *, {SPLIT} FROM c_features) WHERE split = 'train'"""
+
+
+def _best_split(rows: str) -> str:
+    """The best split of every node of rows (node, g, bins)."""
+    return f"""
+SELECT node, feature, bin, missing_left, gain, nl, gl, nr, gr FROM (
+  SELECT *, (gl * gl / nl + gr * gr / nr) - ga * ga / na AS gain FROM (
+    SELECT *, n_low + (CASE WHEN missing_left THEN n_miss ELSE 0 END) AS nl,
+           g_low + (CASE WHEN missing_left THEN g_miss ELSE 0 END) AS gl, na - nl AS nr, ga - gl AS gr
+    FROM (
+      SELECT *, unnest([false, true]) AS missing_left FROM (
+        SELECT node, feature, bin, sum(n) OVER w AS na, sum(g) OVER w AS ga,
+               sum(CASE WHEN bin < 0 THEN n ELSE 0 END) OVER w AS n_miss,
+               sum(CASE WHEN bin < 0 THEN g ELSE 0 END) OVER w AS g_miss,
+               sum(CASE WHEN bin >= 0 THEN n ELSE 0 END) OVER (w ORDER BY bin) AS n_low,
+               sum(CASE WHEN bin >= 0 THEN g ELSE 0 END) OVER (w ORDER BY bin) AS g_low
+        FROM (SELECT node, feature, bins[feature + 1] AS bin, count(*) AS n, sum(g) AS g
+              FROM {rows}, range(0, {len(BINS)}) t(feature) GROUP BY ALL)
+        WINDOW w AS (PARTITION BY node, feature)
+      ) WHERE bin >= 0
+    ) WHERE NOT missing_left OR n_miss > 0
+  ) WHERE nl >= 20 AND nr >= 20
+) QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, bin, missing_left) = 1"""
+
+
+CTE["c_root_rows"] = "SELECT 0 AS node, g, bins FROM c_train_bins"
+CTE["c_root_split"] = _best_split("c_root_rows")
+CTE["c_child_rows"] = """
+SELECT CASE WHEN CASE WHEN bins[s.feature + 1] < 0 THEN missing_left ELSE bins[s.feature + 1] <= s.bin END
+            THEN 1 ELSE 2 END AS node, r.g, r.bins
+FROM c_root_rows r, c_root_split s"""
+CTE["c_child_split"] = _best_split("c_child_rows")
+FINAL["missing_value_splits"] = """
+SELECT CAST(node AS INT) AS node, [@NAMES@][feature + 1] AS feature,
+       coalesce([@EDGES@][feature + 1][bin + 1], 'Infinity'::DOUBLE)::DOUBLE AS threshold, missing_left,
+       round(gain, 9) AS gain, CAST(nl + nr AS BIGINT) AS n_rows, round(-0.2::DOUBLE * gl / nl, 9) AS value_left,
+       round(-0.2::DOUBLE * gr / nr, 9) AS value_right
+FROM (SELECT * FROM c_root_split UNION ALL SELECT * FROM c_child_split) WHERE gain > 1e-9""".replace(
+    "@NAMES@", ", ".join(f"'{c}'" for c in BINS)
+).replace("@EDGES@", ", ".join(f"{e}::DOUBLE[]" for e in BINS.values()))
+
 # The leaves of the fixed trees with the tests of their paths; every coalition of the other features of a path.
 CTE["c_fixed_leaves"] = """
 SELECT * FROM (VALUES

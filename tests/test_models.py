@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from dockflow.contract import ContractError
-from dockflow.operators import assembly, attribution, metrics, models
+from dockflow.operators import assembly, attribution, boosting, metrics, models
 from dockflow.testbed import fixtures as fx
 from dockflow.testbed import queries as q
 
@@ -76,8 +76,8 @@ def by_coalition_size(x, leaves):
     phi = np.zeros_like(x, dtype=float)
     for leaf in leaves:
         m = len(leaf["bounds"])
-        inside = {f: ((x[:, f] > low) & (x[:, f] <= high)).astype(float) for f, (low, high, _) in leaf["bounds"].items()}
-        passed = {f: share for f, (_, _, share) in leaf["bounds"].items()}
+        inside = {f: ((x[:, f] > low) & (x[:, f] <= high)).astype(float) for f, (low, high, *_) in leaf["bounds"].items()}
+        passed = {f: share for f, (_, _, share, *_) in leaf["bounds"].items()}
         for f in inside:
             by_size = [np.ones(len(x))]
             for other in inside:
@@ -263,3 +263,96 @@ def test_baseline_falls_back_to_the_overall_mean(spark):
 def test_vector_sum_matches_the_columns(vectors):
     sizes = vectors.select(F.size(vector_to_array("features")).alias("n")).distinct().collect()
     assert [r["n"] for r in sizes] == [len(CONTRACT.features)]
+
+
+# ---- boosting with missing values
+
+
+def with_holes(spark, n=4000, seed=0):
+    """"No rain known" behaves unlike "no rain": a third of the values are NULL, some are NaN."""
+    rng = np.random.default_rng(seed)
+    rain = np.where(rng.random(n) < 0.35, np.nan, np.floor(rng.exponential(1.5, n)))
+    load = np.where(rng.random(n) < 0.1, np.nan, rng.normal(size=n).round(1))
+    y = np.where(np.isnan(rain), 6.0, rain) + np.where(load > 0.5, 2.0, 0.0) + rng.normal(0, 0.1, n).round(3)
+    rows = [
+        (i, None if np.isnan(a) and i % 2 else float(a), None if np.isnan(b) else float(b), float(c), bool(i % 4 == 0))
+        for i, (a, b, c) in enumerate(zip(rain, load, y))
+    ]
+    df = spark.createDataFrame(rows, "id long, rain double, load double, y double, is_val boolean").repartition(5)
+    return df, rain, load, y, np.arange(n) % 4 == 0
+
+
+def plain_best(columns, g, min_rows):
+    """The best split over all values and both sides of missing rows, by trying each."""
+    best = None
+    score = lambda m: g[m].sum() ** 2 / m.sum()
+    for j, v in enumerate(columns):
+        gone = np.isnan(v)
+        for cut in np.unique(v[~gone]):
+            for side in (False, True):
+                left = np.where(gone, side, v <= cut)
+                if min(left.sum(), (~left).sum()) >= min_rows:
+                    gain = score(left) + score(~left) - score(np.ones(len(g), bool))
+                    if best is None or gain > best[0] + 1e-9:
+                        best = (gain, j, cut, side)
+    return best
+
+
+def test_first_split_is_the_best_of_all(spark):
+    df, rain, load, y, held = with_holes(spark)
+    params = boosting.BoostParams(learning_rate=1.0, max_depth=1, min_rows=30, max_rounds=1)
+    model = boosting.fit(df, ["load", "rain"], "y", params, edges=[np.unique(load[~np.isnan(load)]), np.unique(rain[~np.isnan(rain)])])
+    (_, _, feature, threshold, side, gain, n, *_), = model.splits()
+    want = plain_best([load[~held], rain[~held]], -y[~held], 30)
+    assert gain == pytest.approx(want[0]) and feature == ["load", "rain"][want[1]]
+    assert threshold == want[2] and side == want[3] and n == (~held).sum()
+
+
+def test_missing_values_are_learned_not_filled(spark):
+    df, rain, load, y, held = with_holes(spark)
+    params = boosting.BoostParams(learning_rate=0.3, max_depth=3, min_rows=20, max_rounds=40, patience=4)
+    model = boosting.fit(df, ["rain", "load"], "y", params)
+    scored = boosting.score(model, df, "p").filter("is_val").select("y", "p").toPandas()
+    assert np.mean((scored.y - scored.p) ** 2) < 0.15  # filling NULL by zero cannot come below the spread of 6 against 0
+    assert len(model.trees) == int(np.argmin(model.losses)) and model.losses[len(model.trees)] == min(model.losses)
+    bins = model.bins([rain[held], load[held]])
+    assert np.mean((model.raw(bins) - y[held]) ** 2) / 2 == pytest.approx(min(model.losses))
+
+
+def test_boosting_rewrites_rows_without_a_change(spark, monkeypatch):
+    df = with_holes(spark, 800)[0]
+    params = boosting.BoostParams(learning_rate=0.2, max_depth=2, min_rows=10, max_rounds=7, patience=9)
+    first = boosting.fit(df, ["rain", "load"], "y", params)
+    monkeypatch.setattr(boosting, "WRITE_EVERY", 2)
+    again = boosting.fit(df.repartition(3), ["rain", "load"], "y", params)
+    plain = lambda m: [(s[2:5], s[6]) for s in m.splits()]
+    assert plain(first) == plain(again) and len(first.trees) > 2
+    assert first.losses == pytest.approx(again.losses)
+
+
+def test_classifier_and_attribution_follow_missing_values(spark):
+    df, rain, load, y, held = with_holes(spark, 1500)
+    df = df.withColumn("z", (F.col("y") > 5).cast("double"))
+    params = boosting.BoostParams(learning_rate=0.3, max_depth=3, min_rows=10, max_rounds=8, patience=8)
+    model = boosting.fit(df, ["rain", "load"], "z", params, objective="log")
+    scored = boosting.score(model, df, "p", probability=True).toPandas()
+    assert scored.p.between(0, 1).all() and scored.p[scored.z == 1].mean() > scored.p[scored.z == 0].mean() + 0.5
+    leaves = [leaf for t in model.nested() for leaf in attribution.tree_leaves(t)]
+    x = np.column_stack([rain, load])
+    phi = attribution.shapley_values(x, attribution.path_arrays(leaves))
+    assert np.allclose(phi.sum(axis=1) + attribution.base_value(leaves), model.raw(model.bins([rain, load])))
+
+
+def test_boosting_on_odd_tables(spark):
+    schema = "rain double, load double, y double, is_val boolean"
+    params = boosting.BoostParams(min_rows=1, max_rounds=3)
+    for rows in ([], [(None, None, 1.0, False)], [(None, 1.0, None, False), (None, 1.0, 2.0, False)] * 3):
+        model = boosting.fit(spark.createDataFrame(rows, schema), ["rain", "load"], "y", params)
+        assert model.trees == []
+    two = spark.createDataFrame([(None, None, 1.0, False), (1.0, None, 3.0, False)] * 3, schema)
+    model = boosting.fit(two, ["rain", "load"], "y", boosting.BoostParams(1.0, 2, 1, 1))
+    assert [s[2:5] for s in model.splits()] == [("rain", 1.0, False)]
+    got = boosting.score(model, two, "p").select("y", "p").distinct().collect()
+    assert all(r["y"] == pytest.approx(r["p"]) for r in got)
+    with pytest.raises(ContractError):
+        boosting.fit(two, ["rain"], "y", params, objective="huber")
