@@ -1,23 +1,26 @@
 """Byte-level BPE encoding and decoding by a hierarchical-bitmap rank queue.
 
-One pre-token is a doubly linked list of parts. Each adjacent pair that has a merge rank waits in the bucket of that
-rank, a heap of list positions. A bitmap over the ranks, with a bitmap over its words and another over those, tells which
-buckets are in use: three find-first-set steps give the least rank. Entries whose pair has changed meanwhile are stale
-and skipped. A merge touches two pairs, so a pre-token of n bytes takes n log n steps however long it is.
+The pre-tokens that a slice of a batch brings anew are doubly linked lists of parts over one run of bytes. Each adjacent
+pair that has a merge rank waits in the bucket of that rank, a list of positions. A bitmap over the ranks, with a bitmap
+over its words and another over those, tells which buckets are in use: three find-first-set steps give the least rank,
+whose bucket is emptied in the order of the positions. Entries whose pair has changed meanwhile are stale and skipped. As
+pre-tokens never touch, the order of merges inside each is that of the pre-token by itself. A merge touches two pairs, so
+n bytes take n log n steps however long a pre-token is.
 
 Ranks come from a public rank file, whose path is a parameter; each executor reads its own copy. Pre-tokens repeat, so
-chunks of text are memoised; the memo is bounded and changes no result.
+chunks of text are memoised; the memos are bounded in bytes and change no result.
 
-Defined results: NULL and empty texts have no ids. Equal rows get equal results. Texts are encoded whole.
+Defined results: NULL and empty texts have no ids. Equal rows, and rows without an id, get a result each. Texts are
+encoded whole, however long. An empty table gives no rows. Other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +28,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockflow.llm.common import Memo
+from dockflow.llm.common import Memo, only, sliced
 from dockflow.llm.tokens import chunks
 
 WORD = 64
 
 
 class RankQueue:
-    """A priority queue of positions by rank, least rank first, positions ascending within a rank."""
+    """Buckets of positions by rank; the least rank in use is found from bitmaps over bitmaps."""
 
     def __init__(self, ranks: int):
         self.levels = [[0] * (-(-ranks // WORD))]
@@ -43,7 +46,7 @@ class RankQueue:
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is not None:
-            heappush(bucket, position)
+            bucket.append(position)
             return
         self.buckets[rank] = [position]
         at = rank
@@ -54,24 +57,21 @@ class RankQueue:
             if old:
                 break
 
-    def pop(self) -> tuple[int, int] | None:
+    def pop(self) -> tuple[int, list[int]] | None:
+        """The least rank in use and its positions in ascending order."""
         if not self.buckets:
             return None
         rank = 0
         for level in reversed(self.levels):
             word = level[rank]
             rank = rank * WORD + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for level in self.levels:
-                at, bit = divmod(at, WORD)
-                level[at] &= ~(1 << bit)
-                if level[at]:
-                    break
-        return rank, position
+        at = rank
+        for level in self.levels:
+            at, bit = divmod(at, WORD)
+            level[at] &= ~(1 << bit)
+            if level[at]:
+                break
+        return rank, sorted(self.buckets.pop(rank))
 
 
 class Codec:
@@ -83,59 +83,88 @@ class Codec:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.queue = RankQueue(max(self.ranks.values()) + 1)
-        self.pieces = Memo(self._piece, 200_000)
-        self.after_blank = Memo(lambda chunk: self._matches(" " + chunk), 300_000)
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        ranks, queue = self.ranks, self.queue
-        whole = ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        n = len(piece)
-        ends = list(range(1, n + 1))  # ends[i]: where the part that starts at i ends; 0 once it is merged away
-        before = list(range(-1, n))
+        self.pieces = Memo(lambda piece: self._ids([piece])[0])
+        self.after_blank = Memo(lambda chunk: self._matches(" " + chunk))
+
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each pre-token; all are merged by one queue."""
+        ranks, queue, push = self.ranks.get, self.queue, self.queue.push
+        text = b"".join(pieces)
+        n = len(text)
+        stop = bytearray(n + 1)  # where a pre-token begins or ends
+        at = 0
+        for piece in pieces:
+            stop[at] = 1
+            at += len(piece)
+        stop[n] = 1
+        ends = list(range(1, n + 1))  # ends[i]: where the part that starts at i ends
+        before = list(range(-1, n))  # before[i]: where the part in front of it starts
         pair = [-1] * n  # the rank of the part at i joined with the next
         for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                queue.push(rank, i)
+            if not stop[i + 1] and (found := ranks(text[i : i + 2])) is not None:
+                pair[i] = found
+                push(found, i)
         while (least := queue.pop()) is not None:
-            rank, i = least
-            if pair[i] != rank or not ends[i]:
-                continue  # stale
-            gone = ends[i]
-            end = ends[gone]
-            ends[i], ends[gone], pair[gone] = end, 0, -1
-            before[end] = i
-            for k in (before[i], i):
-                if k >= 0:
-                    after = ends[k]
-                    found = ranks.get(piece[k : ends[after]]) if after < n else None
+            rank, positions = least
+            for place, i in enumerate(positions):
+                if pair[i] != rank:
+                    continue  # stale
+                gone = ends[i]
+                end = ends[i] = ends[gone]
+                pair[i] = pair[gone] = -1
+                lowest = rank + 1
+                if not stop[end]:
+                    before[end] = i
+                    if (found := ranks(text[i : ends[end]])) is not None:
+                        pair[i] = lowest = found
+                        push(found, i)
+                if not stop[i]:
+                    k = before[i]
+                    found = ranks(text[k:end])
                     pair[k] = -1 if found is None else found
                     if found is not None:
-                        queue.push(found, k)
+                        push(found, k)
+                        lowest = min(lowest, found)
+                if lowest <= rank:  # not in a vocabulary learned merge by merge; the rest of the bucket waits
+                    for later in positions[place + 1 :]:
+                        push(rank, later)
+                    break
         out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : ends[i]]])
-            i = ends[i]
+        for piece in pieces:
+            ids, end = [], i + len(piece)
+            while i < end:
+                ids.append(ranks(text[i : ends[i]]))
+                i = ends[i]
+            out.append(ids)
         return out
 
-    def _piece(self, piece: str) -> bytes:
-        return np.array(self.merge(piece.encode()), "<u4").tobytes()
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        raw = [p.encode() for p in pieces]
+        whole = [self.ranks.get(p) for p in raw]
+        merged = iter(self.merge([p for p, rank in zip(raw, whole) if rank is None]))
+        return [array("I", [rank] if rank is not None else next(merged)).tobytes() for rank in whole]
 
     def _matches(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
+    def _learn(self, texts: list[str]) -> None:
+        """Puts the ids of all pre-tokens of the texts into the memo."""
+        new = self.pieces.lacks(set().union(*map(self.pattern.findall, texts)))
+        for piece, ids in zip(new, self._ids(new)):
+            self.pieces.put(piece, ids)
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of whole texts, each match of the pattern by itself."""
+        parts = [(chunks(t) if t else [""]) for t in texts]
+        new = self.after_blank.lacks(set().union(*(p[1:] for p in parts if p)))
+        heads = [t if p is None else p[0] for t, p in zip(texts, parts)]
+        self._learn([*(" " + c for c in new), *heads])
+        look = self.after_blank.__getitem__
+        found = (self._matches(h) + b"".join(map(look, p[1:] if p else ())) for h, p in zip(heads, parts))
+        return [np.frombuffer(f, "<u4") for f in found]
+
     def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a whole text, each match of the pattern by itself."""
-        if not text:
-            return np.zeros(0, "<u4")
-        parts = chunks(text)
-        if parts is None:
-            return np.frombuffer(self._matches(text), "<u4")
-        return np.frombuffer(self._matches(parts[0]) + b"".join(map(self.after_blank.__getitem__, parts[1:])), "<u4")
+        return self.encode_many([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -152,11 +181,10 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
-            keys, texts = batch.column("key"), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 1000):
-                ids = pa.array([own.encode(t).tobytes() for t in texts[at : at + 1000]], pa.binary())
-                yield pa.RecordBatch.from_arrays([keys.slice(at, 1000), ids], ["key", "ids"])
+        only(own.pieces, own.after_blank)
+        for batch in sliced(batches, 500):
+            ids = pa.array([x.tobytes() for x in own.encode_many(batch.column("text").to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), ids], ["key", "ids"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"key {kind}, ids binary").withColumnRenamed("key", key)

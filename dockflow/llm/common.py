@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import weakref
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: ASCII whitespace that separates words everywhere in this subpackage: blank and 0x09 to 0x0D.
 SPACE_CLASS = r"[ \t-\r]"
+#: Bytes of an entry of a memo besides its text: two objects, a slot, and its share of free slots.
+ENTRY = 180
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,14 +46,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Memo(dict):
-    """A bounded cache of computed values. At `limit` entries a new generation starts, which takes over what is still used.
-
-    Both generations together hold at most twice `limit` entries.
+    """A cache of values computed from text, bounded in bytes, with values taken as twice as long as their keys. A generation that reaches `limit` bytes gives way to a new one, which
+    takes over what is still used, so that both together hold at most twice `limit` and the last entry.
     """
 
-    def __init__(self, compute, limit: int = 400_000):
+    alive: weakref.WeakSet = weakref.WeakSet()
+
+    def __init__(self, compute, limit: int = 48 << 20):
         super().__init__()
-        self.compute, self.limit, self.before = compute, limit, {}
+        self.compute, self.limit, self.before, self.weight = compute, limit, {}, 0
+        Memo.alive.add(self)
+
+    __hash__ = object.__hash__
 
     def __missing__(self, key):
         value = self.before.get(key)
@@ -59,11 +67,31 @@ class Memo(dict):
         return value
 
     def put(self, key, value) -> None:
-        if len(self) >= self.limit:
-            self.before = dict(self)
+        if self.weight >= self.limit:
+            self.before, self.weight = dict(self), 0
             self.clear()
+        self.weight += ENTRY + 3 * len(key)
         self[key] = value
 
     def lacks(self, keys) -> list:
         """The distinct keys that would have to be computed."""
         return [k for k in set(keys) if k not in self and k not in self.before]
+
+    def forget(self) -> None:
+        self.clear()
+        self.before, self.weight = {}, 0
+
+
+def only(*kept: Memo) -> None:
+    """Empties all other memos of this worker: it may have served another stage before."""
+    for memo in list(Memo.alive):
+        if not any(memo is k for k in kept):
+            memo.forget()
+    pa.default_memory_pool().release_unused()
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what a task makes of one is small beside the batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

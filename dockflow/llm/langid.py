@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockflow.llm.common import as_bytes
+from dockflow.llm.common import as_bytes, only, sliced
 
 DIMS = 4096
 SAMPLE_PER_LANGUAGE = 800
@@ -191,7 +191,8 @@ def _member_steps(idf: np.ndarray, clusters: dict[str, np.ndarray]):
     """Language and step of closeness of every document with a letter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        only()
+        for batch in sliced(batches):
             texts, inside = as_bytes(batch, "text"), np.array(batch.column("inside").to_pylist(), bool)
             of: dict[str, list[int]] = {}
             for i, name in enumerate(batch.column("lang").to_pylist()):
@@ -209,8 +210,9 @@ def _member_steps(idf: np.ndarray, clusters: dict[str, np.ndarray]):
 
 
 def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only()
     df = np.zeros(DIMS, np.int64)
-    for batch in batches:
+    for batch in sliced(batches):
         for text in as_bytes(batch, "text"):
             df += gram_counts(text) > 0
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS, dtype=np.int32)), pa.array(df)], ["dim", "n"])
@@ -235,7 +237,8 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        only()
+        for batch in sliced(batches):
             names, scores, rejected = model.judge(as_bytes(batch, "text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)],
@@ -251,7 +254,8 @@ def keep_known(docs: DataFrame, model: LanguageModel, text: str = "text") -> Dat
     """The rows whose language is recognised, all columns as they were."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        only()
+        for batch in sliced(batches):
             yield batch.filter(pa.array(~model.judge(as_bytes(batch, text))[2]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dockflow.llm.common import Memo, as_bytes, mix
+from dockflow.llm.common import Memo, as_bytes, mix, only
 from dockflow.llm.components import components, roots
 from dockflow.session import staged
 
@@ -36,7 +36,7 @@ BINS = BANDS * ROWS
 BLOCK_SETS, BLOCK_VALUES = 512, 1 << 20
 
 _ORDER = np.argsort(np.random.default_rng(7).random((BINS, BINS)), axis=1).argsort(axis=1).astype(np.uint16)
-_WORDS = Memo(lambda w: xxhash.xxh64_intdigest(w), 300_000)
+_WORDS = Memo(lambda w: xxhash.xxh64_intdigest(w), 40 << 20)
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -79,6 +79,7 @@ def _set_id(values: np.ndarray) -> int:
 
 def _signed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(_WORDS)
         for batch in batches:
             counts, ids, bands = [], [], []
             for text in as_bytes(batch, "text"):
@@ -99,6 +100,7 @@ def _signed(size: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(_WORDS)
         for batch in batches:
             rows = [shingle_set(t, size) for t in as_bytes(batch, "text")]
             ids = [_set_id(r) if len(r) else None for r in rows]
@@ -119,7 +121,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     signed = staged(rows.mapInArrow(_signed(size), f"key {kind}, n long, set_id long, bands array<long>"))
     # Buckets with two sets or more: (h, centre, set_id), one row per set that is not the centre.
-    entries = signed.where("set_id is not null").select("set_id", F.explode("bands").alias("h"))
+    # Equal sets are one node from here on: copies go before bands are spread, merged where they are read.
+    distinct = signed.where("set_id is not null").select("set_id", "bands").dropDuplicates(["set_id"])
+    entries = distinct.select("set_id", F.explode("bands").alias("h"))
     within = Window.partitionBy("h").orderBy("set_id")
     bucket = entries.withColumn("centre", F.first("set_id").over(within)).withColumn("last", F.lag("set_id").over(within))
     members = staged(bucket.where("set_id <> centre and set_id <> last").select("h", "centre", "set_id"))

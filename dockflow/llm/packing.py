@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dockflow.llm.common import only
 from dockflow.llm.tokens import byte_level
 from dockflow.session import staged
 
@@ -75,6 +76,7 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_level(path)
+        only(encoder.after_blank, encoder.stops)
         for batch in batches:
             keys, texts = batch.column("key"), batch.column("text").to_pylist()
             for at in range(0, len(texts), 512):

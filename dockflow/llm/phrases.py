@@ -40,9 +40,9 @@ LONGEST = 5
 TILE = 1024
 #: A tile with this share of its cells seen in one buffer is counted densely.
 DENSE = 1 / 16
-BUFFER = 1 << 21
+BUFFER = 1 << 20
 SLICE = 1 << 20
-DISTINCT = 400_000
+DISTINCT = 250_000
 
 #: States of a position that has no id: no frequent phrase starts here, or one may that no table knows.
 DEAD, UNKNOWN = -1, -2

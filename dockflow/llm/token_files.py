@@ -9,7 +9,8 @@ A file is a Parquet file that Spark's writer commits, one block a row; it holds
 left, right, lengths). Blocks are in key order by (part, block).
 
 Defined results: NULL and empty texts are the end id alone; rows without a key come first; repeated rows are all stored,
-in the order of their text. A document is never cut: a longer one is a block by itself.
+in the order of their text. A document is never cut: a longer one is a block by itself. An empty table makes files without
+blocks. A vocabulary with ids from `FIRST_RULE` on is an error. Other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dockflow.llm.common import as_bytes
-from dockflow.llm.tokens import word_level
+from dockflow.llm.common import as_bytes, only
+from dockflow.llm.tokens import tokenizer, word_level
 
 END = 1
 FIRST_RULE = 49_408
 BLOCK = 2_000_000
-ROUNDS = 8
+#: Pairs replaced at once, the most frequent first; rounds go on until no pair occurs `LEAST` times.
 RULES_A_ROUND = 4096
 LEAST = 64
 TABLE_BITS = 18
@@ -38,30 +39,31 @@ def _slots(pairs: np.ndarray) -> np.ndarray:
     return (pairs * np.uint32(0x9E3779B1)) >> np.uint32(32 - TABLE_BITS)
 
 
+def frequent_pairs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that occur `LEAST` times or more, the most frequent first, and their exact counts."""
+    ordered = np.sort(pairs)
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    counts = np.diff(np.r_[first, len(ordered)])
+    often = np.flatnonzero(counts >= LEAST)
+    often = often[np.argsort(-counts[often], kind="stable")]
+    return ordered[first[often]], counts[often]
+
+
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, left and right sides of the rules, and the rules' expansion lengths."""
     seq, left, right = ids.astype(np.uint16), np.zeros(0, np.uint16), np.zeros(0, np.uint16)
     sizes = np.ones(1 << 16, np.int64)
-    for _ in range(ROUNDS):
-        room = (1 << 16) - FIRST_RULE - len(left)
-        if len(seq) < 2 or room <= 0:
-            break
+    while len(seq) > 1 and (room := (1 << 16) - FIRST_RULE - len(left)) > 0:
         pairs = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-        slots = _slots(pairs)
-        # One pair stands for each slot of the table; another one in its slot has its turn in a later round.
-        stands = np.zeros(1 << TABLE_BITS, np.uint32)
-        stands[slots] = pairs
-        own = stands[slots] == pairs
-        counts = np.bincount(slots[own], minlength=1 << TABLE_BITS)
-        often = np.flatnonzero(counts >= LEAST)
-        often = often[np.argsort(-counts[often], kind="stable")[: min(room, RULES_A_ROUND)]]
-        if not len(often):
+        found = frequent_pairs(pairs)[0][: min(room, RULES_A_ROUND)]
+        if not len(found):
             break
-        found = stands[often]
+        # Each pair looks its rule up in a hashed table; of frequent pairs in one slot the most frequent has this round.
         chosen = np.full(1 << TABLE_BITS, -1, np.int32)
-        chosen[often] = np.arange(len(often))
-        rule = chosen[slots]
-        hit = np.flatnonzero((rule >= 0) & own)
+        chosen[_slots(found)[::-1]] = np.arange(len(found))[::-1]
+        rule = chosen[_slots(pairs)]
+        hit = np.flatnonzero(rule >= 0)
+        hit = hit[found[rule[hit]] == pairs[hit]]
         # Occurrences that overlap: every second one of a run.
         starts = np.r_[True, np.diff(hit) != 1]
         offset = np.arange(len(hit)) - np.maximum.accumulate(np.where(starts, np.arange(len(hit)), 0))
@@ -122,6 +124,7 @@ def _encoded(encoder, batch: pa.RecordBatch) -> Iterator[tuple[object, np.ndarra
 def _blocks(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, block = word_level(path), TaskContext.get().partitionId(), 0
+        only(encoder.words, encoder.stops)
         keys, parts, held, kind = [], [], 0, None
 
         def close() -> pa.RecordBatch:
@@ -150,6 +153,8 @@ def _blocks(path: str):
 
 def write(docs: DataFrame, path: str, out: str, key: str = "doc_id", text: str = "text") -> None:
     """Writes the token files of all rows to the folder `out`."""
+    if tokenizer(path).get_vocab_size() > FIRST_RULE:
+        raise ValueError(f"{path}: ids from {FIRST_RULE} on stand for rules")
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text")

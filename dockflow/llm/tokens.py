@@ -48,26 +48,52 @@ def _id_bytes(found: list) -> list[bytes]:
     return [array("H", e.ids).tobytes() for e in found]
 
 
+#: Words of letters that are encoded in one call, and the longest of them.
+TOGETHER, LONG_WORD = 200, 100
+
+
+def encode_words(encoder, words: list[str], lead: str) -> list[bytes]:
+    """Ids of each word behind `lead`. Words of letters alone are one match of either tokenizer's pattern, so a line of
+    them is encoded at once and cut by the number of the match; lines where that gives other words are encoded singly."""
+    found: dict[str, bytes] = {}
+    plain = [w for w in words if len(w) <= LONG_WORD and w.isalpha()]
+    lines = [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)]
+    whole = encoder.encode_batch([lead + " ".join(line) for line in lines], add_special_tokens=False) if lines else []
+    for line, e in zip(lines, whole):
+        cuts = np.flatnonzero(np.diff(np.array(e.word_ids))) + 1
+        if len(cuts) + 1 == len(line):
+            ids = array("H", e.ids).tobytes()
+            at = [0, *(2 * cuts).tolist(), len(ids)]
+            found.update(zip(line, (ids[a:b] for a, b in zip(at, at[1:]))))
+    rest = [w for w in words if w not in found]
+    found.update(zip(rest, _id_bytes(encoder.encode_batch_fast([lead + w for w in rest], add_special_tokens=False))))
+    return [found[w] for w in words]
+
+
+def without_stops(words: list) -> dict:
+    """Words of letters with full stops or commas behind them, which are a match of their own: word -> letters."""
+    stops = b".," if words and isinstance(words[0], bytes) else ".,"
+    cores = {w: w.rstrip(stops) for w in words}
+    letters = (lambda c: c.decode().isalpha()) if isinstance(stops, bytes) else str.isalpha
+    return {w: c for w, c in cores.items() if len(c) < len(w) and letters(c)}
+
+
 class ByteLevelEncoder:
     """Ids of texts under a byte-level vocabulary, as 16-bit arrays."""
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
         self.after_blank = Memo(lambda chunk: self._encode([" " + chunk])[0])
-        self.stops = Memo(lambda stops: self._encode([stops])[0], 1000)
+        self.stops = Memo(lambda stops: self._encode([stops])[0], 1 << 16)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return _id_bytes(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
 
     def _learn(self, chunks: list[str]) -> None:
-        """Puts the ids of a blank and each chunk into the memo, encoding together what is new.
-
-        Full stops and commas behind a run of letters are a match of their own.
-        """
-        cores = {c: c.rstrip(".,") for c in chunks}
-        cores = {c: core for c, core in cores.items() if len(core) < len(c) and core.isalpha()}
+        """Puts the ids of a blank and each chunk into the memo, encoding together what is new."""
+        cores = without_stops(chunks)
         new = self.after_blank.lacks([*cores.values(), *(c for c in chunks if c not in cores)])
-        ids = dict(zip(new, self._encode([" " + c for c in new])))
+        ids = dict(zip(new, encode_words(self.tokenizer, new, " ")))
         for c, core in cores.items():
             known = ids.get(core)
             self.after_blank.put(c, (self.after_blank[core] if known is None else known) + self.stops[c[len(core) :]])
@@ -76,7 +102,7 @@ class ByteLevelEncoder:
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         parts = [chunks(t) if t else [""] for t in texts]
-        self._learn(self.after_blank.lacks(c for p in parts if p for c in p[1:]))
+        self._learn(self.after_blank.lacks(set().union(*(p[1:] for p in parts if p))))
         heads = self._encode([t if p is None else p[0] for t, p in zip(texts, parts)])
         look = self.after_blank.__getitem__
         return [np.frombuffer(h + b"".join(map(look, p[1:] if p else ())), "<u2") for h, p in zip(heads, parts)]
@@ -88,15 +114,25 @@ class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
         self.words = Memo(lambda word: self._encode([word])[0])
+        self.stops = Memo(lambda stops: self._encode([stops])[0], 1 << 16)
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        return _id_bytes(self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False))
+        return encode_words(self.tokenizer, [w.decode() for w in words], "")
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Puts the ids of each word into the memo, encoding together what is new."""
+        cores = without_stops(words)
+        new = self.words.lacks([*cores.values(), *(w for w in words if w not in cores)])
+        ids = dict(zip(new, self._encode(new)))
+        for w, core in cores.items():
+            known = ids.get(core)
+            self.words.put(w, (self.words[core] if known is None else known) + self.stops[w[len(core) :]])
+        for w, found in ids.items():
+            self.words.put(w, found)
 
     def encode_many(self, texts: list[bytes]) -> list[np.ndarray]:
         parts = [t.lower().split() for t in texts]
-        new = self.words.lacks(w for p in parts for w in p)
-        for word, ids in zip(new, self._encode(new)):
-            self.words.put(word, ids)
+        self._learn(self.words.lacks(set().union(*parts)))
         return [np.frombuffer(b"".join(map(self.words.__getitem__, p)), "<u2") for p in parts]
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute
-from dockflow.llm import ann, bpe, components, langid, lm, minhash, packing, quality, suffix_dedup, token_files, url_filter
+from dockflow.llm import ann, bpe, common, components, langid, lm, minhash, packing, quality, suffix_dedup, token_files, url_filter
 from dockflow.llm.common import crc_fold, fold
 from dockflow.llm.oracle import STATEMENTS
 from dockflow.llm.queries import QUERIES
@@ -220,13 +220,47 @@ def test_bpe_of_odd_rows(odd, none):
     assert bpe.encode(none, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_pieces_merged_together_are_those_merged_alone():
+    codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    rng = np.random.default_rng(5)
+    pieces = [bytes(rng.choice(list(b"aabnt eros\xc3\xa9"), rng.integers(1, 40)).tolist()) for _ in range(400)] + [b"aa" * 300]
+    assert codec.merge(pieces) == [codec.merge([p])[0] for p in pieces] and codec.merge([]) == []
+    # Ranks that a merge can lead below its own are taken in the order of the ranks, too.
+    codec.ranks = {bytes([c]): 200 + c for c in range(256)} | {b"bc": 9, b"abc": 3, b"ab": 20, b"cb": 9}
+    for text in (b"abcbc", b"bcbcbc", b"abcabcab"):
+        parts = [text[i : i + 1] for i in range(len(text))]
+        while True:
+            joined = [(codec.ranks.get(a + b, 10**9), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
+            if not joined or min(joined)[0] == 10**9:
+                break
+            i = min(joined)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert codec.merge([text])[0] == [codec.ranks[p] for p in parts]
+
+
+def test_memo_is_bounded_in_bytes():
+    memo = common.Memo(lambda k: k * 2, limit=20_000)
+    for i in range(2000):
+        key = str(i) * (1000 if i % 97 == 0 else 1)
+        assert memo[key] == key * 2 and memo["0" * 1000] == "0" * 2000
+        held = sum(common.ENTRY + 3 * len(k) for k in (*memo, *memo.before))
+        assert held <= 2 * (20_000 + common.ENTRY + 3 * 4000)
+    other = common.Memo(lambda k: k)
+    other["x"], memo.lacks(["x"])
+    common.only(other)
+    assert not memo and not memo.before and list(other) == ["x"] and memo.lacks(["x", "x"]) == ["x"]
+
+
 def test_rank_queue_is_a_priority_queue():
     rng = np.random.default_rng(4)
     queue, want = bpe.RankQueue(50_000), []
     for rank, place in zip(rng.integers(0, 50_000, 2000).tolist(), rng.integers(0, 100, 2000).tolist()):
         queue.push(rank, place)
         want.append((rank, place))
-    assert [queue.pop() for _ in want] == sorted(want) and queue.pop() is None
+    buckets = defaultdict(list)
+    for rank, place in sorted(want):
+        buckets[rank].append(place)
+    assert [queue.pop() for _ in buckets] == sorted(buckets.items()) and queue.pop() is None
     assert not any(any(level) for level in queue.levels)
 
 
@@ -437,6 +471,23 @@ def test_token_files_of_odd_rows(spark, odd, none, library):
             assert np.frombuffer(r.ids, "<u4").tolist() == ids
 
 
+def test_no_frequent_pair_is_left(texts):
+    """On a block of real ids, and on runs of one id, whose pairs overlap."""
+    encoder = token_files.word_level(WORD_JSON)
+    real = np.concatenate(encoder.encode_many([(t or "").encode() for _, t in texts]))
+    for ids in (real, np.full(30_000, 7, np.uint16), np.tile(np.array([3, 3, 5], np.uint16), 9000)):
+        symbols, left, right, lengths = token_files.compress(ids)
+        pairs, counts = np.unique((symbols[:-1].astype(np.uint32) << 16) | symbols[1:], return_counts=True)
+        assert not len(counts) or counts.max() < token_files.LEAST
+        reader = token_files.BlockReader(*(p.tobytes() for p in (symbols, left, right, lengths)))
+        assert (reader.ids(0, len(ids)) == ids).all() and len(symbols) + 2 * len(left) < len(ids)
+
+
+def test_ids_must_leave_room_for_rules(spark, docs):
+    with pytest.raises(ValueError, match="stand for rules"):
+        token_files.write(docs, BYTE_JSON, scratch_dir(spark))
+
+
 def test_any_run_of_a_block_can_be_read():
     rng = np.random.default_rng(8)
     ids = np.concatenate([np.tile(rng.integers(0, 300, 40), 200), np.full(3001, 7), rng.integers(0, 49_408, 999)]).astype(np.uint16)
