@@ -83,8 +83,8 @@ class Codec:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.queue = RankQueue(max(self.ranks.values()) + 1)
-        self.pieces = Memo(lambda piece: self._ids([piece])[0])
-        self.after_blank = Memo(lambda chunk: self._matches(" " + chunk))
+        self.pieces = Memo(lambda piece: self._ids([piece])[0], 90 << 20)
+        self.after_blank = Memo(lambda chunk: self._matches(" " + chunk), 60 << 20)
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each pre-token; all are merged by one queue."""

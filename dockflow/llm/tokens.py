@@ -15,6 +15,8 @@ import numpy as np
 
 from dockflow.llm.common import Memo
 
+#: Bytes of one generation of words.
+MEMO = 90 << 20
 _SPACE_BEFORE_BLANK = re.compile(r"\s ")
 _ASCII_SPACE_BEFORE_BLANK = tuple(f"{c} " for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 
@@ -83,7 +85,7 @@ class ByteLevelEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.after_blank = Memo(lambda chunk: self._encode([" " + chunk])[0])
+        self.after_blank = Memo(lambda chunk: self._encode([" " + chunk])[0], MEMO)
         self.stops = Memo(lambda stops: self._encode([stops])[0], 1 << 16)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -113,7 +115,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.words = Memo(lambda word: self._encode([word])[0])
+        self.words = Memo(lambda word: self._encode([word])[0], MEMO)
         self.stops = Memo(lambda stops: self._encode([stops])[0], 1 << 16)
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
