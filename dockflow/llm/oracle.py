@@ -81,27 +81,9 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 FROM least LEFT JOIN sizes USING (doc_id)
 """
 
-
-def _step(d: int) -> str:
-    """One level of the template tree: node counts of level d, then the template grown by its segment."""
-    return f"""
-node{d} AS (
-  SELECT host, template, sum(n) AS total, count(*) AS kinds
-  FROM (SELECT host, template, segments[{d + 1}] AS segment, sum(n) AS n FROM level{d}
-        WHERE len(segments) > {d} GROUP BY 1, 2, 3) GROUP BY 1, 2
-), level{d + 1} AS (
-  SELECT l.host, l.path, l.n, l.good, l.bad, l.segments,
-         l.template || CASE WHEN len(segments) > {d} THEN '/' || CASE
-           WHEN regexp_matches(segments[{d + 1}], '[0-9]') OR (total >= 8 AND kinds > 0.5 * total)
-           THEN '*' || regexp_extract(segments[{d + 1}], '[.][a-z]+$') ELSE segments[{d + 1}] END ELSE '' END AS template
-  FROM level{d} l LEFT JOIN node{d} USING (host, template)
-),"""
-
-
 # The template tree level by level, then merging, smoothing and the rules.
-STATEMENTS["op2_url_filters"] = (
-    r"""
-WITH cut AS (
+STATEMENTS["op2_url_filters"] = r"""
+WITH RECURSIVE cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), parsed AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
@@ -117,43 +99,51 @@ WITH cut AS (
   FROM parsed
 ), said AS (
   SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS says FROM ruled
-), level0 AS (
-  SELECT host, path, count(*) AS n, count(*) FILTER (says = 'allow') AS good, count(*) FILTER (says = 'block') AS bad,
-         string_split(ltrim(path, '/'), '/') AS segments, '' AS template
+), level AS (
+  SELECT 0 AS depth, host, path, count(*) AS n, count(*) FILTER (says = 'allow') AS good,
+         count(*) FILTER (says = 'block') AS bad, string_split(ltrim(path, '/'), '/') AS segments, '' AS template
   FROM said GROUP BY host, path
-),"""
-    + "".join(map(_step, range(4)))
-    + """
-placed AS (
-  SELECT host, path, good, bad, template || CASE WHEN len(segments) > 4 THEN '/**' ELSE '' END AS template FROM level4
-), branch AS (
-  SELECT host, template, '/*' || regexp_replace(template, '^/[^/]*', '') AS shape, sum(good) AS good, sum(bad) AS bad
-  FROM placed GROUP BY 1, 2, 3
+  UNION ALL
+  SELECT depth + 1, host, path, n, good, bad, segments, template || '/' || CASE
+    WHEN regexp_matches(segments[depth + 1], '[0-9]') OR (total >= 8 AND kinds > 0.5 * total)
+    THEN '*' || regexp_extract(segments[depth + 1], '[.][a-z]+$') ELSE segments[depth + 1] END
+  FROM (
+    SELECT *, sum(n) OVER node AS total, count(DISTINCT segments[depth + 1]) OVER node AS kinds
+    FROM level WHERE len(segments) > depth WINDOW node AS (PARTITION BY host, template)
+  )
+), placed AS (
+  SELECT host, path, good, bad, template FROM level WHERE len(segments) = depth
+), merging AS (
+  SELECT max(len(template) - len(replace(template, '/', ''))) OVER () AS d, host, template, sum(good) AS good,
+         sum(bad) AS bad, string_split(substr(template, 2), '/') AS m
+  FROM placed GROUP BY host, template
+  UNION ALL
+  SELECT d - 1, host, template, good, bad, CASE
+    WHEN len(m) >= d AND coalesce(abs(b / nullif(one, 0) - (b_all - b) / nullif(others, 0))
+           <= 1.96 * sqrt(pooled * (1 - pooled) * (1.0 / nullif(one, 0) + 1.0 / nullif(others, 0))), false)
+    THEN m[:d - 1] || ['?'] || m[d + 1:] ELSE m END
+  FROM (
+    SELECT *, g + b AS one, g_all + b_all - g - b AS others, b_all / nullif(g_all + b_all, 0) AS pooled FROM (
+      SELECT *, sum(good) OVER own AS g, sum(bad) OVER own AS b, sum(good) OVER kin AS g_all, sum(bad) OVER kin AS b_all
+      FROM merging WHERE d > 0
+      WINDOW own AS (PARTITION BY host, m), kin AS (PARTITION BY host, len(m) >= d, m[:d - 1], m[d + 1:])
+    )
+  )
 ), counted AS (
-  SELECT *, sum(good) OVER (PARTITION BY host, shape) AS good_all, sum(bad) OVER (PARTITION BY host, shape) AS bad_all,
-         sum(good) OVER (PARTITION BY host) AS good_host, sum(bad) OVER (PARTITION BY host) AS bad_host,
-         sum(good) OVER () AS good_total, sum(bad) OVER () AS bad_total
-  FROM branch
-), tested AS (
-  SELECT *, good + bad AS one, good_all + bad_all - good - bad AS others,
-         bad_all / nullif(good_all + bad_all, 0) AS pooled
-  FROM counted
-), merged AS (
-  SELECT *, coalesce(abs(bad / nullif(one, 0) - (bad_all - bad) / nullif(others, 0))
-                     <= 1.96 * sqrt(pooled * (1 - pooled) * (1.0 / nullif(one, 0) + 1.0 / nullif(others, 0))), false) AS alike
-  FROM tested
+  SELECT host, template, '/' || array_to_string(m, '/') AS merged, sum(good) OVER (PARTITION BY host, m) AS good,
+         sum(bad) OVER (PARTITION BY host, m) AS bad, sum(good) OVER (PARTITION BY host) AS good_host,
+         sum(bad) OVER (PARTITION BY host) AS bad_host, sum(good) OVER () AS good_total, sum(bad) OVER () AS bad_total
+  FROM merging WHERE d = 0
 ), scored AS (
-  SELECT host, template,
-         ((CASE WHEN alike THEN bad_all ELSE bad END)
-          + 4.0 * ((bad_host + 4.0 * ((bad_total + 1.0) / (good_total + bad_total + 2.0))) / (good_host + bad_host + 4.0)))
-         / ((CASE WHEN alike THEN good_all + bad_all ELSE good + bad END) + 4.0) AS purity
-  FROM merged
+  SELECT host, template, merged,
+         (bad + 4.0 * ((bad_host + 4.0 * ((bad_total + 1.0) / (good_total + bad_total + 2.0))) / (good_host + bad_host + 4.0)))
+         / (good + bad + 4.0) AS purity
+  FROM counted
 )
 SELECT page_id, host, path, rule, coalesce(says, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, template,
-       round(purity, 9) AS purity
+       merged, round(purity, 9) AS purity
 FROM said JOIN placed USING (host, path) JOIN scored USING (host, template)
 """
-)
 
 
 def _quoted(words: list[str]) -> str:

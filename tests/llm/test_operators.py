@@ -6,7 +6,9 @@ import base64
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -148,6 +150,36 @@ def test_names_deep_in_a_path_become_wildcards(spark):
     assert {r.template for r in got} == {"/a/b/c/d/e/*/end.html"}
 
 
+def test_alike_branches_merge_at_every_node_as_in_sql(spark):
+    """Six segments and more below one host: sections and days merge where their shares agree, leaves first."""
+    word = lambda n: "".join(chr(97 + n // 26**i % 26) for i in range(3))
+    urls = []
+    for host in ("www.shop.org", "shop.com", "h.net"):
+        for lang in ("es", "fr", "de", "en"):
+            for section in ("ads", "blog", "news"):
+                for part in ("a", "b", "c"):
+                    for n in range(6):
+                        urls.append(f"http://{host}/{lang}/x/{section}/y/{part}/{word(n * n)}/z/q{n % 2}.html")
+    urls += [f"http://a.example.org/en/{n}/s/t/u/v{'/w' * (n % 4)}" for n in range(40)] + [None, "none", "http://shop.com"]
+    urls += ["http://shop.com/de/x/y/z/bad/p1", "http://shop.com" + "/a" * 40] + urls[:5]
+    urls += [f"http://m.com/{'de' if n % 3 else 'fr'}/{s}/k/{word(n)}" for n in range(30) for s in ("u", "v")]
+    rows = [(i, u) for i, u in enumerate(urls)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).toPandas()
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url"]))
+    want = con.execute(STATEMENTS["op2_url_filters"]).df()
+    key = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).where(df.notna(), None).values.tolist()))
+    assert key(got) == key(want)
+    assert got.merged.str.count(r"\?").max() >= 3
+
+
+def test_a_chain_without_branches_is_one_step(spark):
+    urls = [f"http://deep.test{'/a' * 60}/{end}/{n}" for end in ("x", "y") for n in range(20)] + [f"http://deep.test{'/a' * 60}"]
+    rows = list(enumerate(urls))
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert {r.template for r in got} == {"/a" * 60, "/a" * 60 + "/x/*", "/a" * 60 + "/y/*"}
+
+
 def test_no_urls(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
