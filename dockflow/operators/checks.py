@@ -123,6 +123,35 @@ def maintenance_by_month_of_moves(moves: DataFrame) -> DataFrame:
     return counted.agg(F.sum("maintenance_removal").alias("n_removals")).filter("n_removals > 0")
 
 
+def disturbed(flows: DataFrame, later: Column, count: str) -> DataFrame:
+    """Flows with one of their counts raised in all later rows, by one to twenty-four with the hour of the day."""
+    raised = F.when(later, F.col(count) + F.hour("hour_ts") + 1).otherwise(F.col(count))
+    return flows.withColumn(count, raised).withColumn("net_flow", F.col("arr") - F.col("dep"))
+
+
+def value_leakage(
+    flows: DataFrame, build: Callable[[DataFrame], DataFrame], later: Column, keys: tuple[str, ...] = ("station_id", "hour_ts")
+) -> DataFrame:
+    """Which columns of earlier rows depend on later ones, found by value: (column_name, n_rows, n_moved, status).
+
+    ``build`` is run on the flows and on two disturbed copies, one with more arrivals and one with more departures after
+    the split, so that a dependence on later highs and one on later lows both show. A row counts once for a column that
+    any copy moves; NULL and a value differ. A name audit cannot see this: a feature may be declared and still look ahead.
+    """
+    earlier = build(flows).filter(~later)
+    names = [c for c in earlier.columns if c not in keys]
+    rows = earlier
+    for number, count in enumerate(("arr", "dep")):
+        copy = build(disturbed(flows, later, count)).filter(~later)
+        rows = rows.join(copy.select(*keys, F.struct(*names).alias(f"copy_{number}")), list(keys), "left")
+    moved = lambda c: ~F.col(c).eqNullSafe(F.col(f"copy_0.{c}")) | ~F.col(c).eqNullSafe(F.col(f"copy_1.{c}"))
+    counts = rows.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(moved(c)).alias(c) for c in names])
+    entry = lambda c: F.struct(F.lit(c).alias("column_name"), "n_rows", F.col(c).alias("n_moved"))
+    return counts.select(F.inline(F.array(*[entry(c) for c in names]))).withColumn(
+        "status", F.when(F.col("n_moved") > 0, "LOOKS AHEAD").otherwise("OK")
+    )
+
+
 def leakage_audit(features: DataFrame, contract: Contract) -> DataFrame:
     """Every column that is no key or label must be a declared feature, and every declared feature must be there.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockflow.contract import LabelRules
@@ -56,13 +56,21 @@ def running_ledger(flows: DataFrame) -> DataFrame:
     return flows.withColumn("delta", delta).withColumn("cum_delta", F.sum("delta").over(w))
 
 
-def occupancy(ledger: DataFrame) -> DataFrame:
+def occupancy(ledger: DataFrame, known: Column | None = None) -> DataFrame:
     """Start each station at the least stock that never goes negative.
 
     The minimum runs over the whole history, so the level of every hour depends on later ones. Known and kept: the
     series is a lower bound by definition.
+
+    With ``known``, a condition on the hours, the level is fixed by those hours alone, so that no later row moves an
+    earlier one. Later hours may then go below zero, which says that the level was too low, and are left as they are:
+    the balance stays exact. A station without such hours starts at zero.
     """
-    low = F.min("cum_delta").over(Window.partitionBy("station_id"))
+    station = Window.partitionBy("station_id")
+    if known is None:
+        low = F.min("cum_delta").over(station)
+    else:
+        low = F.coalesce(F.min(F.when(known, F.col("cum_delta"))).over(station), F.lit(0))
     return ledger.withColumn("o_initial", -low).withColumn("occupancy", F.col("o_initial") + F.col("cum_delta"))
 
 
@@ -100,6 +108,9 @@ def label_columns(with_cap: DataFrame) -> DataFrame:
     )
 
 
-def labels_from_flows(flows: DataFrame, rules: LabelRules) -> DataFrame:
-    """Ledger, occupancy, capacity and labels: every window is per station, so flows are shuffled once."""
-    return label_columns(with_capacity(occupancy(running_ledger(flows)), rules))
+def labels_from_flows(flows: DataFrame, rules: LabelRules, known: Column | None = None) -> DataFrame:
+    """Ledger, occupancy, capacity and labels: every window is per station, so flows are shuffled once.
+
+    ``known`` fixes the level, see ``occupancy``.
+    """
+    return label_columns(with_capacity(occupancy(running_ledger(flows), known), rules))

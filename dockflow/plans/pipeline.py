@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockflow.contract import Contract, ContractError, default_contract, load_contract
+from dockflow.functions.time import literal_like
 from dockflow.operators import assembly, checks, conform, features, grid, ledger, models, trajectories
 from dockflow.plans import training
 from dockflow.plans.labels import dense_flows, moves_per_station_hour
@@ -115,8 +116,18 @@ def features_phase(spark: SparkSession, zones: Zones, contract: Contract, catalo
     hours = spark.read.parquet(f"{zones.parsed}/weather")
     point = hours.filter(F.col("point_name") == contract.weather_point)
     checks.require_rows(point, f"weather at grid point {contract.weather_point!r}")
-    table = features.build_features(spark.read.parquet(f"{zones.clean}/station_hour_labels"), hours, contract)
+    labels = spark.read.parquet(f"{zones.clean}/station_hour_labels")
+    table = features.build_features(labels, hours, contract)
     checks.require_declared(table, contract)
+    later = F.col("hour_ts") > literal_like(labels, "hour_ts", contract.split["train_end"])
+    write_json(
+        checks.value_leakage(
+            labels.select("station_id", "hour_ts", *ledger.COUNTS, "net_flow"),
+            lambda flows: features.build_features(ledger.labels_from_flows(flows, contract.labels), hours, contract),
+            later,
+        ),
+        f"{zones.checks}/value_leakage",
+    )
     save_partitioned(
         table, f"{zones.clean}/station_hour_features", LABEL_PARTS, catalog, "station_hour_features"
     )

@@ -339,6 +339,11 @@ FINAL["occupancy"] = "SELECT station_id, hour_ts, o_initial, occupancy FROM c_oc
 FINAL["ledger_solve_stats"] = """
 SELECT count(*) AS n_stations, round(avg(-low), 6) AS mean_initial, max(high - low) AS max_swing
 FROM (SELECT min(cum_delta) AS low, max(cum_delta) AS high FROM c_ledger GROUP BY station_id)"""
+CTE["c_occupied_fixed"] = """
+SELECT *, -low AS o_initial, cum_delta - low AS occupancy FROM (
+  SELECT *, coalesce(min(cum_delta) FILTER (WHERE hour_ts <= TIMESTAMP '2024-01-18 00:00:00')
+                     OVER (PARTITION BY station_id), 0) AS low FROM c_ledger)"""
+FINAL["occupancy_fixed_level"] = "SELECT station_id, hour_ts, o_initial, occupancy FROM c_occupied_fixed"
 FINAL["rolling_capacity"] = "SELECT station_id, hour_ts, capacity FROM c_capacity"
 FINAL["station_hour_labels"] = "SELECT * FROM c_labels"
 
@@ -364,6 +369,44 @@ SELECT *, lag(occupancy, 1) OVER w AS occupancy_lag_1h, lag(net_flow, 1) OVER w
            RANGE BETWEEN INTERVAL 168 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING) AS net_flow_rolling_7d_mean
 FROM c_labels WINDOW w AS (PARTITION BY station_id ORDER BY hour_ts)"""
 
+# The chain from flows to lags once more, for flows that are disturbed after the train period and for a fixed level.
+CHAIN = ("c_ledger", "c_occupied", "c_capacity", "c_labels", "c_lags")
+for _count in ("arr", "dep"):
+    CTE[f"c_flows_{_count}"] = f"""
+SELECT * REPLACE ({_count} + more AS {_count}, net_flow + {"more" if _count == "arr" else "-more"} AS net_flow) FROM (
+  SELECT *, CASE WHEN hour_ts > TIMESTAMP '2024-01-18 00:00:00' THEN hour(hour_ts) + 1 ELSE 0 END AS more FROM c_flows)"""
+
+
+def _chain(count: str, fixed: str) -> str:
+    """The lags table of disturbed flows (`arr`, `dep`) or of the plain ones (``), with a free or a `fixed` level."""
+    tail = "_".join(t for t in ("", count, fixed) if t) if count or fixed else ""
+    for name in CHAIN:
+        text = CTE["c_occupied_fixed" if fixed and name == "c_occupied" else name]
+        for used in ("c_flows", *CHAIN):
+            suffix = f"_{count}" if used == "c_flows" and count else "" if used == "c_flows" else f"_of{tail}"
+            text = re.sub(rf"\b{used}\b", f"{used}{suffix}", text)
+        CTE[f"{name}_of{tail}"] = text
+    return f"c_lags_of{tail}"
+
+
+def _looks_ahead(fixed: str) -> str:
+    plain, more, less = (_chain(count, fixed) for count in ("", "arr", "dep"))
+    names = (
+        "arr dep reb_in reb_out net_flow occupancy capacity pct_full is_empty is_full part_year part_month "
+        "occupancy_lag_1h net_flow_lag_1h net_flow_same_hour_last_week net_flow_rolling_7d_mean"
+    ).split()
+    each = "\nUNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS n_rows, CAST(count(*) FILTER (WHERE p.{c} IS DISTINCT FROM m.{c} OR "
+        f"p.{c} IS DISTINCT FROM l.{c}) AS BIGINT) AS n_moved FROM {plain} p JOIN {more} m USING (station_id, hour_ts) "
+        f"JOIN {less} l USING (station_id, hour_ts) WHERE hour_ts <= TIMESTAMP '2024-01-18 00:00:00'"
+        for c in names
+    )
+    return f"SELECT *, CASE WHEN n_moved > 0 THEN 'LOOKS AHEAD' ELSE 'OK' END AS status FROM ({each})"
+
+
+FINAL["value_leakage"] = _looks_ahead("")
+FINAL["value_leakage_fixed_level"] = _looks_ahead("fixed")
+
 # Holidays from the weekday rules, by year.
 CTE["c_years"] = """
 SELECT CAST(unnest(generate_series(1990, 2040)) AS INT) AS y"""
@@ -683,7 +726,8 @@ FINAL["fetch_plan"] = "SELECT * FROM c_plan"
 FINAL["fetch_missing"] = """
 SELECT * FROM c_plan p WHERE NOT EXISTS (
   SELECT 1 FROM events e WHERE e.event_type = p.point_name AND CAST(e.ts AS DATE) BETWEEN p.chunk_start AND p.chunk_end)"""
-FINAL["sink_roundtrip"] = FINAL["station_hour_labels"]
+FINAL["sink_roundtrip"] = FINAL["sink_catalog"] = FINAL["sink_published"] = FINAL["station_hour_labels"]
+FINAL["sink_plain"] = FINAL["stations_clean"]
 
 FINAL["feature_vector_sum"] = (
     "SELECT station_id, hour_ts, round(" + " + ".join(f"coalesce({c}, 0)" for c in FEATURES) + ", 6) AS vector_sum, "

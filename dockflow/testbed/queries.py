@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockflow.functions.single import attach
-from dockflow.functions.time import hour_floor, local_to_utc
+from dockflow.functions.time import hour_floor, literal_like, local_to_utc
 from dockflow.operators import (
     assembly,
     attribution,
@@ -319,6 +319,17 @@ def occupancy(spark, sf):
     )
 
 
+def in_train(df: DataFrame):
+    return F.col("hour_ts") <= literal_like(df, "hour_ts", CONTRACT.split["train_end"])
+
+
+@query
+def occupancy_fixed_level(spark, sf):
+    """Occupancy whose level the train period alone decides."""
+    running = ledger.running_ledger(flows(spark, sf))
+    return ledger.occupancy(running, in_train(running)).select("station_id", "hour_ts", "o_initial", "occupancy")
+
+
 @query
 def ledger_solve_stats(spark, sf):
     stats = ledger.solve_stats(ledger.running_ledger(flows(spark, sf)))
@@ -533,6 +544,26 @@ def leakage_audit_faults(spark, sf):
     return checks.leakage_audit(table, CONTRACT)
 
 
+def looks_ahead(spark, sf, fixed: bool):
+    panel = staged(flows(spark, sf))
+    known = in_train(panel)
+    return checks.value_leakage(
+        panel, lambda f: features.with_lags(ledger.labels_from_flows(f, RULES, known if fixed else None)), ~known
+    )
+
+
+@query
+def value_leakage(spark, sf):
+    """Columns of train rows that move when later flows are disturbed."""
+    return looks_ahead(spark, sf, fixed=False)
+
+
+@query
+def value_leakage_fixed_level(spark, sf):
+    """The same with the level fixed by the train period."""
+    return looks_ahead(spark, sf, fixed=True)
+
+
 # ---- metrics -------------------------------------------------------------------------------------------------------
 
 
@@ -689,6 +720,39 @@ def sink_roundtrip(spark, sf):
     return spark.read.parquet(path)
 
 
+@query
+def sink_plain(spark, sf):
+    """Clean stations written as a plain table and read back."""
+    path = scratch_dir(spark)
+    tables.write_table(stations_clean(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+@query
+def sink_catalog(spark, sf):
+    """Labels registered by month and read through the catalog."""
+    path = scratch_dir(spark)
+    name = f"labels_{path[-32:]}"
+    tables.register_partitioned(labels(spark, sf), name, path, ["part_year", "part_month"])
+    return spark.table(name)
+
+
+@query
+def sink_published(spark, sf):
+    """Labels published twice, then a write that stops half way and one whose manifest is torn: readers see the second."""
+    root = scratch_dir(spark)
+    name = f"published_{root[-32:]}"
+    by = ["part_year", "part_month"]
+    panel = staged(labels(spark, sf))
+    tables.publish(panel.filter(F.col("net_flow") == 0), root, by)
+    tables.register_published(spark, name, root)
+    tables.publish(panel, root, by)
+    tables.write_version(panel.filter(F.col("net_flow") > 0), root, by)
+    tables.write_manifest(spark, root, tables.latest(spark, root)[0] + 1, "")
+    tables.register_published(spark, name, root)
+    return spark.table(name)
+
+
 # ---- models --------------------------------------------------------------------------------------------------------
 
 # Parameters of these queries, not limits of the operators: small trees, as the test panel covers thirty days. The
