@@ -59,7 +59,8 @@ def _hadoop(spark: SparkSession, path: str):
 def write_version(df: DataFrame, root: str, by: list[str]) -> str:
     """The rows in a version folder of their own, which no reader sees yet; its name."""
     name = f"version-{uuid.uuid4().hex}"
-    df.hint("rebalance", *by).write.partitionBy(*by).parquet(f"{root}/{name}")
+    rows = df.hint("rebalance", *by).write
+    (rows.partitionBy(*by) if by else rows).parquet(f"{root}/{name}")
     return name
 
 
@@ -103,6 +104,11 @@ def latest(spark: SparkSession, root: str) -> tuple[int, dict | None]:
     return (numbers[0] if numbers else 0), next(found, None)
 
 
+def whole_numbers(spark: SparkSession, root: str) -> list[int]:
+    """The numbers of all whole manifests."""
+    return [n for n in _numbers(spark, root) if _manifest(spark, root, n) is not None]
+
+
 def publish(df: DataFrame, root: str, by: list[str]) -> int:
     """Write a version, then switch readers to it by one manifest; its number."""
     spark = df.sparkSession

@@ -345,7 +345,7 @@ SELECT *, -low AS o_initial, cum_delta - low AS occupancy FROM (
                      OVER (PARTITION BY station_id), 0) AS low FROM c_ledger)"""
 FINAL["occupancy_fixed_level"] = "SELECT station_id, hour_ts, o_initial, occupancy FROM c_occupied_fixed"
 FINAL["rolling_capacity"] = "SELECT station_id, hour_ts, capacity FROM c_capacity"
-FINAL["station_hour_labels"] = "SELECT * FROM c_labels"
+FINAL["station_hour_labels"] = FINAL["labels_in_runs"] = "SELECT * FROM c_labels"
 
 # ---- weather and features ------------------------------------------------------------------------------------------
 

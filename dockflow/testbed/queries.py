@@ -24,6 +24,7 @@ from dockflow.operators import (
     models,
     trajectories,
 )
+from dockflow.plans import increments
 from dockflow.plans import labels as label_plan
 from dockflow.session import scratch_dir, staged
 from dockflow.sinks import tables
@@ -351,6 +352,15 @@ def station_hour_labels(spark, sf):
     return labels(spark, sf)
 
 
+@query
+def labels_in_runs(spark, sf):
+    """Labels of three runs: to the end of train, to the end of validation, and the rest. The second run is repeated."""
+    root, panel = scratch_dir(spark), staged(assembly.with_split(flows(spark, sf), CONTRACT))
+    for splits in (["train"], ["val"], ["val"], ["test", assembly.AFTER]):
+        increments.add_hours(panel.filter(F.col("split").isin(splits)).drop("split"), root, RULES)
+    return increments.read_labels(spark, root)
+
+
 # ---- weather and features ------------------------------------------------------------------------------------------
 
 
