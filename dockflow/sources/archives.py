@@ -28,7 +28,7 @@ def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .load(path)
-        .select(F.col("path"), F.col("length"))
+        .select(F.col("path"), F.col("length"), F.col("_metadata.file_path").alias("file_path"))
     )
     if files.isEmpty():
         raise ContractError(f"no {pattern} below {path}")
@@ -136,27 +136,33 @@ def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path in batch["path"]:
             with open_path(path) as raw:
                 lines.append(io.TextIOWrapper(raw, encoding="utf-8-sig").readline().rstrip("\r\n"))
-        yield pd.DataFrame({"path": batch["path"], "header": lines})
+        yield pd.DataFrame({"file_path": batch["file_path"], "header": lines})
 
 
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     """Every CSV below ``path`` as text columns, each file under its own header.
 
-    Files are grouped by header before they are read: one read over files whose headers differ would give all of them
-    the first file's. A column some files lack is NULL for their rows.
+    All files are read once, as lines, and meet the header of their file by a join: one row a file, broadcast only as
+    Spark's own threshold allows. The driver sees distinct headers, never one a file. A line is a record, as in
+    ``read_zip_csv``; lines equal to their file's header and empty lines are no records. A column some files lack is NULL
+    for their rows, as are empty cells; of two equal names in a header the last counts. Names that differ in case only are
+    one column, as Spark resolves them.
     """
-    files = list_files(spark, path, "*.csv").filter("length > 0").select("path")
-    headers = files.repartition(max(files.count(), 1), "path").mapInPandas(_headers, "path string, header string")
-    # The listing only, which Spark's own file index holds on the driver too.
-    by_header: dict[str, list[str]] = {}
-    for row in headers.collect():
-        by_header.setdefault(row["header"], []).append(row["path"])
-    if not by_header:
+    listed = list_files(spark, path, "*.csv").filter("length > 0")
+    headers = listed.repartition(max(listed.count(), 1), "path").mapInPandas(_headers, "file_path string, header string")
+    headers = staged(headers.withColumn("names", split_record(F.col("header"))))
+    distinct = [r["names"] for r in headers.select("names").distinct().sort("names").collect()]
+    if not distinct:
         raise ContractError(f"only empty files below {path}")
-    merged = None
-    for header in sorted(by_header):
-        names = next(csv.reader([header]))
-        schema = ", ".join(f"`{n}` string" for n in names)
-        part = spark.read.schema(schema).options(header="true", multiLine="false").csv(sorted(by_header[header]))
-        merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
-    return merged
+    lines = (
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(path)
+        .select("_metadata.file_path", F.ltrim(F.col("value"), F.lit("\ufeff")).alias("line"))
+    )
+    rows = lines.join(headers, "file_path").filter("line <> '' AND line <> header")
+    cells = rows.select("names", split_record(F.col("line")).alias("cells"))
+    last = lambda n: F.size("names") - F.array_position(F.reverse("names"), n).cast("int")
+    cell = lambda n: F.when(F.array_contains("names", n), F.nullif(F.get("cells", last(n)), F.lit("")))
+    spellings: dict[str, dict[str, None]] = {}
+    for name in (n for names in distinct for n in names):
+        spellings.setdefault(name.lower(), {})[name] = None
+    return cells.select(*[F.coalesce(*map(cell, same)).alias(next(iter(same))) for same in spellings.values()])

@@ -48,6 +48,21 @@ def test_no_archives_is_an_error(spark, tmp_path):
         archives.read_zip_csv(spark, str(tmp_path))
 
 
+def test_a_thousand_csv_files_meet_their_headers_in_one_read(spark, tmp_path):
+    """Odd names of files, byte order marks, quotes and repeated header lines included."""
+    for n in range(1000):
+        head, line = (("trip id,note", f'{n},"a, {n}"') if n % 3 else ("note,bike,trip id", f",b{n},{n}"))
+        mark = "\ufeff" if n % 2 else ""
+        ending = "\r\n" if n % 5 else "\n"
+        (tmp_path / f"part {n} %41é.csv").write_text(ending.join([mark + head, line, "", head, ""]), "utf-8", newline="")
+    (tmp_path / "empty.csv").write_text("")
+    df = archives.read_csv_text(spark, str(tmp_path))
+    got = {r["trip id"]: (r["note"], r["bike"]) for r in df.collect()}
+    assert df.count() == 1000 and sorted(df.columns) == ["bike", "note", "trip id"]
+    assert got == {str(n): ((f"a, {n}", None) if n % 3 else (None, f"b{n}")) for n in range(1000)}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("] text") == 1
+
+
 def test_csv_files_keep_their_own_headers(spark, tmp_path):
     (tmp_path / "q1").mkdir()
     (tmp_path / "q1" / "a.csv").write_text("Trip ID,Bike Type,Note\n1,electric,x\n")
