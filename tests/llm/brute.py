@@ -123,3 +123,25 @@ def collocations(rows: list[tuple], least: int, report: int, longest: int = 5) -
         for rank, (score, a, p, left, right) in enumerate(sorted(scored)[:report], 1):
             out.append((lang, rank, p.decode(), -a, left, right, n, -score))
     return sorted(out)
+
+
+def attention_score(p: dict, classes: list[int], shape) -> float:
+    """log10 probability of a sequence of classes: each class after those of its window before it, by itself.
+
+    The window of place i begins where the half before that of i begins; before the text stands START.
+    """
+    total = 0.0
+    for i, target in enumerate(classes):
+        first = (i // shape.HALF) * shape.HALF - shape.HALF - 1
+        seen = [classes[j] if j >= 0 else shape.START for j in range(first, i)]
+        h = [p["embed"][c] + p["place"][at] for at, c in enumerate(seen)]
+        q = h[-1] @ p["q"]
+        weights = [math.exp(q @ (x @ p["k"]) / math.sqrt(shape.WIDTH)) for x in h]
+        mixed = sum(w * (x @ p["v"]) for w, x in zip(weights, h)) / sum(weights)
+        r = h[-1] + mixed @ p["o"]
+        z = r + [max(v, 0.0) for v in r @ p["w1"] + p["b1"]] @ p["w2"]
+        high, low = divmod(target, shape.BRANCH)
+        top = z @ p["top"] + p["top_bias"]
+        inner = z @ p["low"][high] + p["low_bias"][high]
+        total += top[high] - math.log(sum(map(math.exp, top))) + inner[low] - math.log(sum(map(math.exp, inner)))
+    return total / math.log(10)

@@ -12,6 +12,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -376,7 +377,7 @@ def test_every_window_is_trained_on(docs, texts, monkeypatch):
         assert (np.concatenate(found) == lm.windows(ids)).all()
     seen = []
     monkeypatch.setattr(lm, "ROUNDS", 0)
-    monkeypatch.setattr(lm, "_train", lambda model, gathered, unknown: seen.append(gathered.where("kind = 2").agg(F.sum("n")).first()[0]))
+    monkeypatch.setattr(lm, "_train", lambda model, texts, share: seen.append(texts.agg(F.sum("windows")).first()[0] / share))
     lm.score(docs, fold("doc_id", 10) == 0, BYTE_JSON)
     assert seen == [sum(-(-len(own.split((t or "").encode())[1]) // lm.HALF) for i, t in texts if crc_fold(i, 10) != 0)]
 
@@ -394,7 +395,7 @@ def test_gradient_is_the_slope():
     rows = lm.windows(rng.integers(0, lm.CLASSES, 50)).astype(np.int32)
 
     def loss():
-        y, _ = lm.forward(p, rows[:, :-1].clip(0))
+        y = lm.forward(p, rows[:, :-1].clip(0))
         t = rows[:, lm.HALF + 1 :].ravel()
         return -y[np.flatnonzero(t >= 0), t[t >= 0]].mean()
 
@@ -410,6 +411,39 @@ def test_gradient_is_the_slope():
         assert g[name][at] == pytest.approx((up - down) / (2 * step), rel=0.02, abs=2e-5)
 
 
+def test_scores_are_those_of_attention_token_by_token():
+    """Every id by itself, from the definition, in double precision."""
+    rng = np.random.default_rng(8)
+    model = lm.Model(rng.integers(0, 50, 2000), rng.random(2000) < 0.5)
+    model.flat = (model.flat + rng.normal(0, 0.2, len(model.flat))).astype(np.float32)
+    texts = [rng.integers(0, 2000, n) for n in (1, 15, 16, 17, 40, 333)]
+    weights = {n: v.astype(np.float64) for n, v in lm.unpack(model.flat).items()}
+    want = [brute.attention_score(weights, model.classes[t].tolist(), lm) + model.share[t].sum() / np.log(10) for t in texts]
+    assert model.scores(texts) == pytest.approx(want, rel=1e-4)
+
+
+def test_class_probabilities_sum_to_one():
+    rng = np.random.default_rng(9)
+    p = lm.unpack(lm.initial(rng.integers(0, 1000, lm.CLASSES).astype(float)))
+    rows = lm.windows(rng.integers(0, lm.CLASSES, 70))
+    y = lm.forward(p, rows[:, :-1].clip(0))
+    assert np.exp(y).sum(1) == pytest.approx(np.ones(len(y)), rel=1e-4)
+    target = rows[:, lm.HALF + 1 :].ravel().clip(0)
+    assert lm.target_scores(p, rows[:, :-1].clip(0), target) == pytest.approx(y[np.arange(len(y)), target], rel=1e-4)
+    steep = np.array([[300.0, 1.0, -300.0], [-400.0, -401.0, -402.0]], np.float32)
+    assert lm.exponents(steep)[2] == pytest.approx([300.0, -400 + np.log(1 + np.exp(-1) + np.exp(-2))], rel=1e-4)
+
+
+def test_subwords_are_those_of_the_library(texts):
+    own = lm.subwords(BYTE_JSON)
+    for _, text in texts[:60]:
+        words = (text or "").encode().lower().split()
+        alone = [i for w in words for i in own.tokenizer.encode(" " + w.decode(), add_special_tokens=False).ids]
+        hashes, ids = own.split((text or "").encode())
+        assert ids.tolist() == [*alone, own.end]
+        assert hashes.view(np.uint64).tolist() == [xxhash.xxh64_intdigest(w) for w in words]
+
+
 def test_windows_score_every_id_once():
     for n in (1, 16, 17, 33, 100):
         rows = lm.windows(np.arange(n))
