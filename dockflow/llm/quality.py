@@ -7,7 +7,8 @@ Repeated windows are found by sorting the text's own window hashes, so time is n
 memory is one text's. Only texts with a repeated hash pay for the second sort that keeps positions.
 
 Defined results: NULL and empty texts have no words; all counts are 0 and the base rule fails. Ratios of texts without
-words are 0. Repeated rows are judged alike. Working columns live in one struct, so no column of the input can clash.
+words are 0. Repeated rows are judged alike; rows without an id are judged like any other. Texts of any length are
+read whole. An empty table gives no rows. Working columns live in one struct, so no column of the input can clash.
 """
 
 from __future__ import annotations
