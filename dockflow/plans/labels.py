@@ -70,8 +70,34 @@ def moves_per_station_hour(traj: DataFrame, end: DataFrame, rules: LabelRules) -
     return counted.select("station_id", hour_of_key("hour", unzoned).alias("hour_ts"), *ledger.COUNTS, *KINDS)
 
 
-def dense_flows(moves: DataFrame, stations: DataFrame, end: DataFrame, rules: LabelRules) -> DataFrame:
-    """Fill the quiet hours of every observed station.
+#: A task has about so many rows of the panel at most, each held by a few sorts at once.
+PANEL_ROWS = 200_000
+#: Below this a task is not worth its start.
+LEAST_ROWS = 10_000
+
+
+def panel_tasks(stations: DataFrame, times: DataFrame) -> int:
+    """How many tasks the panel needs, from its greatest possible size: stations times the hours that ``times`` span.
+
+    ``times`` has the starts and ends of all trips as ``start_time`` and ``end_time``: two numbers are read.
+    """
+    n_stations = stations.agg(F.count_distinct("station_id")).first()[0]
+    span = times.agg(F.min(seconds("start_time")).alias("lo"), F.max(seconds("end_time")).alias("hi")).first()
+    rows = n_stations * ((span["hi"] - span["lo"]) // HOUR + 2) if span["lo"] is not None and span["hi"] is not None else 0
+    spread = min(stations.sparkSession.sparkContext.defaultParallelism, -(-rows // LEAST_ROWS))
+    return max(1, spread, -(-rows // PANEL_ROWS))
+
+
+def by_station(rows: DataFrame, tasks: int | None) -> DataFrame:
+    """Rows dealt by station to a number of tasks that Spark keeps: it would merge tasks by the bytes before the hours
+    are filled, or by compressed ones, and so give each many more rows of the panel."""
+    return rows.repartition(tasks, "station_id") if tasks and tasks > 1 else rows
+
+
+def dense_flows(
+    moves: DataFrame, stations: DataFrame, end: DataFrame, rules: LabelRules, tasks: int | None = None
+) -> DataFrame:
+    """Fill the quiet hours of every observed station, in ``tasks`` tasks (see ``panel_tasks``) or as Spark sizes them.
 
     Each active hour is stretched up to the station's next active one, cut to the station's own bounds. That is the
     grid left-joined with the counts, without building the grid beside them or reading the trips again.
@@ -83,7 +109,7 @@ def dense_flows(moves: DataFrame, stations: DataFrame, end: DataFrame, rules: La
     station = Window.partitionBy("station_id")
     seen = F.when((F.col("arr") > 0) | (F.col("dep") > 0), F.col("hour_ts"))
     bounded = (
-        attach(moves.join(live, "station_id"), last_hour)
+        attach(by_station(moves, tasks).join(live, "station_id"), last_hour)
         .withColumns({
             "first_seen": F.min(seen).over(station),
             "last_seen": F.max(seen).over(station),
@@ -109,12 +135,14 @@ def dense_flows(moves: DataFrame, stations: DataFrame, end: DataFrame, rules: La
     ).withColumn("net_flow", F.col("arr") - F.col("dep"))
 
 
-def flows_from(traj: DataFrame, end: DataFrame, stations: DataFrame, rules: LabelRules) -> DataFrame:
-    return dense_flows(moves_per_station_hour(traj, end, rules), stations, end, rules)
+def flows_from(
+    traj: DataFrame, end: DataFrame, stations: DataFrame, rules: LabelRules, tasks: int | None = None
+) -> DataFrame:
+    return dense_flows(moves_per_station_hour(traj, end, rules), stations, end, rules, tasks)
 
 
 def build_labels(trips: DataFrame, stations: DataFrame, contract: Contract, **sizing) -> LabelResult:
-    """Labels, events and trajectories. Only key sizes are measured here; the rest runs when a table is written.
+    """Labels, events and trajectories. Only key sizes and the panel's size are measured here; the rest runs when a table is written.
 
     ``sizing`` is passed to ``bike_trajectories``.
     """
@@ -122,7 +150,7 @@ def build_labels(trips: DataFrame, stations: DataFrame, contract: Contract, **si
     end = trajectories.window_end(trips)
     traj = trajectories.bike_trajectories(trips, **sizing)
     return LabelResult(
-        labels=ledger.labels_from_flows(flows_from(traj, end, stations, rules), rules),
+        labels=ledger.labels_from_flows(flows_from(traj, end, stations, rules, panel_tasks(stations, trips)), rules),
         events=trajectories.movement_events(traj, rules, end),
         trajectories=traj,
     )

@@ -17,7 +17,7 @@ from dockflow.contract import Contract, ContractError, default_contract, load_co
 from dockflow.functions.time import literal_like
 from dockflow.operators import assembly, checks, conform, features, grid, ledger, models, trajectories
 from dockflow.plans import training
-from dockflow.plans.labels import dense_flows, moves_per_station_hour
+from dockflow.plans.labels import dense_flows, moves_per_station_hour, panel_tasks
 from dockflow.session import build_session, scratch_scope, staged
 from dockflow.sinks.tables import register_partitioned, write_json, write_partitioned, write_table
 from dockflow.sources import archives, weather
@@ -91,8 +91,8 @@ def labels_phase(spark: SparkSession, zones: Zones, contract: Contract, catalog:
     moves = spark.read.parquet(f"{zones.clean}/station_hour_moves")
     path = f"{zones.clean}/station_hour_labels"
     save_partitioned(
-        ledger.labels_from_flows(dense_flows(moves, stations, end, rules), rules), path, LABEL_PARTS, catalog,
-        "station_hour_labels",
+        ledger.labels_from_flows(dense_flows(moves, stations, end, rules, panel_tasks(stations, trips)), rules), path,
+        LABEL_PARTS, catalog, "station_hour_labels",
     )
     labels = spark.read.parquet(path)
     gates = checks.mass_balance_of_moves(moves).unionByName(checks.zero_rate(labels))

@@ -103,6 +103,14 @@ def bikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ride_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start and end of every ride, without deriving the rides: what the panel's size is measured on."""
+    seconds = F.floor(F.col("value") * 60).cast("int")
+    return table(spark, sf_dir, "events").select(
+        F.col("ts").alias("start_time"), F.timestamp_add("SECOND", seconds, F.col("ts")).alias("end_time")
+    )
+
+
 def trips_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rides as published text: three archives with their own time formats, and repeated rows."""
     t = trips(spark, sf_dir)

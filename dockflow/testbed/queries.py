@@ -298,9 +298,13 @@ def rebalance_counts(spark, sf):
     return ledger.rebalance_counts(events(spark, sf))
 
 
+def panel_tasks(spark, sf):
+    return label_plan.panel_tasks(fx.stations(spark, sf), fx.ride_times(spark, sf))
+
+
 def flows(spark, sf):
     chained, end = chain(spark, sf)
-    return label_plan.flows_from(chained, end, fx.stations(spark, sf), RULES)
+    return label_plan.flows_from(chained, end, fx.stations(spark, sf), RULES, panel_tasks(spark, sf))
 
 
 @query
@@ -555,10 +559,10 @@ def leakage_audit_faults(spark, sf):
 
 
 def looks_ahead(spark, sf, fixed: bool):
-    panel = staged(flows(spark, sf))
-    known = in_train(panel)
+    panel, tasks = staged(flows(spark, sf)), panel_tasks(spark, sf)
+    known, spread = in_train(panel), label_plan.by_station(panel, tasks)
     return checks.value_leakage(
-        panel, lambda f: features.with_lags(ledger.labels_from_flows(f, RULES, known if fixed else None)), ~known
+        spread, lambda f: features.with_lags(ledger.labels_from_flows(f, RULES, known if fixed else None)), ~known
     )
 
 

@@ -161,3 +161,14 @@ def test_every_label_step_is_lazy(lake):
         CONTRACT.labels,
     )
     assert len(tracker.getJobIdsForGroup(None)) - before <= 1
+
+
+def test_tasks_of_the_panel_follow_its_rows(spark, monkeypatch):
+    """Twenty-four hours of each of many stations come from few moves: Spark alone would merge them into one task."""
+    monkeypatch.setattr(plan, "PANEL_ROWS", 1500)
+    monkeypatch.setattr(plan, "LEAST_ROWS", 1500)
+    for panel in (q.labels(spark, SMALL), plan.by_station(q.flows(spark, SMALL), q.panel_tasks(spark, SMALL))):
+        rows = [r["count"] for r in panel.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        assert len(rows) > 1
+        stations = panel.groupBy("station_id").count().agg(F.max("count"), F.count("*")).first()
+        assert max(rows) <= max(1500, 5 * stations[0])
