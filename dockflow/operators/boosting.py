@@ -1,8 +1,10 @@
 """Boosted trees over histograms, where every split learns the side of missing values.
 
-Values are replaced by bin numbers once. A level of a tree is one pass: each task sums counts, gradients and curvatures
-by (node, feature, bin) in numpy, Spark adds the tasks' histograms, and the best split of every node is found by window
-sums over its bins. Rows are never sorted or shuffled; what is shuffled has the size of nodes times features times bins
+Values are replaced by bin numbers once, kept in blocks of rows as arrays in binary columns, so that a pass costs what
+numpy costs. A level of a tree is one pass: each task
+sums counts, gradients and curvatures by (node, feature, bin) in numpy, Spark adds the tasks' histograms, and the best
+split of every node is found by window sums over its bins. Held-out rows are read for the first level only, which
+reports their loss. Rows are never sorted or shuffled; what is shuffled has the size of nodes times features times bins
 for each task, and what reaches the driver is one row for each node. NULL and NaN are a bin of their own, tried on both
 sides of every threshold, and against all present values.
 
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from dockflow.contract import ContractError
 from dockflow.session import removed, scratch_dir
 
-#: Rows are written again after so many trees.
-WRITE_EVERY = 25
+#: Rows are written again after so many trees: until then every pass walks them.
+WRITE_EVERY = 8
+#: Most rows of a block.
+BLOCK = 1 << 14
 MISSING = -1
 #: The node under which a pass reports the loss on held-out rows.
 HELD = -1
@@ -151,6 +155,12 @@ def gradients(objective: str, raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarra
     return p - y, np.maximum(p * (1 - p), 1e-16), np.logaddexp(0, raw) - y * raw
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 HISTOGRAM = "node int, feature int, bin int, n long, g double, h double"
 
 
@@ -160,42 +170,84 @@ def _table(node, feature, bin_, n, g, h) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((node, feature, bin_, n, g, h), kinds)], names)
 
 
-def _state(batch: pa.RecordBatch, n_features: int):
-    flat = batch.column("bins").flatten().to_numpy(zero_copy_only=False)
-    read = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
-    return flat.reshape(-1, n_features), read("y"), read("w"), read("raw"), read("is_val").astype(bool)
-
-
-def _grown(trees: list[Tree], bins: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    for tree in trees:
-        raw = raw + np.array(tree.value)[tree.reached(bins)]
+def _code_type(sizes: list[int]) -> str:
+    """The type of a stored bin, one more than its number: 0 is missing."""
+    return "u1" if max(sizes, default=0) < 256 else "<u2"
+
+
+def _blocks(batch: pa.RecordBatch, code: str, n_features: int) -> Iterator[tuple]:
+    """Bins (features by rows), labels, weights and scores of each block, and whether it is held out."""
+    for bins, y, w, raw, is_val in zip(*(batch.column(c).to_pylist() for c in ("bins", "y", "w", "raw", "is_val"))):
+        y, w, raw = (np.frombuffer(x, "<f8") for x in (y, w, raw))
+        yield np.frombuffer(bins, code).reshape(n_features, len(y)), y, w, raw, is_val
+
+
+class _Walk:
+    """A tree as tables over stored bins: one step of all rows is three lookups, and leaves lead to themselves."""
+
+    def __init__(self, tree: Tree, width: int):
+        self.feature = np.maximum(tree.feature, 0)
+        self.width, self.value = width, np.array(tree.value)
+        nodes, codes = np.arange(len(tree.feature)), np.arange(width)
+        below = codes[None, :] - 1 <= np.array(tree.bin)[:, None]
+        below[:, 0] = tree.missing_left
+        inner = np.array(tree.feature) >= 0
+        child = np.where(below, np.array(tree.left)[:, None], np.array(tree.right)[:, None])
+        self.child = np.where(inner[:, None], child, nodes[:, None]).ravel()
+        self.steps, level = 0, [0]
+        while level := [c for at in level if inner[at] for c in (tree.left[at], tree.right[at])]:
+            self.steps += 1
+
+    def reached(self, codes: np.ndarray) -> np.ndarray:
+        """The node that each row, a column of ``codes``, ends in."""
+        n = codes.shape[1]
+        node = np.zeros(n, np.int64)
+        if self.steps:
+            flat, row = codes.ravel(), np.arange(n)
+            node = self.child.take(codes[self.feature[0]])
+            for _ in range(self.steps - 1):
+                node = self.child.take(node * self.width + flat.take(self.feature.take(node) * n + row))
+        return node
+
+
+def _grown(walks: list[_Walk], codes: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    for walk in walks:
+        raw = raw + walk.value.take(walk.reached(codes))
     return raw
 
 
 def _histograms(objective: str, trees: list[Tree], growing: Tree, open_: list[int], sizes: list[int]):
-    """Sums by node, feature and bin of one task; at the root also the loss on held-out rows."""
-    width, n_features = max(sizes) + 2, len(sizes)
+    """Sums by node, feature and bin of one task, and the loss on the held-out rows among its own."""
+    width, n_features, code = max(sizes, default=0) + 1, len(sizes), _code_type(sizes)
     place = np.full(len(growing.feature), -1)
     place[open_] = np.arange(len(open_))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((3, len(open_) * n_features * width))
+        walks, own = [_Walk(t, width) for t in trees], _Walk(growing, width)
+        size = len(open_) * width
+        sums = np.zeros((3, n_features, size))
         held = np.zeros(2)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            bins, y, w, raw, is_val = _state(batch, n_features)
-            g, h, loss = gradients(objective, _grown(trees, bins, raw), y)
-            held += np.sum(is_val), np.sum((w * loss)[is_val])
-            node = place[growing.reached(bins)]
-            kept = np.flatnonzero((node >= 0) & ~is_val)
-            cell = ((node[kept, None] * n_features + np.arange(n_features)) * width + bins[kept] + 1).ravel()
-            for k, weight in enumerate((None, (w * g)[kept], (w * h)[kept])):
-                each = None if weight is None else np.repeat(weight, n_features)
-                sums[k] += np.bincount(cell, each, minlength=sums.shape[1])
-        seen = np.flatnonzero(sums[0])
-        node = np.array(open_)[seen // (n_features * width)] if len(open_) else seen
-        yield _table(node, seen // width % n_features, seen % width - 1, sums[0][seen].astype(np.int64), *sums[1:, seen])
+            for codes, y, w, raw, is_val in _blocks(batch, code, n_features):
+                g, h, loss = gradients(objective, _grown(walks, codes, raw), y)
+                if is_val:
+                    held += len(y), np.sum(w * loss)
+                    continue
+                node = place[own.reached(codes)]
+                kept = np.flatnonzero(node >= 0)
+                if len(kept) == len(node):
+                    kept = slice(None)
+                start, g, h = node[kept] * width, (w * g)[kept], (w * h)[kept]
+                ones = bool((h == 1).all())
+                for f in range(n_features if size else 0):
+                    cell = start + codes[f][kept]
+                    n = np.bincount(cell, minlength=size)
+                    sums[0, f] += n
+                    sums[1, f] += np.bincount(cell, g, minlength=size)
+                    sums[2, f] += n if ones else np.bincount(cell, h, minlength=size)
+        feature, cell = np.nonzero(sums[0])
+        node = np.array(open_)[cell // width] if len(open_) else cell
+        yield _table(node, feature, cell % width - 1, sums[0, feature, cell].astype(np.int64), *sums[1:, feature, cell])
         yield _table([HELD], [0], [0], [int(held[0])], [held[1]], [0.0])
 
     return run
@@ -235,26 +287,36 @@ def best_splits(histogram: DataFrame, min_rows: int, l2: float = 0.0, by: tuple[
 
 
 def _binned(features: list[str], edges: list[np.ndarray], base: float):
+    code = _code_type([len(e) + 1 for e in edges])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, BLOCK):
             bins = to_bins([batch.column(f).to_numpy(zero_copy_only=False) for f in features], edges)
-            ends = pa.array(np.arange(0, bins.size + 1, max(len(features), 1), dtype=np.int32))
-            kept = [batch.column(c) for c in ("y", "w", "is_val")]
-            arrays = [pa.ListArray.from_arrays(ends, pa.array(bins.ravel())), *kept, pa.array(np.full(len(bins), base))]
-            yield pa.RecordBatch.from_arrays(arrays, ["bins", "y", "w", "is_val", "raw"])
+            codes = (bins.T + 1).astype(code)
+            y, w = (batch.column(c).to_numpy(zero_copy_only=False).astype("<f8") for c in ("y", "w"))
+            held = batch.column("is_val").to_numpy(zero_copy_only=False).astype(bool)
+            for is_val in (False, True):
+                kept = np.flatnonzero(held == is_val)
+                if len(kept):
+                    parts = codes[:, kept], y[kept], w[kept], np.full(len(kept), base, "<f8")
+                    block = [pa.array([x.tobytes()], pa.binary()) for x in parts]
+                    yield pa.RecordBatch.from_arrays([*block, pa.array([is_val])], ["bins", "y", "w", "raw", "is_val"])
 
     return run
 
 
-STATE = "bins array<short>, y double, w double, is_val boolean, raw double"
+#: One row a block.
+STATE = "bins binary, y binary, w binary, raw binary, is_val boolean"
+
 
+def _advanced(trees: list[Tree], sizes: list[int]):
+    width, code = max(sizes, default=0) + 1, _code_type(sizes)
 
-def _advanced(trees: list[Tree], n_features: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walks = [_Walk(t, width) for t in trees]
         for batch in batches:
-            bins, *_, raw, _ = _state(batch, n_features)
-            at = batch.schema.get_field_index("raw")
-            yield batch.set_column(at, "raw", pa.array(_grown(trees, bins, raw)))
+            later = [_grown(walks, codes, raw).tobytes() for codes, _, _, raw, _ in _blocks(batch, code, len(sizes))]
+            yield batch.set_column(batch.schema.get_field_index("raw"), "raw", pa.array(later, pa.binary()))
 
     return run
 
@@ -286,19 +348,25 @@ def fit(
     state = spark.read.schema(STATE).parquet(path)
     trees, recent, losses = [], [], []
 
-    def level(growing: Tree, open_: list[int]) -> tuple[dict, tuple]:
+    def level(growing: Tree, open_: list[int], depth: int = 0) -> tuple[dict, tuple]:
+        """The best splits of the open nodes; number and loss of held-out rows at the root."""
         run = _histograms(objective, list(recent), growing, open_, sizes)
-        parts = state.mapInArrow(run, HISTOGRAM).groupBy("node", "feature", "bin")
-        whole = parts.agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("h").alias("h")).persist()
-        held = whole.filter(F.col("node") == HELD).first()
+        read = state.filter(~F.col("is_val")) if depth else state
+        parts = read.mapInArrow(run, HISTOGRAM).groupBy("node", "feature", "bin")
+        whole = parts.agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("h").alias("h"))
+        held = None
+        if not depth:
+            whole = whole.persist()
+            held = whole.filter(F.col("node") == HELD).first()
         found = best_splits(whole.filter(F.col("node") != HELD), params.min_rows, params.l2).collect()
-        whole.unpersist()
-        return {r["node"]: r for r in found if r["gain"] > params.min_gain}, (held["n"], held["g"])
+        if not depth:
+            whole.unpersist()
+        return {r["node"]: r for r in found if r["gain"] > params.min_gain}, (held["n"], held["g"]) if held else (0, 0.0)
 
     for _ in range(params.max_rounds):
         tree, open_ = Tree(), [0]
         for depth in range(params.max_depth):
-            found, (n_held, loss) = level(tree, open_)
+            found, (n_held, loss) = level(tree, open_, depth)
             if depth == 0 and n_held:
                 losses.append(loss / n_held)
             below = []
@@ -314,7 +382,7 @@ def fit(
         recent.append(tree)
         if len(recent) == WRITE_EVERY:
             later = scratch_dir(spark)
-            state.mapInArrow(_advanced(list(recent), len(features)), STATE).write.parquet(later)
+            state.mapInArrow(_advanced(list(recent), sizes), STATE).write.parquet(later)
             removed(spark, path)
             state, path, recent = spark.read.schema(STATE).parquet(later), later, []
     else:

@@ -648,7 +648,8 @@ def missing_value_splits(spark, sf):
 @query
 def net_flow_missing_model(spark, sf):
     """The flow regressor over features with NULLs: fit until three rounds bring no gain, applied to all test rows."""
-    rows = split_table(spark, sf)
+    # Written once: edges, bins and scores read the features, which are dear to derive.
+    rows = staged(split_table(spark, sf))
     known = rows.filter(F.col("split").isin("train", "val")).withColumn("is_val", F.col("split") == "val")
     params = boosting.BoostParams(learning_rate=0.3, max_depth=3, min_rows=20, max_rounds=24, patience=3)
     model = boosting.fit(known, list(CONTRACT.features), CONTRACT.regression_target, params)

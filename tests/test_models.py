@@ -356,3 +356,38 @@ def test_boosting_on_odd_tables(spark):
     assert all(r["y"] == pytest.approx(r["p"]) for r in got)
     with pytest.raises(ContractError):
         boosting.fit(two, ["rain"], "y", params, objective="huber")
+
+
+def test_walk_over_stored_bins_follows_the_tree():
+    rng = np.random.default_rng(3)
+    tree, open_ = boosting.Tree(), [0]
+    for _ in range(4):
+        below = []
+        for node in open_[:3]:
+            sides = {f"{c}_{s}": float(rng.random()) + 1 for s in ("left", "right") for c in ("n", "g", "h")}
+            found = {"feature": int(rng.integers(3)), "bin": int(rng.integers(5)), "missing_left": bool(rng.integers(2)), "gain": 1.0}
+            below += tree.split(node, found | sides, 1.0, 0.0)
+        open_ = below
+    bins = rng.integers(-1, 6, (5000, 3)).astype(np.int16)
+    for code in ("u1", "<u2"):
+        walk = boosting._Walk(tree, 7)
+        assert (walk.reached((bins.T + 1).astype(code)) == tree.reached(bins)).all()
+
+
+def test_blocks_of_any_size_and_many_bins_grow_the_same_trees(spark, monkeypatch):
+    df = with_holes(spark, 900)[0]
+    params = boosting.BoostParams(learning_rate=0.2, max_depth=3, min_rows=10, max_rounds=4, patience=9)
+    first = boosting.fit(df, ["rain", "load"], "y", params)
+    monkeypatch.setattr(boosting, "BLOCK", 7)
+    monkeypatch.setattr(boosting, "_code_type", lambda sizes: "<u2")
+    again = boosting.fit(df, ["rain", "load"], "y", params)
+    plain = lambda m: [(s[2:5], s[6]) for s in m.splits()]
+    assert plain(first) == plain(again) and len(first.trees) == 4
+    assert first.losses == pytest.approx(again.losses)
+
+
+def test_features_are_derived_once_for_the_missing_value_model(spark, monkeypatch):
+    seen, fit = [], boosting.fit
+    monkeypatch.setattr(boosting, "fit", lambda rows, *a: seen.append(rows) or fit(rows, *a))
+    q.net_flow_missing_model(spark, SMALL)
+    assert all("dockflow-" in f for f in seen[0].inputFiles())
