@@ -8,7 +8,7 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockflow.contract import Contract, ContractError
@@ -19,6 +19,8 @@ from dockflow.operators.checks import check_row
 # A model that stopped this early is a stump, and its attribution means nothing.
 DEGENERATE_ITERATIONS = 5
 LOSSES = {"l1": "absolute", "l2": "squared"}
+#: Least rounds of a first fit: growing so many costs less than fitting again from the first round.
+FIRST_ROUNDS = 16
 
 
 @dataclass(frozen=True)
@@ -60,11 +62,11 @@ def _fit_rows(vectors: DataFrame) -> DataFrame:
 def fit_with_patience(trainer, rows: DataFrame, params: TreeParams, losses):
     """The best prefix on the validation rows, within ``patience`` rounds of which no later round is better.
 
-    Rounds are added by doubling until the patience is used up, so at most twice the needed rounds are grown before the
-    best prefix is. A prefix of a fit equals the shorter fit, as every round draws from the same seed.
+    Rounds are doubled until the patience is used up, and the best prefix is cut from the last fit: a prefix of a fit
+    equals the shorter fit, as every round draws from the same seed.
     """
     train, held = rows.filter(~F.col("is_val")), rows.filter("is_val")
-    rounds = min(params.max_iterations, 2 * params.patience)
+    rounds = min(params.max_iterations, max(FIRST_ROUNDS, 2 * params.patience))
     if held.isEmpty():
         return trainer.copy({trainer.maxIter: params.max_iterations}).fit(train)
     while True:
@@ -73,7 +75,19 @@ def fit_with_patience(trainer, rows: DataFrame, params: TreeParams, losses):
         if best + params.patience <= rounds or rounds == params.max_iterations:
             break
         rounds = min(params.max_iterations, 2 * rounds)
-    return model if best == rounds else trainer.copy({trainer.maxIter: best}).fit(train)
+    return model if best == rounds else first_trees(trainer.copy({trainer.maxIter: best}), model, best)
+
+
+def first_trees(trainer, model, n: int):
+    """The model of the first ``n`` trees, with the parameters of ``trainer``: what it would fit, without a pass."""
+    whole, gateway = model._java_obj, SparkSession.active().sparkContext._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for at in range(n):
+        trees[at], weights[at] = whole.trees()[at], whole.treeWeights()[at]
+    classes = [model.numClasses] if isinstance(model, GBTClassificationModel) else []
+    kind = getattr(gateway.jvm, whole.getClass().getName())
+    return trainer._copyValues(type(model)(kind(whole.uid(), trees, weights, model.numFeatures, *classes)))
 
 
 def best_round(losses: list[float], patience: int) -> int:

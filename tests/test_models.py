@@ -172,6 +172,28 @@ def test_fit_keeps_the_best_prefix(vectors):
     assert min(losses) == losses[-1]
 
 
+@pytest.mark.parametrize("classes", [False, True])
+def test_the_best_prefix_is_cut_from_one_fit(spark, vectors, monkeypatch, tmp_path, classes):
+    """No round is grown twice, and the cut model is the one that a shorter fit gives: its scores, and what is saved."""
+    kind = models.GBTClassifier if classes else models.GBTRegressor
+    fits, fit = [], kind.fit
+    monkeypatch.setattr(kind, "fit", lambda self, df: fits.append((self, df)) or fit(self, df))
+    monkeypatch.setattr(models, "best_round", lambda losses, patience: 3)
+    params = models.TreeParams(0.9, 4, 1, 8, 2)
+    if classes:
+        cut, score = models.train_is_empty(vectors, CONTRACT, params), models.score_is_empty
+    else:
+        cut, score = models.train_net_flow(vectors, CONTRACT, params, "l2"), models.score_net_flow
+    assert len(fits) == 1 and cut.getNumTrees == 3 and len(cut.trees) == 3 and cut.getMaxIter() == 3
+    trainer, rows = fits[0]
+    short = fit(trainer.copy({trainer.maxIter: 3}), rows)
+    cut.write().save(str(tmp_path / "cut"))
+    name = "p_empty" if classes else "pred_flow"
+    scores = lambda m: [r[0] for r in score(m, vectors).orderBy("station_id", "hour_ts").select(name).collect()]
+    assert scores(cut) == pytest.approx(scores(short)) == scores(type(cut).load(str(tmp_path / "cut")))
+    assert cut.numFeatures == short.numFeatures and cut.treeWeights == short.treeWeights
+
+
 @pytest.mark.parametrize("mae,trees,expected", [(0.5, 9, ["OK", "OK"]), (0.7, 5, ["FAIL", "FAIL"])])
 def test_gates(spark, mae, trees, expected):
     found = spark.createDataFrame([(mae,)], "mae double")
