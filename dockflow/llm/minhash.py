@@ -7,8 +7,8 @@ only links to one centre are candidates, so a bucket of n sets gives n - 1 pairs
 
 Candidates are confirmed on the full sets, first each set with its most shared centre. Buckets that then still hold
 different components tie their sets into families. Inside a family every two sets of different components are compared
-on the full sets, in pairs of blocks of bounded size: no row is made for a pair unless it is a link, and no link is lost
-because its bucket's centre was neither end.
+on the full sets, in pairs of blocks of bounded size: rows are made for as many links as join what is linked, not for
+every pair of a large group, and no link is lost because its bucket's centre was neither end.
 
 A pair at similarity 0.8 shares no band with probability (1 - 0.8^6)^64, under 4e-9; more similar pairs far less.
 
@@ -169,16 +169,38 @@ def _between(families: DataFrame, one: DataFrame, labels: DataFrame, sets: DataF
     placed = rooted.join(size, "family").join(sets, "set_id")
     own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = placed.select("family", "set_id", "root", "hashes", own.alias("own"), other.alias("other"))
+    placed = placed.select("family", "root", "hashes", own.alias("own"), other.alias("other"))
     placed = placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    tiles = placed.select("family", "i", "j", "set_id", "root", "hashes").groupBy("family", "i", "j")
+    tiles = placed.select("family", "i", "j", "own", "root", "hashes").groupBy("family", "i", "j")
     return tiles.applyInArrow(lambda rows: _tile(rows, percent), "u long, v long")
 
 
+def _joined(linked: np.ndarray) -> np.ndarray:
+    """The component of each row of a symmetric 0/1 matrix, named by its first row."""
+    found = np.full(len(linked), -1)
+    for start in range(len(linked)):
+        front = np.array([start]) if found[start] < 0 else ()
+        while len(front):
+            found[front] = start
+            front = np.flatnonzero(linked[front].any(0) & (found < 0))
+    return found
+
+
+def _least(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The least value of each row's group."""
+    least = values.copy()
+    np.minimum.at(least, group, values)
+    return least[group]
+
+
 def _tile(rows: pa.Table, percent: int) -> pa.Table:
-    """The components linked by one pair of blocks; intersections are products of 0/1 matrices."""
+    """The components linked by one pair of blocks; intersections are products of 0/1 matrices.
+
+    Not every link is a row, but links enough to join what is linked: the tile of a block with itself ties each component
+    to the least of those it is joined with, and the tile of two blocks ties only those least ones.
+    """
     rows = rows.combine_chunks()
-    owners = rows.column("root").to_numpy()
+    owners, own = rows.column("root").to_numpy(), rows.column("own").to_numpy()
     lists = rows.column("hashes").combine_chunks()
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
     values, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(owners)), sizes)
@@ -197,8 +219,11 @@ def _tile(rows: pa.Table, percent: int) -> pa.Table:
         both += part @ part.T
     both = both.astype(np.int64)  # exact up to 2^24 shared shingles
     union = sizes[:, None] + sizes[None, :] - both
-    a, b = np.nonzero(np.triu((100 * both >= percent * union) & (owners[:, None] != owners), 1))
-    return pa.table({"u": owners[a], "v": owners[b]}).group_by(["u", "v"]).aggregate([])
+    linked = (100 * both >= percent * union) | (owners[:, None] == owners)
+    least = _least(owners, _joined(linked & (own[:, None] == own)))
+    ends = (least, owners) if (own == own[:1]).all() else (_least(least, _joined(linked)), least)
+    apart = ends[0] != ends[1]
+    return pa.table({"u": ends[0][apart], "v": ends[1][apart]}).group_by(["u", "v"]).aggregate([])
 
 
 def _labelled(signed: DataFrame, labels: DataFrame, key: str) -> DataFrame:

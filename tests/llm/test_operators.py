@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -330,6 +331,48 @@ def test_links_that_no_centre_has(spark):
     assert got == brute.near_duplicates(rows, 1)
 
 
+def _rows_of_tile(sets, roots, own):
+    hashes = pa.array([sorted(x) for x in sets], pa.list_(pa.int64()))
+    return pa.table({"own": pa.array(own, pa.int32()), "root": pa.array(roots, pa.int64()), "hashes": hashes})
+
+
+def test_a_group_gives_rows_by_its_size_not_by_its_pairs():
+    """200 sets of which every two are linked: one row for each but the least; between joined blocks one row for all."""
+    sets = [{*range(100), 1000 + i} for i in range(200)]
+    roots = [500 - i for i in range(200)]
+    whole = minhash._tile(_rows_of_tile(sets, roots, [0] * 200), 80)
+    assert sorted(zip(*whole.to_pydict().values())) == [(301, r) for r in range(302, 501)]
+    cross = minhash._tile(_rows_of_tile(sets, roots, [i % 2 for i in range(200)]), 80)
+    assert cross.to_pydict() == {"u": [301], "v": [302]}
+
+
+def test_tiles_of_blocks_join_what_the_links_join():
+    rng = np.random.default_rng(5)
+    n, blocks = 240, 3
+    base = [set(rng.choice(4000, 40, replace=False).tolist()) for _ in range(30)]
+    sets = [base[i % 30] - set(rng.choice(sorted(base[i % 30]), rng.integers(0, 8), replace=False).tolist()) for i in range(n)]
+    roots, own = rng.permutation(n) // 2, rng.integers(0, blocks, n)
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    links = {(roots[a], roots[b]) for a in range(n) for b in range(n) if near(a, b) and roots[a] != roots[b]}
+    found = set()
+    for i in range(blocks):
+        for j in range(i, blocks):
+            at = [k for k in range(n) if own[k] in (i, j)]
+            tile = minhash._tile(_rows_of_tile([sets[k] for k in at], [roots[k] for k in at], [own[k] for k in at]), 80)
+            found |= set(zip(*tile.to_pydict().values()))
+
+    def labels(edges):
+        top = list(range(n))
+        for _ in range(n):
+            before = list(top)
+            for u, v in edges:
+                top[u] = top[v] = min(top[u], top[v])
+            if top == before:
+                return top
+
+    assert labels(found) == labels(links) and len(found) < len(links) / 4
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = defaultdict(list)
     for r in minhash.groups(odd).collect():
