@@ -39,8 +39,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockflow.llm.common import Memo, as_bytes, mix, only
-from dockflow.llm.tokens import WordEncoder, encode_words
+from dockflow.llm.common import as_bytes, mix, only
+from dockflow.llm.tokens import Words, cut, gathered, in_slices, starts_of, words_of
 from dockflow.session import staged
 
 WINDOW, HALF = 32, 16
@@ -62,27 +62,29 @@ TOP_WORDS = 1 << 20
 SEED = 5
 
 
-class Subwords(WordEncoder):
-    """Subword ids of words behind a blank, memoised, and hashes of the words."""
+class Subwords:
+    """Subword ids of words behind a blank, and hashes of the words."""
 
     def __init__(self, path: str):
-        super().__init__(path)
-        self.stops = Memo(lambda stops: encode_words(self.tokenizer, [stops.decode()], "")[0], 1 << 16)
+        self.words = Words(path, " ")
+        self.memos, self.tokenizer = [self.words.table, self.words.stops], self.words.tokenizer
         self.size = self.tokenizer.get_vocab_size()
         self.end = self.size - 1
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        return encode_words(self.tokenizer, [w.decode() for w in words], " ")
+    def split_slice(self, texts: pa.Array) -> list[tuple[bytes, bytes]]:
+        """Of each text the 64-bit hashes of its words, and its subword ids with the end id."""
+        words, counts = words_of(texts)
+        coded = words.dictionary_encode()
+        ids, sizes = self.words.runs(coded.dictionary)
+        names = coded.dictionary.cast(pa.binary()).to_pylist()
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), "<u8", len(names))
+        at, end = coded.indices.to_numpy(zero_copy_only=False), np.array([self.end], "<u2").tobytes()
+        found = cut((gathered(ids, starts_of(sizes)[at], sizes[at]), sizes[at]), counts)
+        own = cut((hashes[at], np.ones(len(at), np.int64)), counts)
+        return [(h.tobytes(), i.tobytes() + end) for h, i in zip(own, found)]
 
     def split_many(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """Of each text the 64-bit hashes of its words, and its subword ids with the end id."""
-        parts = [t.lower().split() for t in texts]
-        self._learn(self.words.lacks(set().union(*parts)))
-        end, out = np.array([self.end], "<u2").tobytes(), []
-        for words in parts:
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), "<u8", len(words))
-            out.append((hashes.tobytes(), b"".join([*map(self.words.__getitem__, words), end])))
-        return out
+        return [row for _, part in in_slices(pa.array(texts, pa.binary())) for row in self.split_slice(part)]
 
     def split(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         hashes, ids = self.split_many([text])[0]
@@ -353,16 +355,15 @@ def _split(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = subwords(path)
-        only(own.words, own.stops)
+        only(*own.memos)
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts, names = as_bytes(batch, "text"), as_bytes(batch, "name")
-            for at in range(0, len(texts), 256):
-                part = texts[at : at + 256]
-                size = len(part)
-                words, ids = zip(*own.split_many(part))
+            names = as_bytes(batch, "name")
+            for at, texts in in_slices(batch.column("text")):
+                part, size = texts.cast(pa.binary()).to_pylist(), len(texts)
+                words, ids = zip(*own.split_slice(texts))
                 digest = lambda values: np.fromiter(map(xxhash.xxh64_intdigest, values), np.uint64, size)
-                deal = (mix(digest(names[at : at + 256])) ^ digest(part)).view(np.int64)
+                deal = (mix(digest(names[at : at + size])) ^ digest(part)).view(np.int64)
                 windows = [-(-len(b) // (2 * HALF)) for b in ids]
                 arrays = [pa.array(np.arange(number, number + size)), *(batch.column(c).slice(at, size) for c in ("key", "held_out"))]
                 arrays += [pa.array(deal), pa.array(windows), pa.array(words, pa.binary()), pa.array(ids, pa.binary())]

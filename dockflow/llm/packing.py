@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dockflow.llm.common import only
-from dockflow.llm.tokens import byte_level
+from dockflow.llm.tokens import byte_level, in_slices
 from dockflow.session import staged
 
 WIDTH = 1024
@@ -76,13 +76,15 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_level(path)
-        only(encoder.after_blank, encoder.stops)
+        only(*encoder.memos)
         for batch in batches:
-            keys, texts = batch.column("key"), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 512):
-                ids = [np.append(i, np.uint16(END)) for i in encoder.encode_many(texts[at : at + 512])]
-                arrays = [keys.slice(at, 512), pa.array(curve_keys(ids)), pa.array([i.tobytes() for i in ids], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["key", "place", "ids"])
+            for start, texts in in_slices(batch.column("text")):
+                found = encoder.encode_slice(texts)
+                for at in range(0, len(found), 512):
+                    ids = [np.append(i, np.uint16(END)) for i in found[at : at + 512]]
+                    arrays = [batch.column("key").slice(start + at, len(ids)), pa.array(curve_keys(ids))]
+                    arrays.append(pa.array([i.tobytes() for i in ids], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(arrays, ["key", "place", "ids"])
 
     return run
 
@@ -125,6 +127,7 @@ _PIECE = ("key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only()
     sequences = _Sequences(TaskContext.get().partitionId() << 33)
     kind = None
 

@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dockflow.llm.common import as_bytes, only
-from dockflow.llm.tokens import tokenizer, word_level
+from dockflow.llm.common import only
+from dockflow.llm.tokens import in_slices, tokenizer, word_level
 
 END = 1
 FIRST_RULE = 49_408
@@ -115,16 +115,16 @@ class BlockReader:
 
 
 def _encoded(encoder, batch: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray]]:
-    keys, texts = batch.column("key").to_pylist(), as_bytes(batch, "text")
-    for at in range(0, len(keys), 512):
-        for key, ids in zip(keys[at : at + 512], encoder.encode_many(texts[at : at + 512])):
+    keys = batch.column("key").to_pylist()
+    for at, texts in in_slices(batch.column("text")):
+        for key, ids in zip(keys[at : at + len(texts)], encoder.encode_slice(texts)):
             yield key, np.append(ids, np.uint16(END))
 
 
 def _blocks(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, block = word_level(path), TaskContext.get().partitionId(), 0
-        only(encoder.words, encoder.stops)
+        only(*encoder.memos)
         keys, parts, held, kind = [], [], 0, None
 
         def close() -> pa.RecordBatch:
@@ -166,6 +166,7 @@ def write(docs: DataFrame, path: str, out: str, key: str = "doc_id", text: str =
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only()
     for batch in batches:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1)
