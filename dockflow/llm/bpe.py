@@ -8,7 +8,7 @@ pre-tokens never touch, the order of merges inside each is that of the pre-token
 n bytes take n log n steps however long a pre-token is.
 
 Ranks come from a public rank file, whose path is a parameter; each executor reads its own copy. Pre-tokens repeat, so
-chunks of text are memoised; the memos are bounded in bytes and change no result.
+the ids of chunks of text and of pre-tokens are kept in tables, which are bounded in bytes and change no result.
 
 Defined results: NULL and empty texts have no ids. Equal rows, and rows without an id, get a result each. Texts are
 encoded whole, however long. An empty table gives no rows. Other columns, whatever their names, take no part.
@@ -18,9 +18,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockflow.llm.common import Memo, only, sliced
-from dockflow.llm.tokens import chunks
+from dockflow.llm.common import only
+from dockflow.llm.tokens import IdTable, Runs, by_chunks, cut, gathered, in_slices, joined, starts_of
 
 WORD = 64
+#: Bytes of pre-tokens that one queue merges; a longer one is merged by itself.
+BLOCK = 1 << 17
 
 
 class RankQueue:
@@ -43,12 +45,13 @@ class RankQueue:
             self.levels.append([0] * (-(-len(self.levels[-1]) // WORD)))
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
+    def push(self, rank: int, position: int | Sequence[int]) -> None:
+        """Puts a position, or several, into the bucket of a rank."""
         bucket = self.buckets.get(rank)
         if bucket is not None:
-            bucket.append(position)
+            bucket.append(position) if isinstance(position, int) else bucket.extend(position)
             return
-        self.buckets[rank] = [position]
+        self.buckets[rank] = [position] if isinstance(position, int) else list(position)
         at = rank
         for level in self.levels:
             at, bit = divmod(at, WORD)
@@ -80,30 +83,60 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        size = max(self.ranks.values()) + 1
+        spellings = [b""] * size
+        for token, rank in self.ranks.items():
+            spellings[rank] = token
+        self.spelling, self.known = joined(spellings, "u1")
+        self.begin = starts_of(self.known)
         self.pattern = regex.compile(pattern)
-        self.queue = RankQueue(max(self.ranks.values()) + 1)
-        self.pieces = Memo(lambda piece: self._ids([piece])[0], 90 << 20)
-        self.after_blank = Memo(lambda chunk: self._matches(" " + chunk), 60 << 20)
+        self.queue = RankQueue(size)
+        self.pieces = IdTable(self._of_pieces, "<u4", 60 << 20)
+        self.after_blank = IdTable(self._of_chunks, "<u4", 40 << 20)
+        self.short_of: dict[bytes, int] | None = None
+
+    def _short(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of single bytes and of pairs of them, -1 where there is none."""
+        if self.short_of is not self.ranks:
+            one, two = np.full(1 << 8, -1, np.int64), np.full(1 << 16, -1, np.int64)
+            for token, rank in self.ranks.items():
+                if len(token) == 1:
+                    one[token[0]] = rank
+                elif len(token) == 2:
+                    two[token[0] << 8 | token[1]] = rank
+            self.short, self.short_of = (one, two), self.ranks
+        return self.short
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each pre-token; all are merged by one queue."""
+        ids, sizes = self.merged(pieces)
+        return [part.tolist() for part in cut((ids, np.ones(len(ids), np.int64)), sizes)]
+
+    def merged(self, pieces: list[bytes]) -> Runs:
         ranks, queue, push = self.ranks.get, self.queue, self.queue.push
         text = b"".join(pieces)
         n = len(text)
-        stop = bytearray(n + 1)  # where a pre-token begins or ends
-        at = 0
-        for piece in pieces:
-            stop[at] = 1
-            at += len(piece)
-        stop[n] = 1
+        if not n:
+            return np.zeros(0, "<u4"), np.zeros(len(pieces), np.int64)
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        begins = np.zeros(n + 1, np.uint8)  # where a pre-token begins or ends
+        begins[starts_of(lengths)] = begins[n] = 1
+        stop = begins.tobytes()
+        one, two = self._short()
+        raw = np.frombuffer(text, np.uint8)
+        first = two[raw[:-1].astype(np.int64) << 8 | raw[1:]]
+        first[begins[1:-1] > 0] = -1
         ends = list(range(1, n + 1))  # ends[i]: where the part that starts at i ends
         before = list(range(-1, n))  # before[i]: where the part in front of it starts
-        pair = [-1] * n  # the rank of the part at i joined with the next
-        for i in range(n - 1):
-            if not stop[i + 1] and (found := ranks(text[i : i + 2])) is not None:
-                pair[i] = found
-                push(found, i)
+        pair = [*first.tolist(), -1]  # the rank of the part at i joined with the next
+        own = one[raw]  # the rank of the part at i, -1 where none starts any more
+        if (own < 0).any():
+            raise KeyError(f"no rank for byte {text[int(np.argmin(own))]}")
+        own = own.tolist()
+        places = np.flatnonzero(first >= 0)
+        places = places[np.argsort(first[places], kind="stable")]
+        for run in np.split(places, np.flatnonzero(np.diff(first[places])) + 1) if len(places) else ():
+            push(int(first[run[0]]), run.tolist())
         while (least := queue.pop()) is not None:
             rank, positions = least
             for place, i in enumerate(positions):
@@ -111,7 +144,8 @@ class Codec:
                     continue  # stale
                 gone = ends[i]
                 end = ends[i] = ends[gone]
-                pair[i] = pair[gone] = -1
+                pair[i] = pair[gone] = own[gone] = -1
+                own[i] = rank
                 lowest = rank + 1
                 if not stop[end]:
                     before[end] = i
@@ -121,53 +155,66 @@ class Codec:
                 if not stop[i]:
                     k = before[i]
                     found = ranks(text[k:end])
-                    pair[k] = -1 if found is None else found
-                    if found is not None:
+                    if found is None:
+                        pair[k] = -1
+                    else:
+                        pair[k] = found
                         push(found, k)
-                        lowest = min(lowest, found)
+                        if found < lowest:
+                            lowest = found
                 if lowest <= rank:  # not in a vocabulary learned merge by merge; the rest of the bucket waits
-                    for later in positions[place + 1 :]:
+                    if later := positions[place + 1 :]:
                         push(rank, later)
                     break
-        out, i = [], 0
-        for piece in pieces:
-            ids, end = [], i + len(piece)
-            while i < end:
-                ids.append(ranks(text[i : ends[i]]))
-                i = ends[i]
-            out.append(ids)
-        return out
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        raw = [p.encode() for p in pieces]
-        whole = [self.ranks.get(p) for p in raw]
-        merged = iter(self.merge([p for p, rank in zip(raw, whole) if rank is None]))
-        return [array("I", [rank] if rank is not None else next(merged)).tobytes() for rank in whole]
-
-    def _matches(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
-
-    def _learn(self, texts: list[str]) -> None:
-        """Puts the ids of all pre-tokens of the texts into the memo."""
-        new = self.pieces.lacks(set().union(*map(self.pattern.findall, texts)))
-        for piece, ids in zip(new, self._ids(new)):
-            self.pieces.put(piece, ids)
+        ids = np.array(own, np.int64)
+        alive = ids >= 0
+        seen = np.concatenate([[0], np.cumsum(alive)])
+        until = np.cumsum(lengths)
+        return ids[alive].astype("<u4"), seen[until] - seen[until - lengths]
+
+    def _of_pieces(self, pieces: pa.Array) -> Runs:
+        """Ids of pre-tokens: their own rank, or what blocks of them merge to."""
+        raw = pieces.cast(pa.binary()).to_pylist()
+        whole = np.array([self.ranks.get(p, -1) for p in raw], np.int64)
+        rest = np.flatnonzero(whole < 0)
+        ids, sizes = [whole[whole >= 0].astype("<u4")], np.ones(len(raw), np.int64)
+        block = np.cumsum([len(raw[k]) for k in rest.tolist()]) // BLOCK
+        for part in np.split(rest, np.flatnonzero(np.diff(block)) + 1):
+            found, sizes[part] = self.merged([raw[k] for k in part.tolist()])
+            ids.append(found)
+        order = np.concatenate([np.flatnonzero(whole >= 0), rest])
+        starts = np.empty(len(raw), np.int64)
+        starts[order] = starts_of(sizes[order])
+        return gathered(np.concatenate(ids), starts, sizes), sizes
+
+    def _matches(self, texts: list[str]) -> Runs:
+        """Ids of texts, each match of the pattern by itself."""
+        parts = list(map(self.pattern.findall, texts))
+        coded = pa.array(list(chain.from_iterable(parts)), pa.string()).dictionary_encode()
+        place = self.pieces.find(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        sizes = self.pieces.sizes[place]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, parts)])]
+        return gathered(self.pieces.ids, starts_of(self.pieces.sizes)[place], sizes), np.diff(ends)
+
+    def _of_chunks(self, chunks: pa.Array) -> Runs:
+        return self._matches([" " + c for c in chunks.to_pylist()])
+
+    def _behind(self, chunks: pa.Array) -> Runs:
+        place, own = self.after_blank.find(chunks), self.after_blank
+        return gathered(own.ids, starts_of(own.sizes)[place], own.sizes[place]), own.sizes[place]
+
+    def encode_slice(self, texts: pa.Array) -> list[np.ndarray]:
+        return by_chunks(texts, self._matches, self._behind)
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of whole texts, each match of the pattern by itself."""
-        parts = [(chunks(t) if t else [""]) for t in texts]
-        new = self.after_blank.lacks(set().union(*(p[1:] for p in parts if p)))
-        heads = [t if p is None else p[0] for t, p in zip(texts, parts)]
-        self._learn([*(" " + c for c in new), *heads])
-        look = self.after_blank.__getitem__
-        found = (self._matches(h) + b"".join(map(look, p[1:] if p else ())) for h, p in zip(heads, parts))
-        return [np.frombuffer(f, "<u4") for f in found]
+        return [ids for _, part in in_slices(pa.array(texts, pa.string())) for ids in self.encode_slice(part)]
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_many([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        return gathered(self.spelling, self.begin[ids], self.known[ids]).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -182,9 +229,10 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         only(own.pieces, own.after_blank)
-        for batch in sliced(batches, 500):
-            ids = pa.array([x.tobytes() for x in own.encode_many(batch.column("text").to_pylist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), ids], ["key", "ids"])
+        for batch in batches:
+            for at, texts in in_slices(batch.column("text")):
+                ids = pa.array([x.tobytes() for x in own.encode_slice(texts)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, len(texts)), ids], ["key", "ids"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"key {kind}, ids binary").withColumnRenamed("key", key)

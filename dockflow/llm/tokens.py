@@ -8,7 +8,6 @@ words; ids of words are kept in a bounded table from slice to slice and spread o
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -23,8 +22,6 @@ from dockflow.llm.common import Memo
 MEMO = 40 << 20
 #: Bytes of text that are split at once.
 SLICE = 6 << 20
-_SPACE_BEFORE_BLANK = re.compile(r"\s ")
-_ASCII_SPACE_BEFORE_BLANK = tuple(f"{c} " for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 #: White space before a blank, as `str.isspace` has it.
 _BLANK_AFTER_SPACE = "[\t-\r\x1c- \x85\xa0  -     　] "
 #: Latin letters, each a letter to any version of Unicode, composed, and of one lower-case letter.
@@ -72,19 +69,6 @@ def spelled(line: str) -> str:
     return line if line.isascii() else line.encode().decode("latin-1").translate(_ALPHABET)
 
 
-def chunks(text: str) -> list[str] | None:
-    """The text cut before each blank, blanks left out; None where blanks meet other white space.
-
-    A byte-level pattern starts a new match at a blank that a word follows, and at one that follows a word.
-    """
-    if text.isascii():
-        if any(pair in text for pair in _ASCII_SPACE_BEFORE_BLANK):
-            return None
-    elif _SPACE_BEFORE_BLANK.search(text):
-        return None
-    return text.split(" ")
-
-
 Runs = tuple[np.ndarray, np.ndarray]  # ids one after the other, and how many each string has
 
 
