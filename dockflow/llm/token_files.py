@@ -42,8 +42,8 @@ def _slots(pairs: np.ndarray) -> np.ndarray:
 def frequent_pairs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that occur `LEAST` times or more, the most frequent first, and their exact counts."""
     ordered = np.sort(pairs)
-    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    counts = np.diff(np.r_[first, len(ordered)])
+    first = np.append(0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1)
+    counts = np.diff(first, append=len(ordered))
     often = np.flatnonzero(counts >= LEAST)
     often = often[np.argsort(-counts[often], kind="stable")]
     return ordered[first[often]], counts[often]
@@ -68,9 +68,11 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         starts = np.r_[True, np.diff(hit) != 1]
         offset = np.arange(len(hit)) - np.maximum.accumulate(np.where(starts, np.arange(len(hit)), 0))
         hit = hit[offset % 2 == 0]
-        used, names = np.unique(rule[hit], return_inverse=True)
+        chosen = rule[hit]
+        taken = np.bincount(chosen, minlength=len(found)) > 0
+        used = np.flatnonzero(taken)
         base = FIRST_RULE + len(left)
-        seq[hit] = (base + names).astype(np.uint16)
+        seq[hit] = (base - 1 + np.cumsum(taken)).astype(np.uint16)[chosen]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq = seq[keep]
@@ -176,10 +178,13 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = row.column("first")[0].as_py()
             for at in range(0, len(sizes), 1000):
                 end = min(at + 1000, len(sizes))
-                ids = [reader.ids(b - n, b).astype("<u4").tobytes() for n, b in zip(sizes[at:end], stops[at:end])]
+                begin = stops[at] - sizes[at]
+                run = pa.py_buffer(reader.ids(begin, stops[end - 1]).astype("<u4"))
+                cuts = pa.py_buffer(4 * np.append(0, stops[at:end] - begin))
+                ids = pa.Array.from_buffers(pa.large_binary(), end - at, [None, cuts, run]).cast(pa.binary())
                 starts = first + stops[at:end] - sizes[at:end]
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(at, end - at), pa.array(starts), pa.array(sizes[at:end]), pa.array(ids, pa.binary())],
+                    [keys.slice(at, end - at), pa.array(starts), pa.array(sizes[at:end]), ids],
                     ["key", "start", "n_tokens", "ids"],
                 )
 
