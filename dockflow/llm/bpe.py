@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockflow.llm.common import only
+from dockflow.llm.common import give_back, lean, only, sliced
 from dockflow.llm.tokens import IdTable, Runs, by_chunks, cut, gathered, in_slices, joined, starts_of
 
 WORD = 64
@@ -226,6 +226,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     """`key` and the ids of each text, as little-endian 32-bit integers."""
     kind = docs.schema[key].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         only(own.pieces, own.after_blank)
@@ -233,6 +234,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
             for at, texts in in_slices(batch.column("text")):
                 ids = pa.array([x.tobytes() for x in own.encode_slice(texts)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, len(texts)), ids], ["key", "ids"])
+                give_back()
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"key {kind}, ids binary").withColumnRenamed("key", key)
@@ -242,9 +244,11 @@ def decoded_digests(encoded: DataFrame, path: str, pattern: str, key: str = "doc
     """`key`, n_tokens, ids_sha256 and decoded_sha256 of encoded texts."""
     kind = encoded.schema[key].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
+        only()  # the worker may have encoded before
+        for batch in sliced(batches):
             ids = [np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist()]
             arrays = [
                 batch.column("key"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import weakref
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -87,7 +89,28 @@ def only(*kept: Memo) -> None:
     for memo in list(Memo.alive):
         if not any(memo is k for k in kept):
             memo.forget()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what this worker has free to the system; else Arrow and the C library keep it for later."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same pass, whose worker keeps no free memory once its task has ended: it idles beside those of other passes."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
