@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockflow.llm.common import as_bytes, only, sliced
+from dockflow.llm.common import as_bytes, lean, only, sliced
 
 DIMS = 4096
 SAMPLE_PER_LANGUAGE = 800
@@ -190,6 +190,7 @@ def median(steps: list[tuple[int, int]]) -> float:
 def _member_steps(idf: np.ndarray, clusters: dict[str, np.ndarray]):
     """Language and step of closeness of every document with a letter."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
         for batch in sliced(batches):
@@ -209,6 +210,7 @@ def _member_steps(idf: np.ndarray, clusters: dict[str, np.ndarray]):
     return run
 
 
+@lean
 def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     only()
     df = np.zeros(DIMS, np.int64)
@@ -218,8 +220,10 @@ def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS, dtype=np.int32)), pa.array(df)], ["dim", "n"])
 
 
+@lean
 def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    only()
+    for batch in sliced(batches):
         rows = [gram_counts(t) for t in as_bytes(batch, "text")]
         dims = [np.flatnonzero(c) for c in rows]
         yield pa.RecordBatch.from_arrays(
@@ -236,6 +240,7 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
     """`key`, lang_pred, score, rejected for every row; other columns take no part, whatever their names."""
     kind = docs.schema[key].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
         for batch in sliced(batches):
@@ -253,6 +258,7 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
 def keep_known(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """The rows whose language is recognised, all columns as they were."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
         for batch in sliced(batches):

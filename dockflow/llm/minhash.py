@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dockflow.llm.common import Memo, as_bytes, mix, only
+from dockflow.llm.common import Memo, as_bytes, lean, mix, only, sliced
 from dockflow.llm.components import components, roots
 from dockflow.session import staged
 
@@ -78,9 +78,10 @@ def _set_id(values: np.ndarray) -> int:
 
 
 def _signed(size: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only(_WORDS)
-        for batch in batches:
+        for batch in sliced(batches):
             counts, ids, bands = [], [], []
             for text in as_bytes(batch, "text"):
                 values = shingle_set(text, size)
@@ -99,9 +100,10 @@ def _signed(size: int):
 
 
 def _sets(size: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only(_WORDS)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [shingle_set(t, size) for t in as_bytes(batch, "text")]
             ids = [_set_id(r) if len(r) else None for r in rows]
             values = pa.array([r.view(np.int64) for r in rows], pa.list_(pa.int64()))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockflow.llm.common import only
+from dockflow.llm.common import lean, only
 from dockflow.llm.tokens import byte_level, in_slices
 from dockflow.session import staged
 
@@ -74,6 +74,7 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
 
 
 def _encode(path: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_level(path)
         only(*encoder.memos)
@@ -126,6 +127,7 @@ class _Sequences:
 _PIECE = ("key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
 
+@lean
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     only()
     sequences = _Sequences(TaskContext.get().partitionId() << 33)

@@ -8,7 +8,7 @@ without loss:
    minimum). Equal strings have equal anchors, so a string whose anchor gram is unique in the corpus is unique.
 2. *Equal surroundings.* Anchors are sorted by gram and by the bytes around them. The surroundings hold every string
    with that anchor, so all but the earliest of equal surroundings are repeats as a whole; a gram with one kind of
-   surroundings is done. Copies inside one task are settled there, so a hot passage sends one row for each task.
+   surroundings is done. Copies inside a slice of a batch are settled there, so a hot passage sends one row for each slice.
 3. *Prefix doubling.* What is left are the edges of repeated passages. Spark sorts them by gram, document and position,
    with the bytes around them. Every position there gets the rank of its first 25 bytes, is paired with the rank 25
    bytes on, reranked, and, unless it is unique by now, paired with the rank 50 bytes on: at `LENGTH` bytes all but the
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dockflow.llm.common import as_bytes, mix
+from dockflow.llm.common import as_bytes, lean, mix, only, sliced
 from dockflow.session import staged
 
 LENGTH = 100
@@ -119,9 +119,11 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _ANCHOR = "gram long, around long, doc long, at long"
 
 
+@lean
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchor rows; repeats inside the batch become rows of covered bytes: at = ~(end), around = start."""
-    for batch in batches:
+    """Anchor rows; repeats inside a slice become rows of covered bytes: at = ~(end), around = start."""
+    only()
+    for batch in sliced(batches):
         docs, subs = batch.column("doc").to_numpy(), batch.column("sub").to_numpy()
         parts = [anchors(t) for t in as_bytes(batch, "text")]
         size = np.array([len(p[0]) for p in parts])
@@ -162,6 +164,7 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 _FOUND = "gram long, doc long, sub long, lo long, hi long, edge boolean"
 
 
+@lean
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over anchors in order of gram, surroundings and place: covered bytes, and edges for prefix doubling.
 
@@ -213,9 +216,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (gram[-1], around[-1], doc[-1], at[-1])
 
 
+@lean
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each edge: a hash of its gram, its place, and the bytes that strings with this anchor can hold."""
-    for batch in batches:
+    only()
+    for batch in sliced(batches):
         docs, subs = batch.column("doc").to_pylist(), batch.column("sub").to_pylist()
         out = []
         for doc, sub, text, places in zip(docs, subs, as_bytes(batch, "text"), batch.column("places").to_pylist()):
@@ -273,6 +278,7 @@ def rank_edges(gram: np.ndarray, doc: np.ndarray, at: np.ndarray, back: np.ndarr
     return row[opens], offset[opens], offset[closes]
 
 
+@lean
 def _rank_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Covered bytes from edges in order of gram, document and place; a gram's edges are ranked together."""
     held = None
@@ -300,9 +306,11 @@ def _rank_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield ranked(held)
 
 
+@lean
 def _first_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The hash of the first bytes at every position of the edges."""
-    for batch in batches:
+    only()
+    for batch in sliced(batches):
         docs, subs = batch.column("doc").to_numpy(), batch.column("sub").to_numpy()
         out = []
         for doc, sub, text, places in zip(docs, subs, as_bytes(batch, "text"), batch.column("places").to_pylist()):
@@ -397,8 +405,10 @@ def cut(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
+@lean
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    only()
+    for batch in sliced(batches):
         texts = as_bytes(batch, "text")
         runs = [spans(len(t), lo, hi) for t, lo, hi in zip(texts, batch.column("los").to_pylist(), batch.column("his").to_pylist())]
         arrays = [
@@ -433,8 +443,10 @@ def _whole_characters(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
+@lean
 def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    only()
+    for batch in sliced(batches):
         texts = as_bytes(batch, "text")
         runs = zip(texts, batch.column("los").to_pylist(), batch.column("his").to_pylist())
         kept = [cut(t, _whole_characters(t, spans(len(t), lo, hi))).decode() for t, lo, hi in runs]

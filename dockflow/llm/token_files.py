@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dockflow.llm.common import only
+from dockflow.llm.common import lean, only
 from dockflow.llm.tokens import in_slices, tokenizer, word_level
 
 END = 1
@@ -124,6 +124,7 @@ def _encoded(encoder, batch: pa.RecordBatch) -> Iterator[tuple[object, np.ndarra
 
 
 def _blocks(path: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, block = word_level(path), TaskContext.get().partitionId(), 0
         only(*encoder.memos)
@@ -167,6 +168,7 @@ def write(docs: DataFrame, path: str, out: str, key: str = "doc_id", text: str =
     ordered.mapInArrow(_blocks(path), schema).write.parquet(out)
 
 
+@lean
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     only()
     for batch in batches:
