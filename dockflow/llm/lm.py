@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockflow.llm.common import as_bytes, mix, only
+from dockflow.llm.common import as_bytes, lean, mix, only
 from dockflow.llm.tokens import Words, cut, gathered, in_slices, starts_of, words_of
 from dockflow.session import staged
 
@@ -353,6 +353,7 @@ _SPLIT = "row long, key {kind}, held_out boolean, deal long, windows long, words
 def _split(path: str):
     """Every row with the hashes of its words, its subword ids, the number of its windows and a hash to deal them by."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = subwords(path)
         only(*own.memos)
@@ -376,6 +377,7 @@ def _split(path: str):
 def _count(size: int):
     """kind 0: word hash and count; 1: subword and count."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
         counts, held, n = np.zeros(size, np.int64), [], 0
@@ -408,6 +410,7 @@ def _train(model: Model, texts: DataFrame, share: int) -> None:
     parts = max(1, min(TASKS, round(n / WINDOWS_A_GROUP)), round(n / WINDOWS_A_GROUP / GROUPS))
     classes, unknown = model.classes.astype("<u2"), START
 
+    @lean
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
         for batch in batches:
@@ -429,6 +432,7 @@ def _train(model: Model, texts: DataFrame, share: int) -> None:
     for r in range(ROUNDS if n else 0):
         flat, rate = model.flat, RATE * 0.5**r
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             only()
             warm_allocator()
@@ -497,6 +501,7 @@ def score(
     shared = spark.sparkContext.broadcast((model, top["key"].to_numpy(), unit(top["n"].to_numpy())))
     end_score, end_known = float(unit(ends)), int(ends > 0)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
         warm_allocator()
