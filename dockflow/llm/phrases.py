@@ -9,7 +9,8 @@ nothing, as no phrase is more frequent than its parts. Counts leave a task merge
 
 Tables of ids are sent to the tasks, so their size is bounded: `WORDS` words and `PHRASES` phrases of each length, the
 most frequent first. What is not in a full table may still be frequent; such words and phrases are counted by their
-spelling, in the same pass and the same sum, so no result depends on the bounds.
+spelling, in the same pass and the same sum, so no result depends on the bounds. Marks of bounded size tell which these
+may be: all frequent words and phrases have their bit set, so that what is surely rare is left out beside full tables, too.
 
 A phrase's best cut joins the counts of its parts; phrases contained in a longer one of the same count are dropped (the
 longer one need only have one word more: a phrase between the two would have that count, too). Arithmetic is in integers
@@ -24,6 +25,7 @@ no rows. Other columns, whatever their names, take no part.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -43,6 +45,8 @@ DENSE = 1 / 16
 BUFFER = 1 << 20
 SLICE = 1 << 20
 DISTINCT = 250_000
+#: Bits of a table of marks, two primes: the first one while it has 64 for each mark.
+MARKS = 999_983, 99_999_989
 
 #: States of a position that has no id: no frequent phrase starts here, or one may that no table knows.
 DEAD, UNKNOWN = -1, -2
@@ -110,18 +114,48 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _spelled(counts)
 
 
+class Marks:
+    """Numbers by their remainders, a bit each: one whose bit is not set is none of them."""
+
+    def __init__(self, size: int, bits: bytes):
+        self.size, self.bits = size, bits
+
+    def __contains__(self, number: int) -> bool:
+        at = number % self.size
+        return bool(self.bits[at >> 3] >> (at & 7) & 1)
+
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        at = numbers % self.size
+        return (np.frombuffer(self.bits, np.uint8)[at >> 3] >> (at & 7) & 1).astype(bool)
+
+
+def marks(numbers: DataFrame, number: str) -> Marks:
+    """The marks of an expression of a table; what is collected is bounded by their size."""
+    size = next((m for m in MARKS if 64 * numbers.count() <= m), MARKS[-1])
+    at = numbers.select(F.expr(f"CAST(pmod({number}, {size}) AS LONG)").alias("at"))
+    words = at.groupBy(F.expr("at DIV 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits"))
+    found, bits = words.toArrow(), np.zeros(size // 64 + 1, "<i8")
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return Marks(size, bits.tobytes())
+
+
+#: The number of a spelled word or phrase, here and in Python.
+SPELLED = "crc32(concat(lang, phrase))"
+
+
+def spelled_number(lang: str, phrase: bytes) -> int:
+    return zlib.crc32(phrase, zlib.crc32(lang.encode()))
+
+
 class Ids(dict):
-    """Id of each word of a language; `other` for words that have none."""
+    """Id of each word of a language. Others are dead, or unknown where the marks of all frequent words have them."""
 
-    def __init__(self, known: dict[bytes, int], other: int):
+    def __init__(self, known: dict[bytes, int], frequent: Marks | None, lang: str):
         super().__init__(known)
-        self.other = other
+        self.frequent, self.lang = frequent, lang
 
     def __missing__(self, word: bytes) -> int:
-        return self.other
-
-    def copy(self) -> Ids:
-        return Ids(self, self.other)
+        return UNKNOWN if self.frequent and spelled_number(self.lang, word) in self.frequent else DEAD
 
 
 def _encode(words):
@@ -129,14 +163,15 @@ def _encode(words):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, full = words.value
-        skip, other = len(known) + 1, UNKNOWN if full else DEAD
-        none = Ids({b"": skip, b"\n": DEAD}, other)
-        tables: dict[str, Ids] = defaultdict(none.copy)
+        skip, tables = len(known) + 1, {}
+        empty = lambda lang: Ids({b"": skip, b"\n": DEAD}, full, lang)
         for i, (lang, word) in enumerate(known):
+            if lang not in tables:
+                tables[lang] = empty(lang)
             tables[lang][word] = i
         for batch in batches:
             for lang, text in _by_language(batch):
-                table, whole, spelled = tables.get(lang, none), [np.zeros(0, np.int32)], []
+                table, whole, spelled = tables.get(lang) or empty(lang), [np.zeros(0, np.int32)], []
                 for found in tokens(text):
                     ids = np.fromiter(map(table.__getitem__, found), np.int32, len(found))
                     if full:
@@ -153,11 +188,14 @@ def _encode(words):
 
 
 class Pairs:
-    """Ranks of the frequent pairs of one level: a table by direct address for the lowest tile, search elsewhere."""
+    """Ranks of the frequent pairs of one level: a table by direct address for the lowest tile, search elsewhere.
+
+    `frequent` has all frequent pairs where the table does not, `spelled` those phrases that are no pair of ids.
+    """
 
-    def __init__(self, pairs: np.ndarray, full: bool):
+    def __init__(self, pairs: np.ndarray, frequent: Marks | None = None, spelled: Marks | None = None):
         order = np.argsort(pairs)
-        self.keys, self.ranks, self.full = pairs[order], order.astype(np.int32), full
+        self.keys, self.ranks, self.frequent, self.spelled = pairs[order], order.astype(np.int32), frequent, spelled
         a, b = pairs >> BITS, pairs & ((1 << BITS) - 1)
         near = (a < TILE) & (b < TILE)
         self.lowest = np.full(TILE * TILE, DEAD, np.int32)
@@ -172,6 +210,9 @@ class Pairs:
             pairs = (a[far].astype(np.int64) << BITS) | b[far]
             at = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
             out[far] = np.where(self.keys[at] == pairs, self.ranks[at], DEAD)
+        if self.frequent:
+            rest = np.flatnonzero(out == DEAD)
+            out[rest[self.frequent.has((a[rest].astype(np.int64) << BITS) | b[rest])]] = UNKNOWN
         return out
 
 
@@ -245,23 +286,32 @@ def _count_level(length: int, words, levels: list):
         for batch in batches:
             for r in range(batch.num_rows):
                 ids = np.frombuffer(batch.column("ids")[r].as_py(), "<i4")
+                lang, others, number = batch.column("lang")[r].as_py(), None, None
+
+                def spelling(at: np.ndarray, size: int) -> Iterator[bytes]:
+                    nonlocal others, number
+                    if others is None:
+                        others, number = batch.column("others")[r].as_py(), np.cumsum(ids == UNKNOWN) - 1
+                    spell = lambda i: known[ids[i]][1] if ids[i] >= 0 else others[number[i]].encode()
+                    return (b" ".join(map(spell, range(t, t + size))) for t in at.tolist())
+
                 first = ids
                 for size, table in zip(range(2, length), tables):
                     live, paired = extend(first, ids, size)
-                    found = np.where(live, UNKNOWN, DEAD).astype(np.int32)
+                    found = np.full(len(live), DEAD, np.int32)
                     at = np.flatnonzero(paired)
-                    ranks = table.look_up(first[at], ids[at + size - 1])
-                    found[at] = np.where((ranks == DEAD) & table.full, UNKNOWN, ranks)
+                    found[at] = table.look_up(first[at], ids[at + size - 1])
+                    rest = np.flatnonzero(live & ~paired)
+                    if len(rest) and table.spelled:
+                        seen = [spelled_number(lang, p) in table.spelled for p in spelling(rest, size)]
+                        found[rest[seen]] = UNKNOWN
                     first = found
                 live, paired = extend(first, ids, length)
                 at = np.flatnonzero(paired)
                 totals.add(first[at], ids[at + length - 1])
                 rest = np.flatnonzero(live & ~paired)
                 if len(rest):
-                    lang, others = batch.column("lang")[r].as_py(), batch.column("others")[r].as_py()
-                    number = np.cumsum(ids == UNKNOWN) - 1
-                    spell = lambda i: known[ids[i]][1] if ids[i] >= 0 else others[number[i]].encode()
-                    spelled[lang].update(b" ".join(map(spell, range(t, t + length))) for t in rest.tolist())
+                    spelled[lang].update(spelling(rest, length))
                     if sum(map(len, spelled.values())) > DISTINCT:
                         yield from _spelled(spelled)
                 if totals.held >= BUFFER:
@@ -321,7 +371,7 @@ def frequent(
     sizes = staged(every.groupBy("lang").agg(F.sum("n").alias("n")))
     single = every.where(F.col("n") >= least)
     top, full = _leading(single, words_limit)
-    words = sc.broadcast((list(zip(top["lang"], top["phrase"])), full))
+    words = sc.broadcast((list(zip(top["lang"], top["phrase"])), marks(single, SPELLED) if full else None))
     runs = staged(rows.mapInArrow(_encode(words), "lang string, ids binary, others array<string>"))
 
     found = [single.select("lang", "phrase", F.lit(1).alias("m"), "n")]
@@ -334,10 +384,11 @@ def frequent(
         table = staged(paired.unionByName(often.where("pair IS NULL")))
         found.append(table.select("lang", "phrase", F.lit(m).alias("m"), "n"))
         if m < longest:
-            pairs = table.where("pair IS NOT NULL")
+            pairs, others = table.where("pair IS NOT NULL"), table.where("pair IS NULL")
             top, more = _leading(pairs, phrases_limit)
-            more = more or not table.where("pair IS NULL").isEmpty()
-            levels.append(sc.broadcast(Pairs(np.array(top["pair"], np.int64), more)))
+            frequent_pairs = marks(pairs, "pair") if more else None
+            spelled = None if others.isEmpty() else marks(others, SPELLED)
+            levels.append(sc.broadcast(Pairs(np.array(top["pair"], np.int64), frequent_pairs, spelled)))
             parts = sc.broadcast(top["phrase"])
     out = found[0]
     for table in found[1:]:

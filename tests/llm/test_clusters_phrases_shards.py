@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +111,25 @@ def test_collocations_of_a_table(spark, bounds):
     assert collected(phrases.collocations(docs, least=8, report=500, **bounds)) == want
 
 
+def test_rare_words_stay_out_beside_a_full_table(spark):
+    """Only the frequent words without an id are kept by their spelling, not all rare ones."""
+    rare = [f"r{i}" for i in range(2000)]
+    text = " ".join(f"aa bb {w} cc bb" for w in rare)
+    counted = spark.createDataFrame([("xx", "aa", 2000), ("xx", "bb", 4000), ("xx", "cc", 2000)], "lang string, phrase string, n long")
+    words = SimpleNamespace(value=([("xx", b"bb")], phrases.marks(counted, phrases.SPELLED)))
+    (found,) = phrases._encode(words)([pa.RecordBatch.from_pydict({"lang": ["xx"], "text": [text]})])
+    others = Counter(found["others"][0].as_py())
+    assert others["aa"] == others["cc"] == 2000
+    assert sum(others.values()) < 4200
+
+
+def test_rare_phrases_stay_out_beside_a_full_table(spark):
+    pairs = spark.createDataFrame([(7 << phrases.BITS | 9,), (5000 << phrases.BITS | 3,), (2 << phrases.BITS | 4000,)], "pair long")
+    known = phrases.Pairs(np.array([7 << phrases.BITS | 9]), phrases.marks(pairs, "pair"))
+    a, b = np.array([7, 7, 5000, 5000, 2, 2]), np.array([9, 10, 3, 4, 4000, 4001])
+    assert known.look_up(a, b).tolist() == [0, phrases.DEAD, phrases.UNKNOWN, phrases.DEAD, phrases.UNKNOWN, phrases.DEAD]
+
+
 def test_long_texts_are_sliced_without_loss(spark, monkeypatch):
     text = ("alpha beta gamma.  delta\tAlpha beta gamma ÄB " * 300) + "x" * 5000 + " alpha beta"
     found = {}
