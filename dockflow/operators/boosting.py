@@ -1,7 +1,8 @@
 """Boosted trees over histograms, where every split learns the side of missing values.
 
-Values are replaced by bin numbers once, kept in blocks of rows as arrays in binary columns, so that a pass costs what
-numpy costs. A level of a tree is one pass: each task
+Values are replaced by bin numbers once, kept in pieces of a few hundred rows as arrays in binary columns and joined to
+blocks in the tasks, so that a pass costs what numpy costs. Spark reads thousands of stored rows at once, in the JVM, in
+Arrow and in Python, so a stored row is small whatever the table's size. A level of a tree is one pass: each task
 sums counts, gradients and curvatures by (node, feature, bin) in numpy, Spark adds the tasks' histograms, and the best
 split of every node is found by window sums over its bins. Held-out rows are read for the first level only, which
 reports their loss. Rows are never sorted or shuffled; what is shuffled has the size of nodes times features times bins
@@ -27,8 +28,12 @@ from dockflow.session import removed, scratch_dir
 
 #: Rows are written again after so many trees: until then every pass walks them.
 WRITE_EVERY = 8
-#: Most rows of a block.
+#: Most rows that are binned at once.
 BLOCK = 1 << 14
+#: Rows of a piece, which is one stored row, and pieces of a block.
+PIECE, JOINED = 256, 64
+#: Trees of at most so many inner nodes are walked by masks of whole blocks.
+MASKS = 32
 MISSING = -1
 #: The node under which a pass reports the loss on held-out rows.
 HELD = -1
@@ -175,17 +180,54 @@ def _code_type(sizes: list[int]) -> str:
     return "u1" if max(sizes, default=0) < 256 else "<u2"
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Doubles as the shortest numbers that hold them exactly."""
+    for kind in ("i1", "<i2", "<f4"):
+        with np.errstate(all="ignore"):
+            short = values.astype(kind)
+        if (short == values).all():
+            return short.tobytes()
+    return values.astype("<f8").tobytes()
+
+
+def _unpacked(found: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(found, {1: "i1", 2: "<i2", 4: "<f4", 8: "<f8"}[len(found) // n])
+
+
+def pieces(codes: np.ndarray, y: np.ndarray, w: np.ndarray, raw: np.ndarray, is_val: bool) -> pa.RecordBatch:
+    """Stored rows of a block of codes, features by rows."""
+    cuts = [slice(at, at + PIECE) for at in range(0, len(y), PIECE)]
+    columns = [
+        pa.array([min(PIECE, len(y) - c.start) for c in cuts], pa.int32()),
+        pa.array([codes[:, c].tobytes() for c in cuts], pa.binary()),
+        *[pa.array([packed(x[c]) for c in cuts], pa.binary()) for x in (y, w, raw)],
+        pa.array([is_val] * len(cuts)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["n", "bins", "y", "w", "raw", "is_val"])
+
+
+def joined(batch: pa.RecordBatch, code: str, n_features: int) -> tuple:
+    """Codes (features by rows), labels, weights and scores of stored rows, and the rows of each."""
+    n, bins, *others = (batch.column(c).to_pylist() for c in ("n", "bins", "y", "w", "raw"))
+    codes = np.concatenate([np.frombuffer(b, code).reshape(n_features, k) for b, k in zip(bins, n)], axis=1)
+    return codes, *(np.concatenate([_unpacked(x, k) for x, k in zip(c, n)]).astype(float) for c in others), n
+
+
 def _blocks(batch: pa.RecordBatch, code: str, n_features: int) -> Iterator[tuple]:
-    """Bins (features by rows), labels, weights and scores of each block, and whether it is held out."""
-    for bins, y, w, raw, is_val in zip(*(batch.column(c).to_pylist() for c in ("bins", "y", "w", "raw", "is_val"))):
-        y, w, raw = (np.frombuffer(x, "<f8") for x in (y, w, raw))
-        yield np.frombuffer(bins, code).reshape(n_features, len(y)), y, w, raw, is_val
+    """Codes, labels, weights and scores of each block, and whether it is held out."""
+    for part in sliced([batch], JOINED):
+        for is_val in (False, True):
+            found = part.filter(pa.array([held == is_val for held in part.column("is_val").to_pylist()], pa.bool_()))
+            if found.num_rows:
+                yield *joined(found, code, n_features)[:4], is_val
 
 
 class _Walk:
-    """A tree as tables over stored bins: one step of all rows is three lookups, and leaves lead to themselves."""
+    """A tree over stored bins. Small ones are walked by a mask for each inner node; others are tables, in which one step
+    of all rows is three lookups and leaves lead to themselves."""
 
     def __init__(self, tree: Tree, width: int):
+        self.tree, self.masks = tree, sum(f >= 0 for f in tree.feature) <= MASKS
         self.feature = np.maximum(tree.feature, 0)
         self.width, self.value = width, np.array(tree.value)
         nodes, codes = np.arange(len(tree.feature)), np.arange(width)
@@ -202,6 +244,8 @@ class _Walk:
         """The node that each row, a column of ``codes``, ends in."""
         n = codes.shape[1]
         node = np.zeros(n, np.int64)
+        if self.steps and self.masks:
+            return self._chosen(codes, 0).astype(np.int64)
         if self.steps:
             flat, row = codes.ravel(), np.arange(n)
             node = self.child.take(codes[self.feature[0]])
@@ -210,6 +254,15 @@ class _Walk:
         return node
 
 
+    def _chosen(self, codes: np.ndarray, at: int) -> np.ndarray:
+        tree = self.tree
+        if tree.feature[at] < 0:
+            return np.uint8(at)  # at most 2 * MASKS + 1 nodes
+        code, last = codes[tree.feature[at]], min(tree.bin[at] + 1, np.iinfo(codes.dtype).max)
+        below = code <= last if tree.missing_left[at] else (code <= last) & (code > 0)
+        return np.where(below, self._chosen(codes, tree.left[at]), self._chosen(codes, tree.right[at]))
+
+
 def _grown(walks: list[_Walk], codes: np.ndarray, raw: np.ndarray) -> np.ndarray:
     for walk in walks:
         raw = raw + walk.value.take(walk.reached(codes))
@@ -298,15 +351,13 @@ def _binned(features: list[str], edges: list[np.ndarray], base: float):
             for is_val in (False, True):
                 kept = np.flatnonzero(held == is_val)
                 if len(kept):
-                    parts = codes[:, kept], y[kept], w[kept], np.full(len(kept), base, "<f8")
-                    block = [pa.array([x.tobytes()], pa.binary()) for x in parts]
-                    yield pa.RecordBatch.from_arrays([*block, pa.array([is_val])], ["bins", "y", "w", "raw", "is_val"])
+                    yield pieces(codes[:, kept], y[kept], w[kept], np.full(len(kept), base), is_val)
 
     return run
 
 
-#: One row a block.
-STATE = "bins binary, y binary, w binary, raw binary, is_val boolean"
+#: One row a piece.
+STATE = "n int, bins binary, y binary, w binary, raw binary, is_val boolean"
 
 
 def _advanced(trees: list[Tree], sizes: list[int]):
@@ -315,8 +366,10 @@ def _advanced(trees: list[Tree], sizes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walks = [_Walk(t, width) for t in trees]
         for batch in batches:
-            later = [_grown(walks, codes, raw).tobytes() for codes, _, _, raw, _ in _blocks(batch, code, len(sizes))]
-            yield batch.set_column(batch.schema.get_field_index("raw"), "raw", pa.array(later, pa.binary()))
+            for part in sliced([batch], JOINED):
+                codes, _, _, raw, n = joined(part, code, len(sizes))
+                later = [packed(x) for x in np.split(_grown(walks, codes, raw), np.cumsum(n)[:-1])]
+                yield part.set_column(part.schema.get_field_index("raw"), "raw", pa.array(later, pa.binary()))
 
     return run
 

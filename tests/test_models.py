@@ -2,6 +2,7 @@ from itertools import combinations
 from math import factorial
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -408,6 +409,29 @@ def test_blocks_of_any_size_and_many_bins_grow_the_same_trees(spark, monkeypatch
     assert first.losses == pytest.approx(again.losses)
 
 
+def test_stored_rows_of_a_fit_stay_small_whatever_a_batch_has():
+    """Spark reads thousands of stored rows at once: 40,000 rows in one batch are no larger each than 400."""
+    rng = np.random.default_rng(5)
+    edges, n = [np.arange(20.0)] * 3, 40_000
+    columns = {f: pa.array(rng.integers(0, 25, n).astype(float)) for f in "abc"}
+    more = {"y": pa.array(rng.random(n)), "w": pa.array(np.ones(n)), "is_val": pa.array(rng.random(n) < 0.3)}
+    found = list(boosting._binned(list("abc"), edges, 0.0)([pa.RecordBatch.from_pydict(columns | more)]))
+    assert max(len(b) for part in found for name in ("bins", "y", "w", "raw") for b in part.column(name).to_pylist()) <= 8 * 256
+    blocks = [block for part in found for block in boosting._blocks(part, "u1", 3)]
+    held = [np.concatenate([y for _, y, _, _, is_val in blocks if is_val == side]) for side in (False, True)]
+    is_val = more["is_val"].to_numpy(zero_copy_only=False)
+    for side in (False, True):
+        assert (held[side] == more["y"].to_numpy()[is_val == side]).all()
+    a = np.concatenate([codes[0] for codes, _, _, _, is_val in blocks if not is_val])
+    assert (a == np.minimum(np.ceil(columns["a"].to_numpy()[~is_val]), 20) + 1).all()
+
+
+@pytest.mark.parametrize("values", [[1.0, -3.0], [300.0, 1.0], [0.5, 2.0], [0.1, 1e300], [np.nan, 1.0], [np.inf, 1.0]])
+def test_short_numbers_are_exact(values):
+    found = boosting._unpacked(boosting.packed(np.array(values)), 2)
+    assert np.array_equal(found.astype(float), values, equal_nan=True)
+
+
 def test_features_are_derived_once_for_the_missing_value_model(spark, monkeypatch):
     seen, empty = [], boosting.Ensemble([], [], [], 0.0, [])
     monkeypatch.setattr(boosting, "fit", lambda rows, *a: seen.append(rows) or empty)
