@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier  # noqa: F401
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +15,7 @@ from dockflow.contract import Contract, ContractError
 from dockflow.functions.single import attach
 from dockflow.operators.assembly import class_weight
 from dockflow.operators.checks import check_row
+from dockflow.operators.gbt import BlockClassifier, BlockRegressor, assembled
 
 # A model that stopped this early is a stump, and its attribution means nothing.
 DEGENERATE_ITERATIONS = 5
@@ -80,14 +81,11 @@ def fit_with_patience(trainer, rows: DataFrame, params: TreeParams, losses):
 
 def first_trees(trainer, model, n: int):
     """The model of the first ``n`` trees, with the parameters of ``trainer``: what it would fit, without a pass."""
-    whole, gateway = model._java_obj, SparkSession.active().sparkContext._gateway
-    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
-    weights = gateway.new_array(gateway.jvm.double, n)
-    for at in range(n):
-        trees[at], weights[at] = whole.trees()[at], whole.treeWeights()[at]
+    whole, sc = model._java_obj, SparkSession.active().sparkContext
     classes = [model.numClasses] if isinstance(model, GBTClassificationModel) else []
-    kind = getattr(gateway.jvm, whole.getClass().getName())
-    return trainer._copyValues(type(model)(kind(whole.uid(), trees, weights, model.numFeatures, *classes)))
+    parts = list(whole.trees())[:n], list(whole.treeWeights())[:n]
+    cut = assembled(sc, whole.getClass().getName(), whole.uid(), *parts, model.numFeatures, *classes)
+    return trainer._copyValues(type(model)(cut))
 
 
 def best_round(losses: list[float], patience: int) -> int:
@@ -108,7 +106,7 @@ def train_net_flow(
     attribution variants use L2. Validation rows only decide which round is the last."""
     if objective not in LOSSES:
         raise ContractError(f"unknown objective {objective!r}; expected one of {sorted(LOSSES)}")
-    trainer = GBTRegressor(
+    trainer = BlockRegressor(
         featuresCol="features",
         labelCol="label",
         predictionCol="pred_flow",
@@ -130,7 +128,7 @@ def train_is_empty(
     """The empty-dock classifier; positives weigh as much as all negatives together."""
     target = contract.classification_target
     weight = class_weight(vectors.filter("split = 'train'"), target).select("class_weight")
-    trainer = GBTClassifier(
+    trainer = BlockClassifier(
         featuresCol="features",
         labelCol="label",
         weightCol="weight",
