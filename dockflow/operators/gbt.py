@@ -32,6 +32,8 @@ from dockflow.session import removed, scratch_dir
 FEW_CELLS = 100_000
 #: A gain below this share of the squared mean is rounding.
 NOISE = 1e-14
+#: Gains that differ by no greater share are equal.
+TIE = 1e-12
 #: Parameters that are not grown here unless they have their default: Spark's own trainer takes them.
 PLAIN = ("subsamplingRate", "featureSubsetStrategy", "minInfoGain", "minWeightFractionPerNode", "impurity")
 
@@ -142,7 +144,8 @@ def best_split(sums: np.ndarray, sizes: list[int], least: int) -> dict | None:
     whole, weight = s[:, -1:], w[:, -1:]
     with np.errstate(all="ignore"):
         gain = np.where(valid, (sl * sl / wl + sr * sr / wr - whole * whole / weight) / weight, -np.inf)
-    f, b = np.unravel_index(np.argmax(gain), gain.shape)
+    # Equal but for rounding: the lower feature, then the lower threshold, as Spark has it for equal gains.
+    f, b = np.unravel_index(np.argmax(gain >= gain.max() * (1 - TIE)), gain.shape)
     if not valid.any() or gain[f, b] <= NOISE * float(whole[f, 0] / weight[f, 0]) ** 2:
         return None
     left, right = (nl, -sl, wl), (nr, -sr, wr)
